@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import line_rules, sql
+from quillgraph.llm import line_rules, simhash, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
+    "op7_simhash": simhash.op7_simhash,
 }
 ORACLES: dict[str, str] = {"op1_line_frequency": sql.OP1}
