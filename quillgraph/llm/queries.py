@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import line_rules, secrets, simhash, sql
+from quillgraph.llm import line_rules, scaled_sketch, secrets, simhash, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
     "op7_simhash": simhash.op7_simhash,
+    "op3_scaled_sketch": scaled_sketch.op3_scaled_sketch,
     "op10_token_efficiency": secrets.op10_token_efficiency,
 }
 ORACLES: dict[str, str] = {"op1_line_frequency": sql.OP1}
