@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import licenses, line_rules, scaled_sketch, secrets, simhash, sql, toxicity
+from quillgraph.llm import licenses, line_rules, mixing, scaled_sketch, secrets, simhash, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
     "op7_simhash": simhash.op7_simhash,
     "op3_scaled_sketch": scaled_sketch.op3_scaled_sketch,
     "op4_factorization_machine": toxicity.op4_factorization_machine,
+    "op8_sainte_lague": mixing.op8_sainte_lague,
     "op9_positional_index": licenses.op9_positional_index,
     "op10_token_efficiency": secrets.op10_token_efficiency,
 }
-ORACLES: dict[str, str] = {"op1_line_frequency": sql.OP1}
+ORACLES: dict[str, str] = {"op1_line_frequency": sql.OP1, "op8_sainte_lague": sql.OP8}

@@ -44,3 +44,50 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed, coalesce(n_words_removed, 0)::BIGINT AS n_words_removed
 FROM base LEFT JOIN gone USING (doc_id)
 """
+
+#: Quotients are all written out and the highest taken, source by source and shard by shard.
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, md5(text) AS th, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM d GROUP BY source
+), levels(round, level) AS (
+  SELECT 0, (SELECT 1.5 * sum(source_size) / sum(weight) FROM s)::DOUBLE
+  UNION ALL
+  SELECT round + 1, (SELECT ((SELECT 1.5 * sum(source_size) FROM s) - sum(2 * source_size) FILTER (WHERE 2 * source_size < level * weight)) / nullif(sum(weight) FILTER (WHERE 2 * source_size >= level * weight), 0) FROM s)::DOUBLE
+  FROM levels WHERE round < 30 AND level IS NOT NULL AND (SELECT count(*) FROM s WHERE 2 * source_size < level * weight) > 0
+), t AS (
+  SELECT source, source_size, least(2.0 * source_size, (SELECT max(level) FROM levels) * weight)::DOUBLE AS target FROM s
+), b AS (
+  SELECT *, greatest(ceil(1.5 * sum(source_size) OVER () / 1000000), 1)::BIGINT AS block, round(1.5 * sum(source_size) OVER () / greatest(ceil(1.5 * sum(source_size) OVER () / 1000000), 1))::BIGINT AS seats FROM t
+), q AS (
+  SELECT source, k, target / (2 * k + 1) AS quotient, seats FROM (SELECT source, target, seats, unnest(range(0, (target / block)::BIGINT + 3)) AS k FROM b WHERE target > 0)
+), won AS (
+  SELECT source, count(*) AS quota FROM (SELECT source, seats, row_number() OVER (ORDER BY quotient DESC, source ASC NULLS LAST) AS place FROM q) WHERE place <= seats GROUP BY source
+), e AS (
+  SELECT b.source, source_size, target, block, coalesce(quota, 0) AS quota, ceil((source_size + 1) / 1000000)::BIGINT AS n_shards
+  FROM b LEFT JOIN won ON b.source IS NOT DISTINCT FROM won.source
+), p AS (
+  SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.block, e.quota, md5(concat_ws('/', '11', d.doc_id::VARCHAR, d.th)) AS draw, e.n_shards
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+), p2 AS (
+  SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % n_shards AS shard FROM p
+), h AS (
+  SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(quota) AS quota FROM p2 GROUP BY source, shard
+), hq AS (
+  SELECT source, shard, shard_size / (2 * k + 1) AS quotient, quota
+  FROM (SELECT source, shard, shard_size, quota, unnest(range(0, quota)) AS k FROM h WHERE shard_size > 0)
+), hw AS (
+  SELECT source, shard, count(*) AS shard_quota
+  FROM (SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard) AS place FROM hq) WHERE place <= quota GROUP BY source, shard
+), j AS (
+  SELECT p2.*, h.shard_size, least(coalesce(hw.shard_quota, 0) * p2.block, 2 * h.shard_size) AS wanted,
+         coalesce(sum(p2.size) OVER (PARTITION BY p2.source, p2.shard ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
+  FROM p2 JOIN h ON p2.source IS NOT DISTINCT FROM h.source AND p2.shard = h.shard
+          LEFT JOIN hw ON p2.source IS NOT DISTINCT FROM hw.source AND p2.shard = hw.shard
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       ((wanted // greatest(shard_size, 1)) * size + greatest(0, least(size, wanted % greatest(shard_size, 1) - begun)))::BIGINT AS taken, source
+FROM j
+"""
