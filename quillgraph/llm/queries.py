@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import licenses, line_rules, mixing, resharding, scaled_sketch, secrets, simhash, sql, toxicity
+from quillgraph.llm import licenses, line_rules, mixing, packing, resharding, scaled_sketch, secrets, simhash, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
     "op7_simhash": simhash.op7_simhash,
+    "op2_best_fit": packing.op2_best_fit,
     "op3_scaled_sketch": scaled_sketch.op3_scaled_sketch,
     "op4_factorization_machine": toxicity.op4_factorization_machine,
     "op6_min_cost_flow": resharding.op6_min_cost_flow,
