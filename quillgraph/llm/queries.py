@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import licenses, line_rules, mixing, packing, resharding, scaled_sketch, secrets, simhash, sql, toxicity
+from quillgraph.llm import licenses, line_rules, mixing, packing, repeats, resharding, scaled_sketch, secrets, simhash, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit": packing.op2_best_fit,
     "op3_scaled_sketch": scaled_sketch.op3_scaled_sketch,
     "op4_factorization_machine": toxicity.op4_factorization_machine,
+    "op5_bwt_merge": repeats.op5_bwt_merge,
     "op6_min_cost_flow": resharding.op6_min_cost_flow,
     "op8_sainte_lague": mixing.op8_sainte_lague,
     "op9_positional_index": licenses.op9_positional_index,
