@@ -7,8 +7,9 @@ found in another estimates containment also between very unequal documents.
 A text whose hashes all lie above the threshold keeps its smallest one, which
 is as mergeable: a union keeps what is below, else the smallest.
 
-The likeness of two sketches is the containment of the smaller in the larger,
-``|A & B| / min(|A|, |B|)``: 1 for two empty sketches, 0 for one empty one.
+The likeness of a document to another text is the containment of its sketch
+in the other's, ``|A & B| / |A|``: 1 for two empty sketches, 0 for one empty
+one.  ``resemblance`` estimates ``|A & B| / |A | B|`` from the same sketches.
 
 The fingerprint is written as base64 of the ascending hashes, 8 bytes each,
 high byte first; no words give the empty string.
@@ -43,7 +44,7 @@ ROWS_EACH = 50_000
 def sketches(column: pa.Array, size: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
     """Ascending distinct hashes kept for each text."""
     out: list[np.ndarray] = []
-    threshold = np.uint64((1 << 64) // scale)
+    most = np.uint64(((1 << 64) - 1) // scale)
     for _, _, buf, offs in tk.chunks(column):
         starts, ends, index = tk.runs(tk.NOT_SPACE[buf], offs)
         row = tk.owners(index)
@@ -54,7 +55,7 @@ def sketches(column: pa.Array, size: int = SHINGLE, scale: int = SCALE) -> list[
         spans = tk.RangeHash(word)
         hashes = np.concatenate([spans(at, at + size), spans(index[short], index[short + 1])])
         of = np.concatenate([row[at], short])
-        low = hashes < threshold
+        low = hashes <= most
         missing = np.ones(len(count), bool)
         missing[of[low]] = False
         missing &= count > 0
@@ -69,15 +70,23 @@ def sketches(column: pa.Array, size: int = SHINGLE, scale: int = SCALE) -> list[
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of a's sketch that is in b's."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """Sketch of two texts' shingles together."""
     both = np.union1d(a, b)
-    low = both[both < np.uint64((1 << 64) // scale)]
+    low = both[both <= np.uint64(((1 << 64) - 1) // scale)]
     return low if len(low) else both[:1]
 
 

@@ -198,13 +198,5 @@ def hex16(value: str) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest doc_id; of repeated rows one (columns of documents)."""
-    chosen = groups(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    keyed = documents.withColumn("tie", F.xxhash64("text"))
-    kept = keyed.join(chosen.withColumnRenamed("doc_id", "chosen"), F.col("doc_id").eqNullSafe(F.col("chosen"))).drop("chosen")
-    return kept.dropDuplicates(["doc_id"]).drop("tie")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read(spark, sf_dir, "documents")).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
