@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.lineage import cut
+
 
 def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """All trails (no edge twice) of 1..depth hops from the nodes (column id): nodes, and depth.
@@ -40,12 +42,15 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 3, least: float = 0
 
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """Nodes reached and their least depth: a frontier that never visits a node twice, for graphs with too many trails."""
+    """Nodes reached and their least depth: a frontier that never visits a node twice, for graphs with too many trails.
+
+    Each hop's frontier is cut, as both the next frontier and what was seen depend on it.
+    """
     steps = edges.select("src", "dst").distinct()
     seen = starts.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen.select("id")
     for hop in range(1, depth + 1):
-        frontier = frontier.join(steps, frontier.id == steps.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier = cut(frontier.join(steps, frontier.id == steps.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(hop)))
     return seen.where("depth > 0")
 
@@ -95,15 +100,18 @@ def traces(edges: DataFrame, entries: DataFrame, fanout: int = 3, fetch: int = 1
     """(entry, steps) for each of the entries' traces.
 
     The neighbourhood that a trace can reach (the ``fetch`` first callees of a
-    node, ``depth`` hops) is gathered by joins, one group an entry; only the
-    order-dependent walk runs in Python, on the group of its entry.
+    node, ``depth`` hops) is gathered by joins, one group an entry, each hop's
+    frontier being cut; only the order-dependent walk runs in Python, on the
+    group of its entry, which fanout and depth bound.
     """
-    ranked = edges.where("src <> dst").groupBy("src").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, fetch).alias("callees"))
-    frontier = entries.select(F.col("id").alias("entry"), F.col("id").alias("node"))
+    ranked = cut(edges.where("src <> dst").groupBy("src").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, fetch).alias("callees")))
+    frontier = cut(entries.select(F.col("id").alias("entry"), F.col("id").alias("node")))
     seen = frontier
     for _ in range(depth):
         nexts = frontier.join(ranked, frontier.node == ranked.src).select("entry", F.explode(F.slice("callees", 1, fetch)).alias("node")).distinct()
-        frontier = nexts.join(seen, ["entry", "node"], "left_anti")
+        frontier = cut(nexts.join(seen, ["entry", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     near = seen.join(ranked, seen.node == ranked.src).select("entry", "node", "callees")
     kind = dict(entries.dtypes)["id"]

@@ -31,7 +31,7 @@ def scan(spark: SparkSession, root: str, service: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{extensions}}}").load(root)
     base = F.regexp_replace(F.col("path"), "^[a-z]+:(?://)?(?=/)", "")
     below = F.expr("substring(p, length(root) + 2)")
-    named = raw.select(base.alias("p"), F.lit(root.rstrip("/")).alias("root"), F.decode(F.col("content"), F.lit("UTF-8")).alias("content"))
+    named = raw.select(base.alias("p"), F.lit(root.rstrip("/")).alias("root"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return select_files(named.select(F.lit(service).alias("service"), below.alias("path"), "content"))
 
 
