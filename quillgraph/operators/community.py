@@ -93,9 +93,9 @@ def communities(edges: DataFrame) -> DataFrame:
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) < MIN_EDGES:
-            return pd.DataFrame({"service": [], "node": [], "community": []})
+            return pd.DataFrame({"service": [], "node": [], "community": []}, dtype=object)
         found = louvain(sorted(zip(group["a"], group["b"], group["weight"], strict=True)))
-        return pd.DataFrame({"service": group["service"].iloc[0], "node": list(found), "community": [f"{group['service'].iloc[0]}::community-{c}" for c in found.values()]})
+        return pd.DataFrame({"service": group["service"].iloc[0], "node": list(found), "community": [f"{group['service'].iloc[0]}::community-{c}" for c in found.values()]}, dtype=object)
 
     return pairs.groupBy("service").applyInPandas(solve, f"service string, node {kind}, community string")
 

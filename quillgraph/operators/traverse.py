@@ -119,7 +119,8 @@ def traces(edges: DataFrame, entries: DataFrame, fanout: int = 3, fetch: int = 1
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         entry = group["entry"].iloc[0]
         adjacency = defaultdict(list, {n: list(c) for n, c in zip(group["node"], group["callees"], strict=True)})
-        return pd.DataFrame({"entry": [entry] * len(found), "trace": range(len(found)), "steps": found}) if (found := trace_paths(adjacency, entry, fanout, depth)) else pd.DataFrame({"entry": [], "trace": [], "steps": []})
+        found = trace_paths(adjacency, entry, fanout, depth)
+        return pd.DataFrame({"entry": [entry] * len(found), "trace": range(len(found)), "steps": found}, dtype=object)
 
     return near.groupBy("entry").applyInPandas(walk, f"entry {kind}, trace int, steps array<{kind}>")
 

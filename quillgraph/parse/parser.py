@@ -37,8 +37,8 @@ def parse_source(path: str, source: str | None) -> dict:
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        parsed = pd.DataFrame([parse_source(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)])
-        yield pd.concat([batch[["service"]].reset_index(drop=True), parsed], axis=1)
+        records = [parse_source(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)]
+        yield pd.DataFrame({"service": batch["service"].to_list()} | {k: [r[k] for r in records] for k in ("file", "language", "symbols", "classes", "infra", "dags", "errors")}, dtype=object)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
