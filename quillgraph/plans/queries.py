@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import scalar as S
 from quillgraph.operators import analytics as A
-from quillgraph.operators import build, community, context, linkage, search, symbols, traverse
+from quillgraph.operators import build, community, context, linkage, resolve, search, symbols, traverse
+from quillgraph.parse import parser
 from quillgraph.plans.fixtures import Views
 from quillgraph.plans.oracles import using
 from quillgraph.schemas import MECHANISMS
@@ -715,3 +716,152 @@ def _(v):
     n = v.table("nation")
     heads = n.where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("service"), F.lit("h1").alias("head"), F.lit(2).alias("behind"))
     return git.staleness(n.select(F.col("n_name").alias("service"), F.when(F.col("n_nationkey") % 3 == 0, "h0").otherwise("h1").alias("last_commit")), heads).select("service", "status")
+
+
+# ---- source text: files made of documents' numbers
+
+
+def _sources(v: Views) -> DataFrame:
+    """Two small files a document: a script that imports and calls, and the module it names."""
+    n = F.col("doc_id").cast("string")
+    say = lambda template: F.replace(F.lit(template), F.lit("#"), n)
+    main = say('import { a# as b, c } from "./lib#";\nimport os# from "os";\nconst box: Box# = make();\nconst run = new Run#();\nclass Main# extends Base# implements IShape {\n  go(x: string): string {\n    return run.start(x);\n  }\n}\n')
+    lib = say("export class Run# {\n  start(x: string): number {\n    return producer.produce('topic#', x);\n  }\n}\n")
+    files = F.array(F.struct(F.concat(F.lit("src/main"), n, F.lit(".ts")).alias("path"), main.alias("content")), F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("src/lib"), n, F.lit(".ts"))).otherwise(F.concat(F.lit("src/lib"), n, F.lit("/index.ts"))).alias("path"), lib.alias("content")))
+    return v.table("documents").select(F.col("source").alias("service"), F.explode(files).alias("f")).select("service", "f.path", "f.content", F.lit("typescript").alias("language"))
+
+
+_MAIN, _LIB = "'src/main' || doc_id || '.ts'", "CASE WHEN doc_id % 2 = 0 THEN 'src/lib' || doc_id || '.ts' ELSE 'src/lib' || doc_id || '/index.ts' END"
+
+
+@query("f17_imports", f"SELECT source AS service, {_MAIN} AS file, unnest([1, 2]) AS line, unnest(['./lib' || doc_id, 'os']) AS module, unnest([['a' || doc_id, 'c'], ['os' || doc_id]]) AS names FROM documents")
+def _(v):
+    return resolve.imports(_sources(v)).select("service", "file", "line", "module", "names")
+
+
+@query("j10_import_resolution", f"SELECT source AS service, {_MAIN} AS file, unnest(['./lib' || doc_id, 'os']) AS module, unnest([{_LIB}, NULL]) AS resolved, unnest([false, true]) AS external, unnest([CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.85 END, 0.6])::DOUBLE AS confidence FROM documents")
+def _(v):
+    files = _sources(v)
+    return resolve.resolve_imports(resolve.imports(files), files).select("service", "file", "module", "resolved", "external", "confidence")
+
+
+@query("a21_import_stats", "SELECT 2 * count(*) AS total, count(*) AS resolved, count(*) AS external FROM documents")
+def _(v):
+    files = _sources(v)
+    return resolve.import_stats(resolve.resolve_imports(resolve.imports(files), files))
+
+
+@query("s08_parse_phase", f"SELECT source AS service, unnest([{_MAIN}, {_LIB}]) AS file, unnest(['go', 'start']) AS name, 'method' AS kind, unnest([6, 2]) AS start_line, unnest([8, 4]) AS end_line, unnest(['string', 'number']) AS return_type FROM documents")
+def _(v):
+    return parser.symbols_of(parser.parse_files(_sources(v))).select("service", "file", "name", "kind", "start_line", "end_line", "return_type")
+
+
+@query("s20_function_nodes", f"SELECT source AS service, unnest([{_MAIN}, {_LIB}]) AS file, unnest(['go(x: string) → string', 'start(x: string) → number']) AS signature FROM documents")
+def _(v):
+    return build.function_nodes(parser.symbols_of(parser.parse_files(_sources(v)))).select("service", "file", "signature")
+
+
+@query("s21_call_edges", f"SELECT source AS service, unnest([{_MAIN}, {_LIB}]) AS file, unnest(['run.start', 'producer.produce']) AS callee, 0.85::DOUBLE AS confidence, 'method_call' AS reason, unnest([7, 3]) AS line FROM documents")
+def _(v):
+    symbols_ = parser.symbols_of(parser.parse_files(_sources(v)))
+    return build.call_edges(build.call_sites(symbols_), build.function_nodes(symbols_)).select("service", "file", "callee", "confidence", "reason", "line")
+
+
+@query("s22_method_edges", f"SELECT source AS service, unnest([{_MAIN}, {_LIB}]) AS file, unnest(['Main' || doc_id, 'Run' || doc_id]) AS class, unnest(['go', 'start']) AS name FROM documents")
+def _(v):
+    parsed = parser.parse_files(_sources(v))
+    return build.method_edges(parser.classes_of(parsed), build.function_nodes(parser.symbols_of(parsed))).select("service", "file", "class", "name")
+
+
+@query("s23_infra_edges", f"SELECT source AS service, {_LIB} AS file, 'start' AS owner, 'KafkaTopic' AS label, 'PRODUCES_TO' AS edge, 'topic' || doc_id AS target FROM documents")
+def _(v):
+    parsed = parser.parse_files(_sources(v))
+    return build.infra_edges(build.owned_infra(parser.infra_of(parsed), parser.symbols_of(parsed))).select("service", "file", "owner", "label", "edge", "target")
+
+
+@query("j11_heritage", f"SELECT source AS service, {_MAIN} AS file, unnest(['Base' || doc_id, 'IShape']) AS base, unnest(['EXTENDS', 'IMPLEMENTS']) AS type, 0.7::DOUBLE AS confidence FROM documents")
+def _(v):
+    return resolve.heritage(parser.classes_of(parser.parse_files(_sources(v)))).select("service", "file", "base", "type", "confidence")
+
+
+@query("f18_type_bindings", f"SELECT source AS service, {_MAIN} AS file, unnest(['box', 'run']) AS variable, unnest(['Box' || doc_id, 'Run' || doc_id]) AS type, unnest([0, 1]) AS tier FROM documents")
+def _(v):
+    files = _sources(v)
+    parsed = parser.parse_files(files)
+    return resolve.bindings(files, parser.classes_of(parsed), parser.symbols_of(parsed)).select("service", "file", "variable", "type", "tier")
+
+
+@query("j12_type_resolution", f"SELECT source AS service, {_MAIN} AS file, 'go' AS caller, 'run.start' AS callee, 'Run' || doc_id AS type, {_LIB} AS class_file, 0.9::DOUBLE AS confidence, 'constructor_inference' AS reason FROM documents")
+def _(v):
+    files = _sources(v)
+    parsed = parser.parse_files(files)
+    syms, classes = parser.symbols_of(parsed), parser.classes_of(parsed)
+    return resolve.resolve_calls(build.call_sites(syms), resolve.bindings(files, classes, syms), classes).select("service", "file", "caller", "callee", "type", "class_file", F.round("confidence", 6).alias("confidence"), "reason")
+
+
+@query("f11_chunks", f"SELECT source || '::' || {_LIB} || '::start::L2' AS id, concat_ws(chr(10), '[typescript] start(x: string) → number', 'File: ' || {_LIB}, 'Lines: 2-4', 'Calls: producer.produce', 'Infrastructure: Produces to Kafka topic: topic' || doc_id) AS document FROM documents")
+def _(v):
+    return build.chunks(parser.parse_files(_sources(v))).where("name = 'start'").select("id", "document")
+
+
+@query("s09_openapi", "SELECT n_name AS service, unnest(['/' || n_nationkey || '/a', '/' || n_nationkey || '/a', '/b']) AS target, unnest(['GET', 'POST', 'DELETE']) AS method FROM nation")
+def _(v):
+    text = F.replace(F.lit('{"openapi": "3.0.0", "paths": {"/#/a": {"get": {}, "post": {"operationId": "x"}}, "/b": {"delete": {}}}}'), F.lit("#"), F.col("n_nationkey").cast("string"))
+    files = v.table("nation").select(F.col("n_name").alias("service"), F.lit("openapi.json").alias("path"), text.alias("content"))
+    return parser.infra_of(parser.parse_files(files)).select("service", "target", F.col("metadata")["method"].alias("method"))
+
+
+@query("s10_compose", "SELECT n_name AS service, unnest(['web', 'db']) AS target, unnest(['img' || n_nationkey, '<local-build>']) AS image, unnest(['db', '']) AS needs FROM nation")
+def _(v):
+    text = F.replace(F.lit("services:\n  web: {image: img#, depends_on: [db]}\n  db: {build: .}\n"), F.lit("#"), F.col("n_nationkey").cast("string"))
+    files = v.table("nation").select(F.col("n_name").alias("service"), F.lit("docker-compose.yml").alias("path"), text.alias("content"))
+    return parser.infra_of(parser.parse_files(files)).select("service", "target", F.col("metadata")["image"].alias("image"), F.col("metadata")["dependsOn"].alias("needs"))
+
+
+@query("s24_workflow_edges", "SELECT n_name AS service, 'flow' || n_nationkey AS dag, 'two' AS name, 'one' AS needs FROM nation")
+def _(v):
+    text = F.replace(F.lit("flow#:\n  tasks:\n    one: {operator: a.B}\n    two: {operator: c, dependencies: [one, lost]}\n"), F.lit("#"), F.col("n_nationkey").cast("string"))
+    files = v.table("nation").select(F.col("n_name").alias("service"), F.lit("flows.yml").alias("path"), text.alias("content"))
+    parsed = parser.parse_files(files)
+    return build.dag_edges(parser.tasks_of(parsed), build.function_nodes(parser.symbols_of(parsed)))["DEPENDS_ON"].select("service", "dag", "name", "needs")
+
+
+@query("s25_sync_metadata", "SELECT n_name AS service, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS last_commit, n_regionkey::BIGINT AS file_count FROM nation")
+def _(v):
+    n = v.table("nation")
+    old = n.select(F.col("n_name").alias("service"), F.lit("old").alias("last_commit"), F.lit(0).cast("long").alias("file_count"))
+    runs = n.select(F.col("n_name").alias("service"), F.when(F.col("n_nationkey") % 2 == 0, "new").alias("commit"), F.col("n_regionkey").cast("long").alias("files"))
+    return source_files.sync_metadata(old, runs).select("service", "last_commit", "file_count")
+
+
+@query("s26_snapshot", "SELECT n_regionkey::VARCHAR AS service, count(*) AS nations, list_sort(list(DISTINCT n_name)) AS topics FROM nation GROUP BY ALL")
+def _(v):
+    n = v.table("nation").select(F.col("n_regionkey").cast("string").alias("service"), F.col("n_name").alias("topic"))
+    counts = lambda key: n.groupBy("service", F.lit("Nation").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    snap = A.snapshot(counts("label"), counts("type"), n.select("service", F.col("topic").alias("path"), F.lit("GET").alias("method")), n.select("service", F.col("topic").alias("endpoint")), n, "c")
+    return snap.select("service", F.col("node_counts")["Nation"].alias("nations"), F.col("kafka_topics").alias("topics"))
+
+
+@query("f15_route_score", using("pagep", sql="SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 3 WHEN page_id % 4 = 1 AND path LIKE '/%/%' AND path NOT LIKE '/%/%/%' THEN 2 WHEN page_id % 4 = 2 THEN CASE WHEN length(path) = length(left(path, 3)) THEN 3 ELSE 1 END ELSE 0 END AS score FROM pagep"))
+def _(v):
+    path = S.normalize_path(F.col("url"))
+    k = F.col("page_id") % 4
+    route = F.when(k == 0, path).when(k == 1, F.concat(F.regexp_extract(path, "^(/[^/]*)", 1), F.lit("/:id"))).when(k == 2, F.left(path, F.lit(3))).otherwise(F.lit("/"))
+    return v.table("pages").select("page_id", S.route_score(path, route).alias("score"))
+
+
+@query("f19_clean_docstring", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'First ' || doc_id || chr(10) || 'second' ELSE 'only ' || doc_id END AS doc FROM documents")
+def _(v):
+    n = F.col("doc_id").cast("string")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/**\n * First "), n, F.lit("\n * second\n */"))).otherwise(F.concat(F.lit("# only "), n))
+    return v.table("documents").select("doc_id", S.clean_docstring(raw).alias("doc"))
+
+
+@query("f25_promoted_markdown", "SELECT event_type AS query, concat_ws(chr(10), '# ' || event_type, '', 'Asked ' || count(*) || ' times.') AS body FROM events GROUP BY event_type")
+def _(v):
+    return stores.pattern_files(v.events().groupBy("query").agg(F.count(F.lit(1)).alias("frequency"))).select("query", "body")
+
+
+@query("w08_binding_precedence", "SELECT l_orderkey AS file, arg_min(l_partkey, (l_returnflag, l_linenumber, l_partkey)) AS kind FROM lineitem GROUP BY l_orderkey")
+def _(v):
+    return v.table("lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.min_by("l_partkey", F.struct("l_returnflag", "l_linenumber", "l_partkey")).alias("kind"))

@@ -65,3 +65,10 @@ def insert_absent(existing: DataFrame, new: DataFrame, key: str, seen: str) -> D
     latest = new.groupBy(key).agg(F.max(seen).alias("_seen"))
     refreshed = existing.join(latest, key, "left").withColumn(seen, F.greatest(F.col(seen), F.col("_seen"))).drop("_seen")
     return refreshed.unionByName(new.join(existing, key, "left_anti").dropDuplicates([key]))
+
+
+def sync_metadata(services: DataFrame, runs: DataFrame) -> DataFrame:
+    """Services with the commit, time and file count of their newest run; a run without a commit keeps the old one."""
+    joined = services.join(runs, "service", "left")
+    ran = F.col("files").isNotNull()
+    return joined.select("service", F.coalesce("commit", "last_commit").alias("last_commit"), F.when(ran, F.current_timestamp()).alias("last_sync"), F.coalesce("files", "file_count").alias("file_count"))

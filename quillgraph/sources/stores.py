@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.scalar import slug
+
 
 class TableStore:
     """A Parquet table replaced as a whole: written beside, then renamed, so a reader sees the old or the new rows."""
@@ -81,3 +83,9 @@ def with_hits(chunks: DataFrame, hits: DataFrame) -> DataFrame:
 def promoted(hot: DataFrame, existing: DataFrame) -> DataFrame:
     """Hot queries whose slug isn't there yet."""
     return hot.join(existing, "slug", "left_anti")
+
+
+def pattern_files(hot: DataFrame) -> DataFrame:
+    """slug, query and Markdown body of hot queries (query, frequency)."""
+    body = F.concat_ws("\n", F.concat(F.lit("# "), "query"), F.lit(""), F.concat(F.lit("Asked "), F.col("frequency").cast("string"), F.lit(" times.")))
+    return hot.select(slug(F.col("query")).alias("slug"), "query", body.alias("body"))
