@@ -50,7 +50,7 @@ from quillgraph.llm.frames import arrow_map, cut, partitions_for, read
 WINDOW = 400
 GRAM = 32
 BLOCK = 100
-HOT = 2000
+HOT = 500
 SHARDS = 4
 #: Bytes of segments merged at once in a task.
 BATCH_BYTES = 1 << 20
