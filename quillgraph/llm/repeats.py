@@ -53,7 +53,7 @@ BLOCK = 100
 HOT = 500
 SHARDS = 4
 #: Bytes of segments merged at once in a task.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 FIRST_BLOCK = 128
 _PLACE = np.uint64(28)
 
@@ -212,8 +212,15 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, to bound the Python objects that are made of one."""
     for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
         out: list[tuple] = []
         for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
             out += [(r["anchor"], r["segment"], r["weight"], r["lead"], r["hot"], text[r["begin"] : r["begin"] + r["n"] - 1 + WINDOW]) for r in runs]
@@ -228,7 +235,7 @@ _PIECE = "anchor long, segment long, weight long, lead int, offset int, width in
 def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut each piece into the aligned blocks of starts of half its width, with hashes of the blocks' common bytes and of the whole piece."""
     names = [x.split()[0] for x in _PIECE.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for anchor, segment, weight, lead, offset, width, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "weight", "lead", "offset", "width", "bytes")), strict=True):
             half = width // 2
@@ -304,26 +311,26 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        spans = [merged(s) for s in batch.column("spans").to_pylist()]
-        kept = [without(t, s) for t, s in zip(texts, spans, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
-                pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary()),
-            ],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
-
-
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of each document."""
+def _cutter(with_kept: bool):
+    def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            spans = [merged(s) for s in part.column("spans").to_pylist()]
+            kept = [without(t, s) for t, s in zip(texts, spans, strict=True)]
+            gone = [len(t) - len(k) for t, k in zip(texts, kept, strict=True)]
+            columns = {"doc_id": part.column("doc_id"), "n_bytes": pa.array(map(len, texts), pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(map(len, spans), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+            columns |= {"kept": pa.array(kept, pa.binary())} if with_kept else {}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return cut_batches
+
+
+def remove_repeats(documents: DataFrame, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and on request the kept bytes of each document."""
     keyed = documents.select("doc_id", F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row"), "text")
     joined = keyed.join(repeated_spans(documents), "row", "left").select("doc_id", "text", "spans")
-    return arrow_map(joined, _cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return arrow_map(joined, _cutter(with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(read(spark, sf_dir, "documents"), with_kept=False)
