@@ -1,9 +1,8 @@
-"""Spark helpers shared by the operators: Arrow maps, recoverable cuts of lineage, components, sums in order."""
+"""Spark helpers shared by the operators: Arrow maps, components, sizes."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators.lineage import cut
+
+__all__ = ["arrow_map", "components", "cut", "partitions_for", "read", "roots", "size_bytes", "whole_partition", "workers_import"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -38,22 +41,6 @@ def whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(kept).combine_chunks() if kept else None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own
-    is set only where none is named and the master is local, as in tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions so that each has about ``rows_each`` rows, never fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

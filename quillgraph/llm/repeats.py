@@ -256,7 +256,15 @@ def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def halved(hot: DataFrame) -> DataFrame | None:
+def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a segment that touch become one."""
+    for batch in batches:
+        spans = [merged(p) for p in batch.column("pieces").to_pylist()]
+        lists = [pa.array([[s[k] for s in row] for row in spans], pa.list_(pa.int32())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("segment"), *lists], _FOUND)
+
+
+def halved(hot: DataFrame) -> DataFrame:
     """Repeated starts of the segments with a hot anchor, by halving blocks of starts."""
     pieces = cut(hot.dropDuplicates(["anchor", "segment"]).select("anchor", "segment", "weight", "lead", F.lit(0).alias("offset"), F.lit(2 * FIRST_BLOCK).alias("width"), "bytes"))
     found = None
@@ -265,11 +273,13 @@ def halved(hot: DataFrame) -> DataFrame | None:
         cores = blocks.groupBy("core").agg(F.sum("weight").alias("core_weight")).where("core_weight > 1")
         same = blocks.groupBy("core", "piece").agg(F.sum("weight").alias("piece_weight")).where("piece_weight > 1")
         counted = cut(blocks.join(cores, "core").join(same, ["core", "piece"], "left"))
-        done = counted.where("piece_weight > 1 OR width = 1").select("anchor", "segment", F.array("offset").alias("low"), F.array((F.col("offset") + F.octet_length("bytes") - (WINDOW - 1)).cast("int")).alias("high"))
+        done = counted.where("piece_weight > 1 OR width = 1").select("anchor", "segment", F.struct(F.col("offset").alias("low"), (F.col("offset") + F.octet_length("bytes") - (WINDOW - 1)).alias("high")).alias("piece"))
         found = done if found is None else found.unionByName(done)
         # Of pieces with the same bytes one goes on, for what it may share with others.
         pieces = counted.where("width > 1").dropDuplicates(["core", "piece"]).select("anchor", "segment", F.coalesce("piece_weight", "weight").alias("weight"), "lead", "offset", "width", "bytes")
-    return found
+    # A segment has no more pieces than starts.
+    pieces = found.groupBy("anchor", "segment").agg(F.collect_list("piece").alias("pieces"))
+    return arrow_map(pieces, _join_batches, "anchor long, segment long, low array<int>, high array<int>")
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
