@@ -128,12 +128,17 @@ def since(now: Column, days: int) -> Column:
     return now - F.make_dt_interval(F.lit(days))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def log_summary(content: Column) -> Column:
     """Summary of a test log: its first five failing lines."""
     lines = F.split(content, "\n")
     failing = F.slice(F.filter(lines, lambda x: x.rlike("FAIL|Error:|✗|✕|× ")), 1, 5)
     head = F.concat(F.lit("Test log: "), F.size(lines).cast("string"), F.lit(" lines"))
-    return F.when(F.size(failing) == 0, F.concat(head, F.lit(", no failures detected"))).otherwise(F.concat(head, F.lit(". Failures: "), F.array_join(F.transform(failing, F.trim), " | ")))
+    return F.when(F.size(failing) == 0, F.concat(head, F.lit(", no failures detected"))).otherwise(F.concat(head, F.lit(". Failures: "), F.array_join(F.transform(failing, stripped), " | ")))
 
 
 def diff_summary(content: Column) -> Column:
@@ -145,7 +150,7 @@ def terminal_summary(content: Column) -> Column:
     lines = F.split(content, "\n")
     errors = F.slice(F.filter(lines, lambda x: x.rlike("error|Error|ERROR|fail|FAIL")), 1, 3)
     n = F.size(lines).cast("string")
-    return F.when(F.size(errors) > 0, F.concat(F.lit("Terminal output ("), n, F.lit(" lines). Errors: "), F.array_join(F.transform(errors, F.trim), " | "))).otherwise(F.concat(F.lit("Terminal output: "), n, F.lit(" lines")))
+    return F.when(F.size(errors) > 0, F.concat(F.lit("Terminal output ("), n, F.lit(" lines). Errors: "), F.array_join(F.transform(errors, stripped), " | "))).otherwise(F.concat(F.lit("Terminal output: "), n, F.lit(" lines")))
 
 
 def artifact_summary(kind: Column, content: Column) -> Column:
