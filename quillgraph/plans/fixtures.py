@@ -37,21 +37,21 @@ class Views:
         return self.calls().join(own, "src").join(other, "dst").where("service = s2").drop("s2")
 
     def resources(self) -> DataFrame:
-        """Resource edges (src, type, dst): lines of status F to suppliers, by the supplier's number."""
-        line = self.table("lineitem").where("l_linestatus = 'F' AND l_quantity > 40")
+        """Resource edges (src, type, dst): parts to suppliers of lines of status F, by the supplier's number."""
+        line = self.table("lineitem").where("l_linestatus = 'F'")
         kind = F.when(F.col("l_suppkey") % 3 == 0, "CONNECTS_TO").when(F.col("l_suppkey") % 3 == 1, "PRODUCES_TO").otherwise("CONSUMES_FROM")
         return line.select(F.col("l_partkey").alias("src"), kind.alias("type"), F.col("l_suppkey").alias("dst")).distinct()
 
     def produced(self) -> DataFrame:
         """Supplier to topic (part) of shipped lines."""
-        return self.table("lineitem").where("l_linestatus = 'F' AND l_linenumber = 1").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("hub"))
+        return self.table("lineitem").where("l_linestatus = 'F'").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("hub"))
 
     def consumed(self) -> DataFrame:
-        return self.table("lineitem").where("l_linestatus = 'O' AND l_linenumber = 1").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("hub"))
+        return self.table("lineitem").where("l_linestatus = 'O'").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("hub"))
 
     def routes(self) -> DataFrame:
-        """Routes: of every tenth page a template or its path, by a handler in a service of its host."""
-        pages = self.table("pages").where("page_id % 5 = 0")
+        """Routes: each page's path or a template of it, by a handler in one of three services."""
+        pages = self.table("pages")
         path = normalize_path(F.col("url"))
         template = F.concat(F.regexp_extract(path, "^(/[^/]*)", 1), F.lit("/{id}"))
         return pages.select(F.col("page_id").alias("handler"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("service"), F.when(F.col("page_id") % 2 == 0, path).otherwise(template).alias("route"), F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET").alias("method"))
@@ -69,12 +69,12 @@ class Views:
         return self.table("events").select("event_id", "ts", "user_id", F.col("event_type").alias("query"), (F.col("user_id") % 500).alias("top_id"), F.least(F.col("value") / 100, F.lit(1.0)).alias("top_score"))
 
     def snapshot_routes(self, late: bool) -> DataFrame:
-        """Routes before and after a date: priorities and statuses of orders of some customers."""
-        rows = self.table("orders").where("o_orderdate >= TIMESTAMP '1999-01-01'" if late else "o_orderdate < TIMESTAMP '1997-01-01'").where("o_custkey % 7 = " + ("1" if late else "0"))
-        return rows.select(F.concat(F.lit("/"), F.col("o_orderpriority"), F.lit("/"), (F.col("o_custkey") % 40).cast("string")).alias("path"), F.col("o_orderstatus").alias("method")).distinct()
+        """Routes before 1997 or from 1999 on: priority and customer of an order as the path, its status as the method."""
+        rows = self.table("orders").where("o_orderdate >= TIMESTAMP '1999-01-01'" if late else "o_orderdate < TIMESTAMP '1997-01-01'")
+        return rows.select(F.concat(F.lit("/"), F.col("o_orderpriority"), F.lit("/"), F.col("o_custkey").cast("string")).alias("path"), F.col("o_orderstatus").alias("method")).distinct()
 
     def ledger(self) -> DataFrame:
-        text = F.left("text", F.lit(20))
+        text = F.col("text")
         role = lambda r: F.when(F.col("role") == r, F.array(text))
         single = F.when(F.col("role") == "user", text)
         return self.table("conversations").select(F.col("conv_id").alias("task"), F.col("turn").alias("seq"), single.alias("objective"), F.col("role").alias("state"), role("user").alias("constraints"), role("assistant").alias("decisions"), F.array("role").alias("files"), role("assistant").alias("commands"), role("system").alias("questions"), role("user").alias("next"))

@@ -59,17 +59,17 @@ def _(v):
     return v.table("documents").select("doc_id", S.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("s03_incremental_scan", "SELECT doc_id AS path, n_chars, (doc_id % 4 = 0 OR doc_id % 7 = 0) AS changed FROM documents")
+@query("s03_incremental_scan", "SELECT doc_id AS path, n_chars, lang IN ('fr', 'es') AS changed FROM documents")
 def _(v):
-    docs = v.table("documents").select(F.col("doc_id").alias("path"), "n_chars", S.content_hash(F.col("text")).alias("content_hash"))
-    index = docs.where("path % 7 <> 0").select("path", F.when(F.col("path") % 4 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"))
+    docs = v.table("documents").select(F.col("doc_id").alias("path"), "n_chars", "lang", S.content_hash(F.col("text")).alias("content_hash"))
+    index = docs.where("lang <> 'fr'").select("path", F.when(F.col("lang") == "es", "old").otherwise(F.col("content_hash")).alias("content_hash"))
     return source_files.mark_changed(docs, index).select("path", "n_chars", "changed")
 
 
-@query("s03_deleted_files", "SELECT doc_id AS path FROM documents WHERE doc_id % 9 = 0")
+@query("s03_deleted_files", "SELECT doc_id AS path FROM documents WHERE lang = 'de'")
 def _(v):
-    docs = v.table("documents").select(F.col("doc_id").alias("path"))
-    return source_files.deleted(docs.where("path % 9 <> 0"), docs)
+    docs = v.table("documents").select(F.col("doc_id").alias("path"), "lang")
+    return source_files.deleted(docs.where("lang <> 'de'"), docs)
 
 
 @query("s06_languages", f"SELECT coalesce(language, '-') AS language, count(*) AS n FROM (SELECT {_LANGUAGE_SQL} AS language FROM (SELECT lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM ({_FILES_SQL}))) GROUP BY 1")
@@ -80,7 +80,7 @@ def _(v):
 @query("s13_upsert", "SELECT o_custkey AS name, max_by(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS seq, min(o_orderdate) AS first_seen FROM orders GROUP BY o_custkey")
 def _(v):
     rows = v.table("orders").select(F.col("o_custkey").alias("name"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("first_seen"))
-    return source_files.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), ["name"], "seq", "first_seen")
+    return source_files.upsert(rows.where("status = 'F'"), rows.where("status <> 'F'"), ["name"], "seq", "first_seen")
 
 
 _L2_SQL = "SELECT v.vec_id AS id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, id LIMIT 10"
@@ -100,14 +100,14 @@ def _(v):
     return search.vector(v.chunks(), list(v.chunks().where("id = 0").first().embedding), 10, "cosine").select("id", "distance")
 
 
-@query("s16_delete_chunks", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0")
+@query("s16_delete_chunks", "SELECT vec_id AS id, label FROM embeddings WHERE label <> 3")
 def _(v):
-    return stores.delete_by_ids(v.chunks(), v.chunks().where("id % 3 = 0").select("id")).select("id", "label")
+    return stores.delete_by_ids(v.chunks(), v.chunks().where("label = 3").select("id")).select("id", "label")
 
 
-@query("s16_get_chunks", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 = 0")
+@query("s16_get_chunks", "SELECT vec_id AS id, label FROM embeddings WHERE label = 3")
 def _(v):
-    return stores.get_by_ids(v.chunks(), v.chunks().where("id % 3 = 0").select("id")).select("id", "label")
+    return stores.get_by_ids(v.chunks(), v.chunks().where("label = 3").select("id")).select("id", "label")
 
 
 @query("s17_hit_counts", using("ev", sql="SELECT top_id AS id, count(*) AS hit_count, max(ts) AS last_queried FROM ev GROUP BY top_id"))
@@ -120,10 +120,10 @@ def _(v):
     return stores.with_hits(v.chunks(), stores.hit_counts(v.events())).select("id", "label", "hit_count")
 
 
-@query("s27_insert_absent", "WITH old AS (SELECT c_custkey AS id, 1 AS seen FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT c_custkey AS id, c_nationkey AS seen FROM customer WHERE c_custkey % 3 = 0) SELECT coalesce(old.id, new.id) AS id, greatest(old.seen, new.seen) AS seen FROM old FULL JOIN new ON old.id = new.id")
+@query("s27_insert_absent", "WITH old AS (SELECT c_custkey AS id, 1 AS seen FROM customer WHERE c_mktsegment <> 'BUILDING'), new AS (SELECT c_custkey AS id, c_nationkey AS seen FROM customer WHERE c_acctbal > 0) SELECT coalesce(old.id, new.id) AS id, greatest(old.seen, new.seen) AS seen FROM old FULL JOIN new ON old.id = new.id")
 def _(v):
     c = v.table("customer")
-    return source_files.insert_absent(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit(1).alias("seen")), c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("seen")), "id", "seen")
+    return source_files.insert_absent(c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.lit(1).alias("seen")), c.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("seen")), "id", "seen")
 
 
 @query("s28_name_status", "SELECT 'src/f' || doc_id || '.py' AS path, CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed' ELSE 'modified' END AS status FROM documents")
@@ -132,10 +132,13 @@ def _(v):
     return git.parse_name_status(v.table("documents").select(F.concat(code, F.lit("\tsrc/f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("value")))
 
 
-@query("s32_promoted_slugs", "SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM documents WHERE doc_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 5 = 0 AND left(regexp_replace(regexp_replace(lower(left(d.text, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) = left(regexp_replace(regexp_replace(lower(left(documents.text, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60))")
+_SLUG = "left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60)"
+
+
+@query("s32_promoted_slugs", f"WITH s AS (SELECT doc_id, source, {_SLUG} AS slug FROM documents) SELECT doc_id, slug FROM s WHERE source <> 'src0' AND slug NOT IN (SELECT slug FROM s WHERE source = 'src0')")
 def _(v):
-    hot = v.table("documents").select("doc_id", S.slug(F.left("text", F.lit(90))).alias("slug"))
-    return stores.promoted(hot.where("doc_id % 5 <> 0"), hot.where("doc_id % 5 = 0").select("slug")).select("doc_id", "slug")
+    hot = v.table("documents").select("doc_id", "source", S.slug(F.col("text")).alias("slug"))
+    return stores.promoted(hot.where("source <> 'src0'"), hot.where("source = 'src0'").select("slug")).select("doc_id", "slug")
 
 
 # ---- filters and projections
@@ -239,20 +242,20 @@ def _(v):
     return symbols.one_hop(v.resources(), "CONNECTS_TO", v.functions().where("name = 'red widget'"), 10)
 
 
-_FACET = "SELECT t.name AS target, list_slice(list_sort(list(DISTINCT o.name)), 1, 3) AS names FROM calls JOIN fn t ON t.id = {near} JOIN fn o ON o.id = {far} WHERE t.name IN (SELECT name FROM fn WHERE id < 6) GROUP BY t.name"
+_FACET = "SELECT t.name AS target, list_slice(list_sort(list(DISTINCT o.name)), 1, 3) AS names FROM calls JOIN fn t ON t.id = {near} JOIN fn o ON o.id = {far} WHERE t.name LIKE '%ring%' GROUP BY t.name"
 
 
-@query("j04_augment", using("fn", "calls", sql=f"SELECT DISTINCT fn.name, coalesce(c.names, []) AS callers, coalesce(d.names, []) AS callees FROM fn LEFT JOIN ({_FACET.format(near='dst', far='src')}) c ON c.target = fn.name LEFT JOIN ({_FACET.format(near='src', far='dst')}) d ON d.target = fn.name WHERE fn.id < 6"))
+@query("j04_augment", using("fn", "calls", sql=f"SELECT DISTINCT fn.name, coalesce(c.names, []) AS callers, coalesce(d.names, []) AS callees FROM fn LEFT JOIN ({_FACET.format(near='dst', far='src')}) c ON c.target = fn.name LEFT JOIN ({_FACET.format(near='src', far='dst')}) d ON d.target = fn.name WHERE fn.name LIKE '%ring%'"))
 def _(v):
     f, c = v.functions(), v.calls()
-    names = f.where("id < 6").select(F.col("name").alias("target")).distinct()
+    names = f.where("name LIKE '%ring%'").select(F.col("name").alias("target")).distinct()
     matched = names.select(F.col("target").alias("name"))
     return symbols.augment(matched, {"callers": symbols.grouped_neighbours(c, names, f, "in"), "callees": symbols.grouped_neighbours(c, names, f, "out")})
 
 
-@query("j05_infra_owner", using("fn", sql="WITH i AS (SELECT p_partkey AS ordinal, p_brand AS service, p_type AS file, p_size + 5 AS line FROM part WHERE p_partkey % 4 = 0) SELECT i.service, i.file, i.line, i.ordinal, arg_min(fn.name, (fn.start_line, -fn.end_line, fn.name)) AS owner FROM i LEFT JOIN fn ON fn.service = i.service AND fn.file = i.file AND i.line BETWEEN fn.start_line AND fn.end_line GROUP BY ALL"))
+@query("j05_infra_owner", using("fn", sql="WITH i AS (SELECT p_partkey AS ordinal, p_brand AS service, p_type AS file, p_size + 5 AS line FROM part) SELECT i.service, i.file, i.line, i.ordinal, arg_min(fn.name, (fn.start_line, -fn.end_line, fn.name)) AS owner FROM i LEFT JOIN fn ON fn.service = i.service AND fn.file = i.file AND i.line BETWEEN fn.start_line AND fn.end_line GROUP BY ALL"))
 def _(v):
-    p = v.table("part").where("p_partkey % 4 = 0")
+    p = v.table("part")
     infra = p.select(F.col("p_brand").alias("service"), F.col("p_type").alias("file"), F.col("p_partkey").alias("ordinal"), (F.col("p_size") + 5).alias("line"), F.lit("db_mongo").alias("kind"), F.col("p_partkey").cast("string").alias("target"), F.lit("").alias("detail"), F.lit(None).cast("map<string,string>").alias("metadata"))
     return build.owned_infra(infra, v.functions()).select("service", "file", "line", F.col("target").cast("long").alias("ordinal"), "owner")
 
@@ -270,13 +273,13 @@ def _(v):
     return linkage.pair_view(linkage.through_hub(v.produced(), v.consumed(), "kafka"))
 
 
-_MSG = "SELECT l_suppkey AS node, l_partkey AS hub, ['rabbitmq', 'redis', 'sqs', 'nats'][l_partkey % 4 + 1] AS mechanism, l_returnflag = 'A' AS publishes FROM lineitem WHERE l_returnflag <> 'R' AND l_linenumber = 2"
+_MSG = "SELECT l_suppkey AS node, l_partkey AS hub, ['rabbitmq', 'redis', 'sqs', 'nats'][l_partkey % 4 + 1] AS mechanism, l_returnflag = 'A' AS publishes FROM lineitem WHERE l_returnflag <> 'R'"
 
 
 @query("j07_messaging_linkage", f"WITH m AS (SELECT DISTINCT * FROM ({_MSG})) SELECT p.node AS src, c.node AS dst, p.hub, p.mechanism FROM m p JOIN m c ON p.hub = c.hub AND p.mechanism = c.mechanism WHERE p.publishes AND NOT c.publishes AND p.node <> c.node")
 def _(v):
     table = v.spark.createDataFrame(MECHANISMS, "mechanism string, publish string, consume string, label string")
-    rows = v.table("lineitem").where("l_returnflag <> 'R' AND l_linenumber = 2")
+    rows = v.table("lineitem").where("l_returnflag <> 'R'")
     mechanism = F.element_at(F.array(*(F.lit(m[0]) for m in MECHANISMS)), (F.col("l_partkey") % 4 + 1).cast("int"))
     named = rows.select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("hub"), mechanism.alias("hub_type"), (F.col("l_returnflag") == "A").alias("publishes"))
     edges = named.join(F.broadcast(table), F.col("hub_type") == F.col("mechanism")).select(F.when(F.col("publishes"), F.col("publish")).otherwise(F.col("consume")).alias("type"), "node", "hub", F.col("label").alias("hub_label"), "hub_type")
@@ -360,14 +363,14 @@ def _(v):
     return traverse.reachable(v.calls(), ids(v, 42), 4)
 
 
-@query("g02_forward_flows", using("calls", sql=_TRAILS.format(edges="(SELECT * FROM calls WHERE src % 3 = 0)", start=42, depth=4) + "SELECT nodes AS steps, depth FROM t WHERE last NOT IN (SELECT src FROM calls WHERE src % 3 = 0) AND last <> 42 ORDER BY depth DESC, steps LIMIT 5"))
+@query("g02_forward_flows", using("calls", sql=_TRAILS.format(edges="calls", start=42, depth=5) + "SELECT nodes AS steps, depth FROM t WHERE last NOT IN (SELECT src FROM calls) AND last <> 42 ORDER BY depth DESC, steps LIMIT 5"))
 def _(v):
-    return traverse.flows(v.calls().where("src % 3 = 0"), ids(v, 42), 4)
+    return traverse.flows(v.calls(), ids(v, 42), 5)
 
 
-@query("g03_backward_flows", using("calls", sql=_TRAILS.format(edges="(SELECT dst AS src, src AS dst FROM calls WHERE dst % 3 = 0)", start=42, depth=4) + "SELECT list_reverse(nodes) AS steps, depth FROM t WHERE last NOT IN (SELECT dst FROM calls WHERE dst % 3 = 0) AND last <> 42 ORDER BY depth DESC, list_reverse(list_reverse(nodes)) LIMIT 500"))
+@query("g03_backward_flows", using("calls", sql=_TRAILS.format(edges="(SELECT dst AS src, src AS dst FROM calls)", start=42, depth=5) + "SELECT list_reverse(nodes) AS steps, depth FROM t WHERE last NOT IN (SELECT dst FROM calls) AND last <> 42 ORDER BY depth DESC, list_reverse(nodes) LIMIT 5"))
 def _(v):
-    return traverse.flows(v.calls().where("dst % 3 = 0"), ids(v, 42), 4, 500, backward=True)
+    return traverse.flows(v.calls(), ids(v, 42), 5, backward=True)
 
 
 @query("g04_entry_points", using("fn", "deg_in", "deg_out", sql="SELECT id, greatest(coalesce(blast_radius, 0), 1) AS outgoing, greatest(coalesce(fan_in, 0), 1) AS incoming, greatest(coalesce(blast_radius, 0), 1) - 0.5::DOUBLE * greatest(coalesce(fan_in, 0), 1) AS score FROM fn LEFT JOIN deg_in USING (id) LEFT JOIN deg_out USING (id) WHERE greatest(coalesce(fan_in, 0), 1) <= 1 ORDER BY score DESC, id LIMIT 30"))
@@ -549,15 +552,15 @@ def _(v):
 
 
 _SEM = f"SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM ({_L2_SQL})"
-_KWR = "SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS rank FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey IN (SELECT id FROM sem WHERE rank % 2 = 1) ORDER BY id LIMIT 10"
+_KWR = "SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS rank FROM supplier WHERE s_acctbal > 8000 OR s_suppkey IN (SELECT id FROM sem WHERE rank % 2 = 1) ORDER BY id LIMIT 10"
 _FUSED = f"WITH sem AS ({_SEM}), kwr AS ({_KWR}) SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, CASE WHEN count(DISTINCT s) = 2 THEN 'both' ELSE min(s) END AS source FROM (SELECT id, rank, 'semantic' AS s FROM sem UNION ALL SELECT id, rank, 'keyword' FROM kwr) GROUP BY id ORDER BY round(score, 9) DESC, id LIMIT 10"
 
 
 def _fused(v: Views) -> DataFrame:
     near = search.ranked(_near(v).select("id", "distance"), [F.col("distance"), F.col("id")])
     odd = near.where("rank % 2 = 1").select("id")
-    suppliers = v.table("supplier").select(F.col("s_suppkey").alias("id"))
-    words = suppliers.where("id % 7 = 0").unionByName(suppliers.join(odd, "id", "left_semi")).distinct().orderBy("id").limit(10)
+    suppliers = v.table("supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
+    words = suppliers.where("s_acctbal > 8000").unionByName(suppliers.join(odd, "id", "left_semi")).select("id").distinct().orderBy("id").limit(10)
     return search.fuse(near, search.ranked(words, [F.col("id")]), 10)
 
 
@@ -576,9 +579,9 @@ def _(v):
     return v.table("lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("kind")).agg(F.min("l_partkey").alias("first"))
 
 
-@query("w04_budget_prefix", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank, ceil(length(text) / 4)::BIGINT AS tokens FROM documents WHERE doc_id % 10 = 0 QUALIFY rank <= 16), u AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM r) SELECT doc_id, rank, tokens, used::BIGINT AS used FROM u WHERE used <= 400 AND rank <= 8")
+@query("w04_budget_prefix", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank, ceil(length(text) / 4)::BIGINT AS tokens FROM documents QUALIFY rank <= 16), u AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM r) SELECT doc_id, rank, tokens, used::BIGINT AS used FROM u WHERE used <= 400 AND rank <= 8")
 def _(v):
-    docs = v.table("documents").where("doc_id % 10 = 0").select("doc_id", F.col("text").alias("document"), "n_chars").orderBy("n_chars", "doc_id").limit(16)
+    docs = v.table("documents").select("doc_id", F.col("text").alias("document"), "n_chars").orderBy("n_chars", "doc_id").limit(16)
     return context.budget_prefix(search.ranked(docs, [F.col("n_chars"), F.col("doc_id")]), 400).select("doc_id", "rank", F.col("tokens").cast("long").alias("tokens"), F.col("used").cast("long").alias("used"))
 
 
@@ -610,13 +613,13 @@ def _(v):
     return A.drift_summary(A.route_drift(v.snapshot_routes(False), v.snapshot_routes(True)))
 
 
-@query("u04_topic_drift", "WITH b AS (SELECT DISTINCT l_partkey AS topic FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1), a AS (SELECT DISTINCT l_partkey AS topic FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber = 1) SELECT topic AS name, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT topic, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+@query("u04_topic_drift", "WITH b AS (SELECT DISTINCT l_partkey AS topic FROM lineitem WHERE l_linestatus = 'F'), a AS (SELECT DISTINCT l_partkey AS topic FROM lineitem WHERE l_linestatus = 'O') SELECT topic AS name, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT topic, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def _(v):
     topics = lambda df: df.select(F.col("hub").alias("topic")).distinct()
     return A.set_drift(topics(v.produced()), topics(v.consumed()), "topic")
 
 
-_UPDATES = "SELECT conv_id AS task, turn, role, left(text, 20) AS t FROM conversations"
+_UPDATES = "SELECT conv_id AS task, turn, role, text AS t FROM conversations"
 
 
 @query("u06_ledger", f"WITH u AS ({_UPDATES}) SELECT task, arg_max(role, turn) AS state, list(t ORDER BY turn) FILTER (WHERE role = 'assistant') AS decisions, len(list(t) FILTER (WHERE role = 'assistant')) AS command_count FROM u GROUP BY task")
@@ -695,9 +698,9 @@ def _(v):
     return context.artifacts(v.artifacts()).withColumn("tokens", F.col("tokens").cast("long"))
 
 
-@query("f21_artifact_excerpt", using("art", sql=f"SELECT id, array_to_string({_SPLIT}[2:4], chr(10)) AS excerpt, 2 AS start_line, least(4, len({_SPLIT}))::INT AS end_line, len({_SPLIT})::INT AS total_lines FROM art WHERE length(array_to_string({_SPLIT}[2:4], chr(10))) <= 6000"))
+@query("f21_artifact_excerpt", using("art", sql=f"SELECT id, CASE WHEN length(array_to_string({_SPLIT}[2:4], chr(10))) > 6000 THEN left(array_to_string({_SPLIT}[2:4], chr(10)), 6000) || chr(10) || '… [continue from a later line]' ELSE array_to_string({_SPLIT}[2:4], chr(10)) END AS excerpt, 2 AS start_line, least(4, len({_SPLIT}))::INT AS end_line, len({_SPLIT})::INT AS total_lines FROM art"))
 def _(v):
-    return context.excerpt(v.artifacts(), 2, 4).where("NOT truncated").drop("truncated")
+    return context.excerpt(v.artifacts(), 2, 4).drop("truncated")
 
 
 @query("f23_iso_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
@@ -711,10 +714,10 @@ def _(v):
     return packed.select("id", F.from_json("j", "segment string, nation int").alias("s")).select("id", "s.segment", "s.nation")
 
 
-@query("f28_staleness", "SELECT n_name AS service, CASE WHEN n_nationkey % 5 = 0 THEN 'unknown' WHEN n_nationkey % 3 = 0 THEN 'stale' ELSE 'up_to_date' END AS status FROM nation")
+@query("f28_staleness", "SELECT n_name AS service, CASE WHEN n_regionkey = 0 THEN 'unknown' WHEN n_nationkey % 3 = 0 THEN 'stale' ELSE 'up_to_date' END AS status FROM nation")
 def _(v):
     n = v.table("nation")
-    heads = n.where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("service"), F.lit("h1").alias("head"), F.lit(2).alias("behind"))
+    heads = n.where("n_regionkey <> 0").select(F.col("n_name").alias("service"), F.lit("h1").alias("head"), F.lit(2).alias("behind"))
     return git.staleness(n.select(F.col("n_name").alias("service"), F.when(F.col("n_nationkey") % 3 == 0, "h0").otherwise("h1").alias("last_commit")), heads).select("service", "status")
 
 
