@@ -156,7 +156,7 @@ def _(v):
     return search.match_symbols(v.keyword_nodes(), "src1_1", "src1", 10).select("name", "file", "service")
 
 
-@query("p05_symbol_lookup", using("fn", sql="SELECT id, name, place, n > 1 AS ambiguous FROM (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY service, file, id) AS place, count(*) OVER (PARTITION BY name) AS n FROM fn WHERE name = 'red widget') WHERE place <= 5"))
+@query("p05_symbol_lookup", using("fn", sql="SELECT id, name, place::INT AS place, n > 1 AS ambiguous FROM (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY service, file, id) AS place, count(*) OVER (PARTITION BY name) AS n FROM fn WHERE name = 'red widget') WHERE place <= 5"))
 def _(v):
     return symbols.lookup(v.functions(), "red widget").select("id", "name", "place", "ambiguous")
 
@@ -332,7 +332,7 @@ def _(v):
     return _changes(v).select("path", "status", "symbols", "callers", "score", "level")
 
 
-@query("a14_risk_histogram", using("fn", "calls", "res", sql=f"SELECT count_if(score >= 60) AS critical, count_if(score >= 40 AND score < 60) AS high, count_if(score >= 15 AND score < 40) AS medium, count_if(score < 15) AS low FROM ({_IMPACT})"))
+@query("a14_risk_histogram", using("fn", "calls", "res", sql=f"SELECT count_if(score >= 60)::BIGINT AS critical, count_if(score >= 40 AND score < 60)::BIGINT AS high, count_if(score >= 15 AND score < 40)::BIGINT AS medium, count_if(score < 15)::BIGINT AS low FROM ({_IMPACT})"))
 def _(v):
     return A.risk_histogram(_changes(v))
 
@@ -496,7 +496,7 @@ def _(v):
     return A.repeated_calls(v.sites(), named, 1)
 
 
-@query("a13_risk_summary", "WITH r AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS s FROM orders) SELECT count_if(s = 'critical') AS critical, count_if(s = 'high') AS high, count_if(s = 'medium') AS medium, count_if(s = 'low') AS low, CASE WHEN count_if(s = 'critical') > 0 THEN 'HIGH' WHEN count_if(s = 'high') > 0 THEN 'MEDIUM' WHEN count_if(s = 'medium') > 0 THEN 'LOW' ELSE 'NONE' END AS overall FROM r")
+@query("a13_risk_summary", "WITH r AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS s FROM orders) SELECT count_if(s = 'critical')::BIGINT AS critical, count_if(s = 'high')::BIGINT AS high, count_if(s = 'medium')::BIGINT AS medium, count_if(s = 'low')::BIGINT AS low, CASE WHEN count_if(s = 'critical') > 0 THEN 'HIGH' WHEN count_if(s = 'high') > 0 THEN 'MEDIUM' WHEN count_if(s = 'medium') > 0 THEN 'LOW' ELSE 'NONE' END AS overall FROM r")
 def _(v):
     p = F.col("o_orderpriority")
     return A.risk_summary(v.table("orders").select(F.when(p == "1-URGENT", "critical").when(p == "2-HIGH", "high").when(p == "3-MEDIUM", "medium").otherwise("low").alias("severity")))
@@ -579,7 +579,7 @@ def _(v):
     return v.table("lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("kind")).agg(F.min("l_partkey").alias("first"))
 
 
-@query("w04_budget_prefix", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank, ceil(length(text) / 4)::BIGINT AS tokens FROM documents QUALIFY rank <= 16), u AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM r) SELECT doc_id, rank, tokens, used::BIGINT AS used FROM u WHERE used <= 400 AND rank <= 8")
+@query("w04_budget_prefix", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank, ceil(length(text) / 4)::BIGINT AS tokens FROM documents QUALIFY rank <= 16), u AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM r) SELECT doc_id, rank::INT AS rank, tokens, used::BIGINT AS used FROM u WHERE used <= 400 AND rank <= 8")
 def _(v):
     docs = v.table("documents").select("doc_id", F.col("text").alias("document"), "n_chars").orderBy("n_chars", "doc_id").limit(16)
     return context.budget_prefix(search.ranked(docs, [F.col("n_chars"), F.col("doc_id")]), 400).select("doc_id", "rank", F.col("tokens").cast("long").alias("tokens"), F.col("used").cast("long").alias("used"))
@@ -608,7 +608,7 @@ def _(v):
     return A.route_drift(v.snapshot_routes(False), v.snapshot_routes(True))
 
 
-@query("u05_drift_summary", using("before", "after", sql=f"SELECT count_if(change <> 'added') AS breaking, count(*) AS changes, count_if(change <> 'added') || ' breaking contract change(s) detected' AS summary FROM ({_DRIFT})"))
+@query("u05_drift_summary", using("before", "after", sql=f"SELECT count_if(change <> 'added')::BIGINT AS breaking, count(*) AS changes, count_if(change <> 'added') || ' breaking contract change(s) detected' AS summary FROM ({_DRIFT})"))
 def _(v):
     return A.drift_summary(A.route_drift(v.snapshot_routes(False), v.snapshot_routes(True)))
 
@@ -622,7 +622,7 @@ def _(v):
 _UPDATES = "SELECT conv_id AS task, turn, role, text AS t FROM conversations"
 
 
-@query("u06_ledger", f"WITH u AS ({_UPDATES}) SELECT task, arg_max(role, turn) AS state, list(t ORDER BY turn) FILTER (WHERE role = 'assistant') AS decisions, len(list(t) FILTER (WHERE role = 'assistant')) AS command_count FROM u GROUP BY task")
+@query("u06_ledger", f"WITH u AS ({_UPDATES}) SELECT task, arg_max(role, turn) AS state, list(t ORDER BY turn) FILTER (WHERE role = 'assistant') AS decisions, len(list(t) FILTER (WHERE role = 'assistant'))::INT AS command_count FROM u GROUP BY task")
 def _(v):
     state = context.ledger(v.ledger())
     return context.compact_ledger(state).join(state.select("task", "decisions"), "task").select("task", "state", F.when(F.size("decisions") > 0, F.col("decisions")).alias("decisions"), F.when(F.col("command_count") > 0, F.col("command_count")).alias("command_count"))
@@ -683,7 +683,7 @@ def _(v):
     return v.table("pages").select("page_id", S.normalize_path(F.col("url")).alias("path"))
 
 
-@query("f16_change_risk", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 40 ELSE 0 END + CASE WHEN o_custkey % 20 > 10 THEN 30 WHEN o_custkey % 20 > 3 THEN 15 WHEN o_custkey % 20 > 0 THEN 5 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 20 ELSE 0 END AS score, len(list_filter([o_orderkey % 5 = 0, o_custkey % 20 > 0, o_orderstatus = 'F'], lambda x: x)) AS n_factors FROM orders")
+@query("f16_change_risk", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 40 ELSE 0 END + CASE WHEN o_custkey % 20 > 10 THEN 30 WHEN o_custkey % 20 > 3 THEN 15 WHEN o_custkey % 20 > 0 THEN 5 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 20 ELSE 0 END AS score, len(list_filter([o_orderkey % 5 = 0, o_custkey % 20 > 0, o_orderstatus = 'F'], lambda x: x))::INT AS n_factors FROM orders")
 def _(v):
     callers, infra, deleted = F.col("o_custkey") % 20, F.col("o_orderstatus") == "F", F.col("o_orderkey") % 5 == 0
     return v.table("orders").select(F.col("o_orderkey").alias("id"), S.change_risk_score(callers, infra, deleted).alias("score"), F.size(S.change_risk_factors(callers, infra, deleted)).alias("n_factors"))
