@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.workers import workers_import
+
 MIN_EDGES = 5
 
 
@@ -97,6 +99,7 @@ def communities(edges: DataFrame) -> DataFrame:
         found = louvain(sorted(zip(group["a"], group["b"], group["weight"], strict=True)))
         return pd.DataFrame({"service": group["service"].iloc[0], "node": list(found), "community": [f"{group['service'].iloc[0]}::community-{c}" for c in found.values()]}, dtype=object)
 
+    workers_import(edges.sparkSession)
     return pairs.groupBy("service").applyInPandas(solve, f"service string, node {kind}, community string")
 
 

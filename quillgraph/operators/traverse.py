@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.lineage import cut
+from quillgraph.workers import workers_import
 
 
 def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -122,6 +123,7 @@ def traces(edges: DataFrame, entries: DataFrame, fanout: int = 3, fetch: int = 1
         found = trace_paths(adjacency, entry, fanout, depth)
         return pd.DataFrame({"entry": [entry] * len(found), "trace": range(len(found)), "steps": found}, dtype=object)
 
+    workers_import(edges.sparkSession)
     return near.groupBy("entry").applyInPandas(walk, f"entry {kind}, trace int, steps array<{kind}>")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +13,7 @@ from quillgraph.parse.braces import DECLARATIONS, parse_braces
 from quillgraph.parse.documents import is_compose, is_openapi, parse_compose, parse_openapi, parse_workflow, record
 from quillgraph.parse.python_source import parse_python
 from quillgraph.schemas import LANGUAGES, PARSED
-
-ROOT = str(Path(__file__).resolve().parents[2])
+from quillgraph.workers import workers_import
 
 
 def parse_source(path: str, source: str | None) -> dict:
@@ -47,9 +45,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     The only stage in Python; it is narrow, so a file is read and parsed in
     one task, and only the record goes on.
     """
-    environment = files.sparkSession.sparkContext.environment
-    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, environment.get("PYTHONPATH", "")) if x)
+    workers_import(files.sparkSession)
     return files.select("service", "path", "content").mapInPandas(_parse_batches, f"service string, {PARSED}")
 
 
