@@ -11,12 +11,12 @@ shows two documents of one source, nor two copies of a document.
 
 Pieces are dealt by a hash of their row into packing shards of about
 ``PIECES_EACH``; each shard is packed on its own, which costs a part of one
-bin a shard.  Only (doc_id, source, cluster, words) move, no texts.
+bin a shard.  Only (doc_id, source, cluster, words, text hash) move, no texts.
 
 Defined cases: a document without words has one row with 0 words and no bin; a
 null source or cluster is one value like any other; equal lengths are placed
 in the order of doc_id (null first), cluster and piece; repeated rows are
-copies of one cluster; an empty table gives no rows.
+numbered copies of one cluster, each with bins of its own for its full pieces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.frames import cut, read, workers_import
@@ -67,10 +67,10 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
 def _packer(capacity: int):
     def pack_shard(table: pa.Table) -> pa.Table:
         frame = table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        frame = frame.sort_values(["n_words", "doc_id", "cluster", "piece"], ascending=[False, True, True, True], na_position="first", kind="stable")
+        frame = frame.sort_values(["n_words", "doc_id", "cluster", "piece", "text_hash", "source", "copy"], ascending=[False, *[True] * 6], na_position="first", kind="stable")
         codes = [np.asarray(frame[c].factorize(use_na_sentinel=False)[0]).tolist() for c in ("source", "cluster")]
         bins, offsets = best_fit(frame["n_words"].astype(int).tolist(), *codes, capacity)
-        columns = {"doc_id": pa.int64(), "piece": pa.int64(), "start": pa.int64(), "n_words": pa.int64(), "shard": pa.int64()}
+        columns = {"doc_id": pa.int64(), "piece": pa.int64(), "start": pa.int64(), "n_words": pa.int64(), "text_hash": pa.int64(), "shard": pa.int64()}
         arrays = [pa.Array.from_pandas(frame[c], type=t) for c, t in columns.items()]
         return pa.Table.from_arrays([*arrays, pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())], [*columns, "bin", "bin_offset"])
 
@@ -78,36 +78,41 @@ def _packer(capacity: int):
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EACH) -> DataFrame:
-    """doc_id, piece, start, n_words, shard, bin and bin_offset of each piece, from (doc_id, source, cluster, n_words).
+    """doc_id, piece, start, n_words, text_hash, shard, bin and bin_offset of each piece, from (doc_id, source, cluster, n_words, text_hash).
 
     Bins that a long document fills alone have the shard -1 and are numbered
-    by its hash.
+    by the hash of its row, with a number for rows that repeat each other.
     """
-    rows = cut(rows.select("doc_id", "source", "cluster", "n_words"))
+    rows = cut(rows.select("doc_id", "source", "cluster", "n_words", "text_hash"))
     shards = max(1, -(-rows.count() // pieces_each))
-    pieces = rows.withColumn("full", F.floor(F.col("n_words") / capacity)).withColumn("rest", F.col("n_words") % capacity)
-    alone = pieces.where("full > 0").select("doc_id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
-    alone = alone.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_words"), F.lit(-1).cast("long").alias("shard"), F.xxhash64("doc_id", "cluster", "piece").alias("bin"), F.lit(0).cast("long").alias("bin_offset"))
-    rest = pieces.where("rest > 0").select("doc_id", "source", "cluster", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start"), F.col("rest").alias("n_words"), F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)).alias("shard"))
+    equal = Window.partitionBy("doc_id", "source", "cluster", "text_hash").orderBy("n_words")
+    pieces = rows.withColumn("copy", F.row_number().over(equal)).withColumn("full", F.floor(F.col("n_words") / capacity)).withColumn("rest", F.col("n_words") % capacity)
+    alone = pieces.where("full > 0").select("doc_id", "source", "text_hash", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
+    number = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text_hash", "copy", "piece")
+    alone = alone.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_words"), "text_hash", F.lit(-1).cast("long").alias("shard"), number.alias("bin"), F.lit(0).cast("long").alias("bin_offset"))
+    rest = pieces.where("rest > 0").select("doc_id", "source", "cluster", "text_hash", "copy", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start"), F.col("rest").alias("n_words"), F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)).alias("shard"))
     workers_import(rows.sparkSession)
-    packed = rest.groupBy("shard").applyInArrow(_packer(capacity), "doc_id long, piece long, start long, n_words long, shard long, bin long, bin_offset long")
-    none = rows.where("n_words = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), "n_words", *(F.lit(None).cast("long").alias(c) for c in ("shard", "bin", "bin_offset")))
+    packed = rest.groupBy("shard").applyInArrow(_packer(capacity), "doc_id long, piece long, start long, n_words long, text_hash long, shard long, bin long, bin_offset long")
+    none = rows.where("n_words = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), "n_words", "text_hash", *(F.lit(None).cast("long").alias(c) for c in ("shard", "bin", "bin_offset")))
     return packed.unionByName(alone).unionByName(none)
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EACH) -> DataFrame:
     """Packing of documents, equal texts being a duplicate cluster and the length the number of words."""
-    return pack(documents.select("doc_id", "source", F.xxhash64("text").alias("cluster"), word_count(F.col("text")).alias("n_words")), capacity, pieces_each)
+    text_hash = F.xxhash64("text")
+    return pack(documents.select("doc_id", "source", text_hash.alias("cluster"), word_count(F.col("text")).alias("n_words"), text_hash.alias("text_hash")), capacity, pieces_each)
 
 
 def sequences(documents: DataFrame, packed: DataFrame) -> DataFrame:
-    """shard, bin, doc_ids and text of each sequence, pieces in the order of their offset and words joined by single spaces (documents by doc_id)."""
-    words = documents.select("doc_id", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    pieces = packed.where("bin IS NOT NULL").join(words, "doc_id")
+    """shard, bin, doc_ids and text of each sequence, pieces in the order of their offset and words joined by single spaces (documents by doc_id and text)."""
+    key = F.struct("doc_id", "text_hash").alias("key")
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").select(key, "text").dropDuplicates(["key"])
+    words = texts.select("key", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
+    pieces = packed.where("bin IS NOT NULL").withColumn("key", key).join(words, "key")
     cut_out = F.array_join(F.slice("words", (F.col("start") + 1).cast("int"), F.col("n_words").cast("int")), " ")
     ordered = F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", cut_out.alias("text"))))
     return pieces.groupBy("shard", "bin").agg(ordered.alias("p")).select("shard", "bin", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.text", "\n").alias("text"))
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"))
+    return pack_documents(read(spark, sf_dir, "documents")).drop("text_hash")
