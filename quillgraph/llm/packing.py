@@ -7,7 +7,8 @@ their residual space, each with a bitmap of the sources and one of the
 duplicate clusters it holds; from the tightest bin that has room, the search
 goes on to the next one until a bin is found that holds neither the piece's
 source nor its cluster; without one, a new bin is opened.  So a sequence never
-shows two documents of one source, nor two copies of a document.
+shows two documents of one source, nor two near copies of a document (groups
+of ``near_copies``).
 
 Pieces are dealt by a hash of their row into packing shards of about
 ``PIECES_EACH``; each shard is packed on its own, which costs a part of one
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm import near_copies
 from quillgraph.llm.frames import cut, read, workers_import
 from quillgraph.llm.mixing import WORDS, word_count
 
@@ -98,9 +100,10 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EA
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EACH) -> DataFrame:
-    """Packing of documents, equal texts being a duplicate cluster and the length the number of words."""
-    text_hash = F.xxhash64("text")
-    return pack(documents.select("doc_id", "source", text_hash.alias("cluster"), word_count(F.col("text")).alias("n_words"), text_hash.alias("text_hash")), capacity, pieces_each)
+    """Packing of documents, near copies being a duplicate cluster and the length the number of words."""
+    sized = documents.select("doc_id", "source", "text", word_count(F.col("text")).alias("n_words"))
+    grouped = near_copies.groups(sized, "doc_id", "source", "n_words")
+    return pack(grouped.select("doc_id", "source", F.col("root").alias("cluster"), "n_words", F.col("node").alias("text_hash")), capacity, pieces_each)
 
 
 def sequences(documents: DataFrame, packed: DataFrame) -> DataFrame:

@@ -20,3 +20,14 @@ def test_repeated_long_rows_have_bins_of_their_own(spark):
     out = packing.sequences(df, packed).collect()
     assert all(len(r.text.split()) <= 10 for r in out)
     assert Counter(w for r in out for w in r.text.split()) == Counter(w for r in rows for w in r[1].split())
+
+
+def test_near_copies_share_no_sequence(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = [" ".join([*words[:k], "edit", *words[k + 1 :]]) for k in range(5, 75, 10)]
+    rows = [(i, t, "en", f"s{i}", 0) for i, t in enumerate(near)] + [(50 + i, " ".join(f"x{i}y{k}" for k in range(80)), "en", f"s{50 + i}", 0) for i in range(7)]
+    held = defaultdict(list)
+    for r in packing.pack_documents(spark.createDataFrame(rows, PLAIN), 400).collect():
+        held[r.shard, r.bin].append(r.doc_id)
+    assert all(sum(d < 50 for d in x) <= 1 for x in held.values())
+    assert any(len(x) > 1 for x in held.values())
