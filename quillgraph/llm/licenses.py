@@ -3,9 +3,9 @@
 Every document is taken as a sequence of words (A-Z lower-cased runs of
 letters and digits).  The templates' words are counted over all documents,
 and each template is indexed by its ``INDEX_WORDS`` rarest ones (highest
-inverse document frequency), with their places.  A file looks up its own
-``FILE_WORDS`` rarest indexed words; the postings of a template are
-intersected with the file's places by relative position, that is, votes are
+inverse document frequency), with their places.  A file looks up every place
+of its indexed words, whose number the templates fix, so one notice never
+takes the look-ups of another; the postings of a template are intersected with the file's places by relative position, that is, votes are
 counted for each (template, place in the file where it would begin).  For an
 alignment with enough votes the share of the template's words found at their
 places (up to ``SLACK`` words off) is its score; it is a match from
@@ -34,7 +34,6 @@ from quillgraph.llm import textkit as tk
 from quillgraph.llm.frames import arrow_map, read
 
 INDEX_WORDS = 16
-FILE_WORDS = 16
 MIN_VOTES = 3
 MIN_SCORE = 0.6
 SLACK = 3
@@ -130,13 +129,12 @@ def document_frequencies(documents: DataFrame, words: np.ndarray) -> tuple[int,
 
 @dataclass
 class Index:
-    """Templates' words and places; rarity rank of the vocabulary; postings of the rare words."""
+    """Templates' words and places; the vocabulary; postings of the rare words."""
 
     labels: list[str]
     words: list[np.ndarray]
     phrases: list[list[np.ndarray]]
     known: np.ndarray
-    rank: np.ndarray
     first: np.ndarray
     template: np.ndarray
     place: np.ndarray
@@ -157,7 +155,7 @@ def build_index(templates: list, known: np.ndarray, documents: int, frequency: n
         needed.append(min(MIN_VOTES, len(places)))
     postings.sort()
     word, template, place = (np.array(x, np.int64) for x in zip(*postings, strict=True))
-    return Index([x for x, _, _ in templates], words, [[hashed(p) for p in ps] for _, _, ps in templates], known, rank, np.searchsorted(word, np.arange(len(known) + 1)), template, place, np.array(needed))
+    return Index([x for x, _, _ in templates], words, [[hashed(p) for p in ps] for _, _, ps in templates], known, np.searchsorted(word, np.arange(len(known) + 1)), template, place, np.array(needed))
 
 
 def contains(word: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -175,22 +173,18 @@ def alignments(word: np.ndarray, index: np.ndarray, ix: Index) -> np.ndarray:
     at = member(word, ix.known)
     hit = np.flatnonzero((at >= 0) & (ix.first[at + 1] > ix.first[at]))
     at, row = at[hit], tk.owners(index)[hit]
-    # The rarest indexed words of each file.
-    r, w = tk.unique_per_row(row, ix.rank[at])
-    begin = np.searchsorted(r, np.arange(len(index)))
-    chosen = np.arange(len(r)) - begin[r] < FILE_WORDS
-    v = len(ix.known)
-    ok = np.isin(row * v + ix.rank[at], r[chosen] * v + w[chosen])
-    at, row, hit = at[ok], row[ok], hit[ok]
     size = ix.first[at + 1] - ix.first[at]
     which = np.repeat(np.arange(len(at)), size)
     p = np.repeat(ix.first[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(at) else np.zeros(0, np.int64)
-    # Place in the chunk, so it can be negative or in another row's words by the slack only; the row is kept beside it.
-    triple = np.stack([row[which], ix.template[p], hit[which] - ix.place[p]])
-    if not triple.shape[1]:
-        return triple
-    found, votes = np.unique(triple, axis=1, return_counts=True)
-    return found[:, votes >= ix.needed[found[1]]]
+    if not len(p):
+        return np.zeros((3, 0), np.int64)
+    # Place in the chunk, so it can be negative or in another row's words; the row is kept beside it.
+    begin = hit[which] - ix.place[p]
+    least, kinds = int(begin.min()), len(ix.labels)
+    wide = int(begin.max()) - least + 1
+    key, votes = np.unique((row[which] * wide + begin - least) * kinds + ix.template[p], return_counts=True)
+    key = key[votes >= ix.needed[key % kinds]]
+    return np.stack([key // kinds // wide, key % kinds, key // kinds % wide + least])
 
 
 def score_alignment(word: np.ndarray, low: int, high: int, begin: int, template: int, ix: Index) -> float:
