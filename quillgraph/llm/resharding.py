@@ -172,6 +172,11 @@ def rewrite(stored: DataFrame, placed: DataFrame, path: str) -> list[int]:
     number = F.row_number().over(Window.partitionBy("row_key", "old_shard").orderBy("doc_id"))
     rows = stored.select("*", key).withColumn("_k", number).join(target, ["row_key", "old_shard"]).withColumn("shard", F.try_element_at("shards", F.col("_k")))
     rows.where(F.col("shard").isNotNull()).drop("_k", "shards", "row_key", "old_shard").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("shard").parquet(path)
+    filled = {r.shard for r in placed.where(F.col("shard").isin(numbers)).select("shard").distinct().collect()}
+    spark = stored.sparkSession
+    for n in sorted(set(numbers) - filled):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
     return numbers
 
 
