@@ -380,12 +380,12 @@ def _(v):
 
 @query("g05_traces")
 def _(v):
-    return traverse.traces(v.calls(), traverse.entry_points(v.functions(), v.calls(), 10), depth=4)
+    return traverse.traces(v.calls(), traverse.entry_points(v.functions(), v.calls()))
 
 
 @query("g06_process_steps")
 def _(v):
-    return traverse.processes(traverse.traces(v.calls(), traverse.entry_points(v.functions(), v.calls(), 10), depth=4))
+    return traverse.processes(traverse.traces(v.calls(), traverse.entry_points(v.functions(), v.calls())))
 
 
 @query("g07_communities")
