@@ -13,9 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 19
 U64 = np.uint64
+#: Ranges from this width on are hashed from their bytes: prefix sums modulo 2**64 collide on long self-similar sequences (Thue-Morse).
+WIDE = 128
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -42,9 +45,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """64-bit hashes of any ranges of a sequence, each in constant time, from prefix sums modulo 2**64."""
+    """64-bit hashes of any ranges of a sequence: from prefix sums modulo 2**64 in constant time, or if ``WIDE`` by XXH3 of the bytes."""
 
     def __init__(self, values: np.ndarray):
+        self._raw = np.ascontiguousarray(values)
         if values.dtype == np.uint8:
             values = _BYTE[values]
         power, self._inverse = _power_tables(len(values) + 1)
@@ -53,7 +57,12 @@ class RangeHash:
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         width = (end - start).astype(np.uint64)
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + width * U64(0xA24BAED4963EE407))
+        out = mix((self._sums[end] - self._sums[start]) * self._inverse[start] + width * U64(0xA24BAED4963EE407))
+        wide = np.flatnonzero(width >= WIDE)
+        if len(wide):
+            spans = zip(start[wide].tolist(), end[wide].tolist(), strict=True)
+            out[wide] = np.fromiter((xxhash.xxh3_64_intdigest(self._raw[a:b]) for a, b in spans), np.uint64, len(wide))
+        return out
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
