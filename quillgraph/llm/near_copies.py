@@ -8,11 +8,16 @@ a pair of similarity s shares a bucket with the probability
 above.  Pairs of a bucket are only candidates: each link is checked on the
 whole shingle sets of both texts.
 
-First each text is checked against the first and last text of its buckets, so
-a group of copies makes no more pairs than it has rows in buckets; then those
-pairs of a bucket that aren't joined yet, sorted out by their signatures where
-they lie.  So the groups are those of all candidate pairs that pass.  A group
-is what such links join, step by step.
+Links are found in two steps.  First each text is checked against the one text,
+of those that lead its buckets of the first ``LEAD_BANDS`` bands, whose
+signature is most like its own: one pair a text, which joins most of a large
+group.  Then the buckets that still hold texts of several groups are looked
+through: their texts' shingle sets meet in a task, which counts the shared
+shingles of each text with all others of the bucket and keeps a forest of the
+links.  A bucket of more than ``BLOCK_ROWS`` texts is dealt out as pairs of
+blocks.  So the groups are those of all pairs of a bucket that pass, no row is
+made for a pair that fails, and a task holds two blocks at most.  A group is
+what such links join, step by step.
 
 Equal texts are one node, named by the hash of the text.  Defined cases: null
 and empty texts have no shingle and are near copies of each other only; fewer
@@ -37,8 +42,12 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS = 32
 BAND_HASHES = 6
-#: Equal bytes of two signatures from which on a pair is checked; a pair of similarity 0.8 has 154 of 192 in the mean, with a deviation of 5.5.
+#: Bands whose buckets' first texts are tried ahead of the others.
+LEAD_BANDS = 8
+#: Equal bytes of two signatures from which on a pair is tried ahead; a pair of similarity 0.8 has 154 of 192 in the mean, with a deviation of 5.5.
 LEAST_EQUAL = 128
+#: Texts of a bucket that a task compares with as many others.
+BLOCK_ROWS = 1000
 SEED = 7
 ROWS_EACH = 256
 
@@ -91,30 +100,65 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        same = (matrix(batch.column("a_sign")) == matrix(batch.column("b_sign"))).sum(1) >= LEAST_EQUAL
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[same]) for k in ("a", "b")], ["a", "b"])
-
-
-def _cross_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that have different roots and enough equal bytes; all rows of a bucket are in the partition."""
-    table = whole_partition(batches)
-    if table is None:
-        return
-    key, node, root = (table[k].to_numpy() for k in ("key", "node", "root"))
-    signs = matrix(table["sign"])
-    order = np.lexsort((node, key))
-    edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        at = order[low:high]
-        bucket, roots_, nodes = signs[at], root[at], node[at]
-        found_a, found_b = [], []
-        for i in range(len(at) - 1):
-            other = i + 1 + np.flatnonzero(roots_[i + 1 :] != roots_[i])
-            other = other[(bucket[other] == bucket[i]).sum(1) >= LEAST_EQUAL]
-            found_a.append(nodes[other])
-            found_b.append(np.full(len(other), nodes[i]))
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+        same = (matrix(batch.column("a_sign")) == matrix(batch.column("b_sign"))).sum(1)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int32())], ["a", "b", "same"])
+
+
+def near_links(sets: list[np.ndarray], root: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (a forest, as places) that join those of the sets that are near copies and have different roots."""
+    size = np.array([len(s) for s in sets])
+    vocabulary, held = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.r_[0, np.cumsum(size)]
+    of = np.repeat(np.arange(len(sets)), size)
+    label = np.unique(root, return_inverse=True)[1]
+    marked = np.zeros(len(vocabulary), bool)
+    one, other = [], []
+    # The sets of the commonest root are only met by the others.
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        if size[i]:
+            own = held[first[i] : first[i + 1]]
+            marked[own] = True
+            shared = np.bincount(of[marked[held]], minlength=len(sets))
+            marked[own] = False
+            near = shared >= LEAST * (size[i] + size - shared)
+        else:
+            near = size == 0
+        for j in np.flatnonzero(near & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                one.append(i)
+                other.append(j)
+                label[label == label[j]] = label[i]
+    return one, other
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS_EACH):
+            part = batch.slice(low, ROWS_EACH)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"))], pa.binary())], ["node", "shingles"])
+
+
+def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, one, other), a pair of blocks of a bucket; its sets are held until the next one begins."""
+    columns = ("key", "one", "other", "node", "root", "shingles")
+    held: list[tuple] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len({h[4] for h in held}) > 1:
+            node = np.array([h[3] for h in held])
+            a, b = near_links([np.frombuffer(h[5], np.uint64) for h in held], np.array([h[4] for h in held]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        held.clear()
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS_EACH):
+            part = batch.slice(low, ROWS_EACH)
+            for row in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield from flush()
+                held.append(row)
+    yield from flush()
 
 
 def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,29 +186,44 @@ def _checked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return cut(arrow_map(both.select("a", "b", "a_text", "b_text"), _check_batches, "a long, b long"))
 
 
-def links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, linked: DataFrame, block_rows: int) -> DataFrame:
+    """(key, one, other, node, root): the buckets with several groups, in pairs of blocks."""
+    rooted = members.join(components(linked), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *same).where("low <> high")
+    # Of buckets with the same texts one is looked through.
+    once = mixed.groupBy("n", "same0", "same1").agg(F.min("key").alias("key"))
+    blocks = once.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    apart = rooted.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = apart.select("key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    return each.select("key", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), "node", "root")
+
+
+def links(nodes: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Checked links (a, b) that join exactly the near copies that share a bucket, from (node, sign)."""
     placed = arrow_map(nodes.select("node", "sign"), _place_batches, "node long, key long")
     several = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    members = cut(placed.join(several, "key"))
+    members = cut(placed.join(several, "key").select("key", "node", "first"))
     one, other = (nodes.select(F.col("node").alias(n), F.col("sign").alias(f"{n}_sign")) for n in ("a", "b"))
-    stars = members.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tried = cut(arrow_map(stars.join(one, "a").join(other, "b").select("a", "b", "a_sign", "b_sign"), _alike_batches, "a long, b long"))
-    linked = _checked(tried, documents)
-    rooted = members.select("key", "node").join(components(linked), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    apart = cut(rooted.join(split, "key", "left_semi")).join(nodes, "node").select("key", "node", "root", "sign")
-    parts = partitions_for(nodes.sparkSession, 0, 1)
-    rest = arrow_map(apart.repartition(parts, "key"), _cross_batches, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    return linked.unionByName(_checked(rest, documents))
-
-
-def groups(documents: DataFrame, *columns: str) -> DataFrame:
+    # The band's number is in the second byte of the key.
+    led = members.where((F.shiftrightunsigned("key", 48) < LEAD_BANDS) & (F.col("node") != F.col("first")))
+    stars = led.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    alike = arrow_map(stars.join(one, "a").join(other, "b").select("a", "b", "a_sign", "b_sign"), _alike_batches, "a long, b long, same int")
+    linked = _checked(alike.where(F.col("same") >= LEAST_EQUAL).groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), documents)
+    apart = cut(_unsettled(members, linked, block_rows))
+    texts = documents.select(F.xxhash64("text").alias("node"), "text").join(apart.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = arrow_map(texts, _set_batches, "node long, shingles binary")
+    parts = partitions_for(nodes.sparkSession, apart.count(), 5000)
+    met = apart.join(sets, "node").repartition(parts, "key", "one", "other").sortWithinPartitions("key", "one", "other")
+    return linked.unionByName(cut(arrow_map(met.select("key", "one", "other", "node", "root", "shingles"), _bucket_batches, "a long, b long").distinct()))
+
+
+def groups(documents: DataFrame, *columns: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """node (hash of the text), root (node that names the group) and the named columns of each document."""
     rows = documents.select(*columns, F.xxhash64("text").alias("node"), "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
     signed = cut(arrow_map(rows, _sign_batches, kinds + ", sign binary"))
-    root = components(links(cut(signed.groupBy("node").agg(F.first("sign").alias("sign"))), documents))
+    root = components(links(cut(signed.groupBy("node").agg(F.first("sign").alias("sign"))), documents, block_rows))
     return signed.drop("sign").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
