@@ -1,18 +1,20 @@
 """Operator 1, quality rules: cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed; for
-each host (``source``) the distinct documents that carry a line are counted.
-Documents with the same text on a host are one document, so exact copies
-don't make their own lines frequent.  A line carried by more than
-``max_documents`` is boilerplate: it is removed from every document but the
-host's first one (smallest doc_id) that carries it.  A document with less
-than ``min_left`` of its words left is depleted and rejected, as is one that
-fails the base rules.
+each host (``source``) the distinct documents (``doc_id``) that carry a line
+are counted.  A line is frequent on a host if more than ``LEAST_DOCUMENTS`` of
+its documents and more than ``SHARE_PERCENT`` per cent of them carry it; it is
+removed from all of them.  A document with less than ``min_left`` of its words
+left is depleted and rejected, as is one that fails the base rules.
+
+With ``keep_first``, as in the pipeline, a frequent line stays in the host's
+first document (smallest doc_id) that carries it, so a text with very many
+copies on a host isn't lost altogether.
 
 Defined cases: a null text has no words and fails the base rules; a null host
-is a host of its own; a null doc_id is last in order and otherwise treated
-like any other; rows that repeat each get their own verdict; an empty table
-gives no rows.  Other columns of the input are ignored.
+is a host of its own; rows without a doc_id count as one document for each
+text and are last in order; rows that repeat each get their own verdict; an
+empty table gives no rows.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm import textkit as tk
 from quillgraph.llm.frames import arrow_map, cut, read
 
-MAX_DOCUMENTS = 100
+LEAST_DOCUMENTS = 8
+SHARE_PERCENT = 4
 MIN_LEFT = 0.3
 MIN_WORDS = 50
 MAX_REPEAT = 0.5
@@ -93,7 +96,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names[:3]), *(pa.array(m[k], pa.int64()) for k in COUNTS), *lists], names)
 
 
-def judge(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(documents: DataFrame, least: int = LEAST_DOCUMENTS, percent: float = SHARE_PERCENT, min_left: float = MIN_LEFT, keep_first: bool = False) -> DataFrame:
     """Counts and verdict of each document, with the words and hashes of the lines to remove.
 
     One pass over the texts leaves counts and line hashes; all else moves only
@@ -102,13 +105,18 @@ def judge(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: fl
     """
     source = documents.select("doc_id", F.col("source").alias("host"), "text", F.xxhash64("text").alias("text_hash"))
     measured = cut(arrow_map(source, _measure_batches, "doc_id long, host string, text_hash long, " + ", ".join(f"{k} long" for k in COUNTS) + ", line_hash array<long>, line_words array<long>"))
-    texts = measured.groupBy("host", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("line_hash").alias("line_hash"))
-    carried = texts.select("host", "doc_id", F.explode(F.array_distinct("line_hash")).alias("line"))
-    counted = carried.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    frequent = cut(counted.where(F.col("n") > max_documents).select(F.xxhash64("host", "line").alias("mark"), "first_doc"))
+    nameless = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("nameless")
+    each = cut(measured.groupBy("host", "doc_id", nameless).agg(F.array_distinct(F.flatten(F.collect_set("line_hash"))).alias("lines")))
+    hosts = each.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("documents"))
+    carried = each.select("host", "doc_id", F.explode("lines").alias("line"))
+    counted = carried.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") > least)
+    limited = counted.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") * 100 > F.col("documents") * percent)
+    frequent = cut(limited.select(F.xxhash64("host", "line").alias("mark"), "first_doc"))
     lines = measured.select("doc_id", "text_hash", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
     lines = lines.select("doc_id", "text_hash", "host", F.xxhash64("host", "l.line_hash").alias("mark"), F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
-    gone = lines.join(frequent, "mark").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    gone = lines.join(frequent, "mark")
+    if keep_first:
+        gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     per_row = gone.groupBy("doc_id", "text_hash", "host").agg(F.sum("words").alias("gone_words"), F.collect_set("line").alias("gone_lines"), F.count(F.lit(1)).alias("gone_count"))
     per_row = per_row.select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"), F.col("host").alias("k3"), "gone_words", "gone_lines", "gone_count")
     once = measured.groupBy("doc_id", "text_hash", "host").agg(F.count(F.lit(1)).alias("rows"), *(F.first(k).alias(k) for k in COUNTS))

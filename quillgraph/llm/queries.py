@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_positional_index": licenses.op9_positional_index,
     "op10_token_efficiency": secrets.op10_token_efficiency,
 }
-ORACLES: dict[str, str] = {"op1_line_frequency": sql.OP1, "op8_sainte_lague": sql.OP8}
+ORACLES: dict[str, str] = {"op1_line_frequency": sql.op1(), "op8_sainte_lague": sql.op8()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillgraph.llm import line_rules, mixing
+
 OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, text, hash(text) AS th, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -28,19 +30,19 @@ WITH d AS (
   SELECT d.doc_id, d.source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
          len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id)
-), firsts AS (
-  SELECT source, text, min(doc_id) AS doc_id FROM d GROUP BY source, text
+), hosts AS (
+  SELECT source, count(DISTINCT doc_id) AS documents FROM d GROUP BY source
+), carried AS (
+  SELECT source, plain, count(DISTINCT doc_id) AS n FROM worded GROUP BY source, plain
 ), frequent AS (
-  SELECT w.source, w.plain, min(w.doc_id) AS first_doc FROM worded w JOIN firsts f USING (doc_id)
-  GROUP BY w.source, w.plain HAVING count(DISTINCT w.doc_id) > 100
+  SELECT c.source, c.plain FROM carried c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE n > {least} AND 100 * n > documents * {percent}
 ), gone AS (
   SELECT w.doc_id, count(*) AS n_lines_removed, sum(w.words) AS n_words_removed
-  FROM worded w JOIN frequent f ON w.source IS NOT DISTINCT FROM f.source AND w.plain = f.plain
-  WHERE w.doc_id <> f.first_doc GROUP BY w.doc_id
+  FROM worded w JOIN frequent f ON w.source IS NOT DISTINCT FROM f.source AND w.plain = f.plain GROUP BY w.doc_id
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(n_words_removed, 0) >= n_words * 0.3::DOUBLE AS kept,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(n_words_removed, 0) >= n_words * {min_left}::DOUBLE AS kept,
        coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed, coalesce(n_words_removed, 0)::BIGINT AS n_words_removed
 FROM base LEFT JOIN gone USING (doc_id)
 """
@@ -50,7 +52,7 @@ OP8 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(text) AS th, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
   FROM d GROUP BY source
 ), levels(round, level) AS (
   SELECT 0, (SELECT 1.5 * sum(source_size) / sum(weight) FROM s)::DOUBLE
@@ -58,36 +60,61 @@ WITH RECURSIVE d AS (
   SELECT round + 1, (SELECT ((SELECT 1.5 * sum(source_size) FROM s) - sum(2 * source_size) FILTER (WHERE 2 * source_size < level * weight)) / nullif(sum(weight) FILTER (WHERE 2 * source_size >= level * weight), 0) FROM s)::DOUBLE
   FROM levels WHERE round < 30 AND level IS NOT NULL AND (SELECT count(*) FROM s WHERE 2 * source_size < level * weight) > 0
 ), t AS (
-  SELECT source, source_size, least(2.0 * source_size, (SELECT max(level) FROM levels) * weight)::DOUBLE AS target FROM s
+  SELECT source, source_size, n_rows, least(2.0 * source_size, (SELECT max(level) FROM levels) * weight)::DOUBLE AS target FROM s
 ), b AS (
-  SELECT *, greatest(ceil(1.5 * sum(source_size) OVER () / 1000000), 1)::BIGINT AS block, round(1.5 * sum(source_size) OVER () / greatest(ceil(1.5 * sum(source_size) OVER () / 1000000), 1))::BIGINT AS seats FROM t
+  SELECT *, round(1.5 * sum(source_size) OVER () / block)::BIGINT AS seats
+  FROM (SELECT *, greatest(1, least(ceil(1.5 * sum(source_size) OVER () / {blocks}), {most_block}))::BIGINT AS block FROM t)
 ), q AS (
   SELECT source, k, target / (2 * k + 1) AS quotient, seats FROM (SELECT source, target, seats, unnest(range(0, (target / block)::BIGINT + 3)) AS k FROM b WHERE target > 0)
 ), won AS (
   SELECT source, count(*) AS quota FROM (SELECT source, seats, row_number() OVER (ORDER BY quotient DESC, source ASC NULLS LAST) AS place FROM q) WHERE place <= seats GROUP BY source
 ), e AS (
-  SELECT b.source, source_size, target, block, coalesce(quota, 0) AS quota, ceil((source_size + 1) / 1000000)::BIGINT AS n_shards
+  SELECT b.source, source_size, target, block, least(coalesce(quota, 0) * block, 2 * source_size)::BIGINT AS source_words, ceil((source_size + n_rows) / {shard_words})::BIGINT AS n_shards
   FROM b LEFT JOIN won ON b.source IS NOT DISTINCT FROM won.source
 ), p AS (
-  SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.block, e.quota, md5(concat_ws('/', '11', d.doc_id::VARCHAR, d.th)) AS draw, e.n_shards
+  SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.block, e.source_words, md5(concat_ws('/', '11', d.doc_id::VARCHAR, d.th)) AS draw, e.n_shards
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 ), p2 AS (
-  SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % n_shards AS shard FROM p
+  SELECT *, ('0x' || substr(draw, 1, 12))::BIGINT % n_shards AS shard, ceil(n_shards / {group_shards})::BIGINT AS n_groups FROM p
 ), h AS (
-  SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(quota) AS quota FROM p2 GROUP BY source, shard
-), hq AS (
-  SELECT source, shard, shard_size / (2 * k + 1) AS quotient, quota
-  FROM (SELECT source, shard, shard_size, quota, unnest(range(0, quota)) AS k FROM h WHERE shard_size > 0)
+  SELECT source, shard, shard % any_value(n_groups) AS grp, sum(size)::BIGINT AS shard_size, any_value(block) AS block, any_value(source_words) AS source_words FROM p2 GROUP BY source, shard
+), g AS (
+  SELECT source, grp, sum(shard_size)::BIGINT AS size, any_value(block) AS block, any_value(source_words) AS words FROM h GROUP BY source, grp
+), gw AS (
+  SELECT source, grp, count(*) AS quota FROM (
+    SELECT source, grp, words // block AS seats, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, grp) AS place
+    FROM (SELECT source, grp, words, block, size / (2 * unnest(range(0, words // block)) + 1) AS quotient FROM g WHERE size > 0)) WHERE place <= seats GROUP BY source, grp
+), go AS (
+  SELECT g.source, g.grp, g.words, g.size, least(coalesce(quota, 0) * g.block, 2 * g.size) AS own FROM g LEFT JOIN gw ON g.source IS NOT DISTINCT FROM gw.source AND g.grp = gw.grp
+), gd AS (
+  SELECT source, grp, (own + greatest(0, least(2 * size - own, words - sum(own) OVER (PARTITION BY source)
+         - coalesce(sum(2 * size - own) OVER (PARTITION BY source ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS words FROM go
+), hs AS (
+  SELECT h.source, h.grp, h.shard, h.shard_size, h.block, gd.words FROM h JOIN gd ON h.source IS NOT DISTINCT FROM gd.source AND h.grp = gd.grp
 ), hw AS (
-  SELECT source, shard, count(*) AS shard_quota
-  FROM (SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard) AS place FROM hq) WHERE place <= quota GROUP BY source, shard
+  SELECT source, shard, count(*) AS quota FROM (
+    SELECT source, shard, words // block AS seats, row_number() OVER (PARTITION BY source, grp ORDER BY quotient DESC, shard) AS place
+    FROM (SELECT source, grp, shard, words, block, shard_size / (2 * unnest(range(0, words // block)) + 1) AS quotient FROM hs WHERE shard_size > 0)) WHERE place <= seats GROUP BY source, shard
+), ho AS (
+  SELECT hs.*, least(coalesce(quota, 0) * hs.block, 2 * shard_size) AS own FROM hs LEFT JOIN hw ON hs.source IS NOT DISTINCT FROM hw.source AND hs.shard = hw.shard
+), hd AS (
+  SELECT source, shard, shard_size, (own + greatest(0, least(2 * shard_size - own, words - sum(own) OVER (PARTITION BY source, grp)
+         - coalesce(sum(2 * shard_size - own) OVER (PARTITION BY source, grp ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS wanted FROM ho
 ), j AS (
-  SELECT p2.*, h.shard_size, least(coalesce(hw.shard_quota, 0) * p2.block, 2 * h.shard_size) AS wanted,
-         coalesce(sum(p2.size) OVER (PARTITION BY p2.source, p2.shard ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
-  FROM p2 JOIN h ON p2.source IS NOT DISTINCT FROM h.source AND p2.shard = h.shard
-          LEFT JOIN hw ON p2.source IS NOT DISTINCT FROM hw.source AND p2.shard = hw.shard
+  SELECT p2.*, hd.shard_size, hd.wanted, coalesce(sum(p2.size) OVER (PARTITION BY p2.source, p2.shard ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
+  FROM p2 JOIN hd ON p2.source IS NOT DISTINCT FROM hd.source AND p2.shard = hd.shard
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        ((wanted // greatest(shard_size, 1)) * size + greatest(0, least(size, wanted % greatest(shard_size, 1) - begun)))::BIGINT AS taken, source
 FROM j
 """
+
+
+def op1(least: int = line_rules.LEAST_DOCUMENTS, percent: float = line_rules.SHARE_PERCENT, min_left: float = line_rules.MIN_LEFT) -> str:
+    """Operator 1 at the given limits."""
+    return OP1.format(least=least, percent=percent, min_left=min_left)
+
+
+def op8(blocks: int = mixing.BLOCKS, shard_words: int = mixing.SHARD_WORDS, group_shards: int = mixing.GROUP_SHARDS) -> str:
+    """Operator 8 with the given numbers of blocks, words a shard and shards a group."""
+    return OP8.format(blocks=blocks, most_block=max(1, shard_words // mixing.SHARD_BLOCKS), shard_words=shard_words, group_shards=group_shards)

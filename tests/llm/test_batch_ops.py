@@ -269,17 +269,24 @@ def test_mix(docs, rows):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
-def test_mix_against_sql(spark, docs, rows, tmp_path):
-    """Many blocks and shards: the SQL writes all quotients out."""
+@pytest.mark.parametrize(("blocks", "shard_words", "group_shards"), [(20_000, 3000, 1024), (20, 200, 4), (7, 100_000, 2), (10**9, 1000, 3), (1, 30, 5)])
+def test_mix_against_sql(spark, docs, rows, blocks, shard_words, group_shards):
+    """Blocks much larger and much smaller than shards; the SQL writes all quotients out."""
     unique = {r[0]: r[:5] for r in rows if r[0] is not None}
     df = spark.createDataFrame(list(unique.values()), PLAIN)
     documents = df.toPandas()
     con = duckdb.connect()
     con.register("documents", documents)
-    statement = sql.OP8.replace("1.5 * sum(source_size) OVER () / 1000000", "1.5 * sum(source_size) OVER () / 20000").replace("(source_size + 1) / 1000000", "(source_size + 1) / 3000")
-    expected = con.sql(statement).fetchall()
-    got = mixing.mix(df, blocks=20_000, shard_words=3000).collect()
+    expected = con.sql(sql.op8(blocks, shard_words, group_shards)).fetchall()
+    got = mixing.mix(df, blocks=blocks, shard_words=shard_words, group_shards=group_shards).collect()
     assert Counter((g.doc_id, g["size"], g.source_size, round(g.target, 6), g.taken, g.source) for g in got) == Counter((int(a), b, c, round(d, 6), e, f) for a, b, c, d, e, f in expected)
+    taken, target = Counter(), {}
+    for g in got:
+        assert 0 <= g.taken <= 2 * g["size"]
+        taken[g.source] += g.taken
+        target[g.source] = g.target
+    block = max(1, min(-(-sum(target.values()) // blocks), shard_words // mixing.SHARD_BLOCKS))
+    assert all(abs(taken[s] - t) <= block for s, t in target.items())
 
 
 def test_mixed_texts(docs, rows):

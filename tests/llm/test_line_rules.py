@@ -1,10 +1,13 @@
+import os
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from quillgraph.llm import line_rules
+from quillgraph.llm import line_rules, sql
 from quillgraph.llm import textkit as tk
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -21,23 +24,26 @@ def base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeat)
 
 
-def brute(rows, limit, left):
+def brute(rows, least=line_rules.LEAST_DOCUMENTS, percent=line_rules.SHARE_PERCENT, left=line_rules.MIN_LEFT, keep_first=False):
     """(doc_id, counts, base_failed, kept, lines removed, words removed), by definition."""
-    firsts = {}
-    for r in rows:
-        key = (r[3], r[1])
-        ids = [i for i in (firsts.get(key), r[0]) if i is not None]
-        firsts[key] = min(ids, default=None)
     norm = lambda line: " ".join(WORD.findall(line.translate(LOWER)))
-    carriers = defaultdict(set)
-    for (host, text), first in firsts.items():
+    carriers, documents = defaultdict(set), defaultdict(set)
+    for doc, text, _, host, *_ in rows:
+        key = (doc, text if doc is None else "")
+        documents[host].add(key)
         for line in (text or "").split("\n"):
             if WORD.search(line):
-                carriers[host, norm(line)].add((first, text))
+                carriers[host, norm(line)].add(key)
     out = []
     for doc, text, _, host, *_ in rows:
         n = base(text)
-        gone = [x for x in (text or "").split("\n") if WORD.search(x) and len(c := carriers[host, norm(x)]) > limit and doc != min(i for i, _ in c if i is not None)]
+        gone = []
+        for x in (text or "").split("\n"):
+            if WORD.search(x):
+                c = carriers[host, norm(x)]
+                first = keep_first and doc == min((i for i, _ in c if i is not None), default=None)
+                if len(c) > least and 100 * len(c) > percent * len(documents[host]) and not first:
+                    gone.append(x)
         words = sum(len(WORD.findall(x)) for x in gone)
         failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
         out.append((doc, *n, failed, not failed and n[0] - words >= n[0] * left, len(gone), words))
@@ -48,28 +54,70 @@ def columns(df):
     return [tuple(r[k] for k in ("doc_id", *line_rules.COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_removed")) for r in df.collect() for _ in range(r["rows"])]
 
 
-def test_counts_and_verdicts(spark, docs, rows):
-    assert Counter(columns(line_rules.judge(docs))) == Counter(brute(rows, line_rules.MAX_DOCUMENTS, line_rules.MIN_LEFT))
+@pytest.mark.parametrize("limits", [{}, {"least": 2, "percent": 0}, {"least": 1, "percent": 10}, {"least": 1, "percent": 1, "keep_first": True}, {"least": 0, "percent": 0}])
+def test_counts_and_verdicts(spark, docs, rows, limits):
+    named = {"left" if k == "min_left" else k: v for k, v in limits.items()}
+    assert Counter(columns(line_rules.judge(docs, **limits))) == Counter(brute(rows, **named))
+
+
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
+
 
+def body(i):
+    return "\n".join(" ".join(f"w{i}x{k}y{j}" for j in range(20)) for k in range(3))
 
-def test_frequent_lines_go_but_for_the_first_document(spark):
-    body = lambda i: "\n".join(" ".join(f"w{i}x{k}y{j}" for j in range(20)) for k in range(3))
+
+def test_frequent_lines_go(spark):
     rows = [(i, "Shared  Line here\n" + body(i), "en", "a", 0) for i in range(8)] + [(20 + i, "shared line HERE\n" * 2 + f"only {i}\n", "en", "b", 0) for i in range(6)] + [(40, "same text " * 60, "en", "a", 0)] * 5
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = columns(line_rules.judge(df, max_documents=3))
-    assert Counter(got) == Counter(brute(rows, 3, line_rules.MIN_LEFT))
-    kept = {r.doc_id: r.text for r in line_rules.clean(df, max_documents=3).collect()}
-    assert set(kept) == set(range(8))  # the copies repeat their words, the b documents are short
-    assert kept[0] == rows[0][1] and kept[5] == body(5)
+    df = spark.createDataFrame(rows, PLAIN)
+    for first in (False, True):
+        got = columns(line_rules.judge(df, least=3, percent=0, keep_first=first))
+        assert Counter(got) == Counter(brute(rows, 3, 0, keep_first=first))
+        kept = {r.doc_id: r.text for r in line_rules.clean(df, least=3, percent=0, keep_first=first).collect()}
+        assert set(kept) == set(range(8))  # the text of 40 repeats its words, the b documents are short
+        assert kept[0] == (rows[0][1] if first else body(0)) and kept[5] == body(5)
+
+
+def test_a_share_of_the_host_counts(spark):
+    """A line of 12 documents is frequent on a host of 100, not on one of 400."""
+    rows = [(i, ("shared line\n" if i < 12 else "") + body(i), "en", "small", 0) for i in range(100)]
+    rows += [(1000 + i, ("shared line\n" if i < 12 else "") + body(i), "en", "large", 0) for i in range(400)]
+    got = {r.doc_id: r.n_lines_removed for r in line_rules.judge(spark.createDataFrame(rows, PLAIN)).collect()}
+    assert {i for i, n in got.items() if n} == set(range(12))
+
+
+def test_copies_of_a_document_count_each_and_the_first_is_kept_on_request(spark):
+    rows = [(i, body(0), "en", "a", 0) for i in range(30)] + [(100 + i, body(100 + i), "en", "a", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, PLAIN)
+    kept = lambda **x: {r.doc_id for r in line_rules.judge(df, **x).where("kept").collect()}
+    assert kept() == {100 + i for i in range(30)}
+    assert kept(keep_first=True) == {0, *(100 + i for i in range(30))}
 
 
 def test_depleted_documents_are_rejected(spark):
     block = "\n".join(f"common words of line {k} " * 4 for k in range(4))
     rows = [(i, block + "\n" + " ".join(f"own{i}x{k}" for k in range(3)), "en", "a", 0) for i in range(6)]
-    got = {r.doc_id: r.kept for r in line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), max_documents=2).collect()}
+    got = {r.doc_id: r.kept for r in line_rules.judge(spark.createDataFrame(rows, PLAIN), least=2, percent=0).collect()}
     assert not any(got[i] for i in range(1, 6))
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("limits", [{}, {"least": 1, "percent": 1}, {"least": 1, "percent": 0, "min_left": 0.97}])
+def test_tables_against_sql(spark, limits):
+    """At lower limits lines go from the driver's tables and documents are depleted."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    names = ["doc_id", *line_rules.COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_removed"]
+    expected = con.sql(f"SELECT {', '.join(names)} FROM ({sql.op1(**limits)})").fetchall()
+    got = columns(line_rules.judge(spark.read.parquet(f"{SF}/documents.parquet"), **limits))
+    assert Counter(got) == Counter(expected)
+    if limits:
+        assert sum(r[8] for r in got) > 10 and any(r[9] and not r[6] and not r[7] for r in got)
+
+
 def test_empty(spark, none):
     assert line_rules.judge(none).count() == 0
     assert line_rules.clean(none).count() == 0

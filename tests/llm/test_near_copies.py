@@ -89,8 +89,8 @@ def test_copies_that_are_not_near_each_other(spark):
 def test_buckets_in_pairs_of_blocks(spark):
     """Blocks of a few texts join what one block joins."""
     rng = np.random.default_rng(4)
-    words = [f"w{i}" for i in range(100)]
-    df = spark.createDataFrame([(i, edited(rng, words, 3 + i % 5), "en", "s", 0) for i in range(120)], PLAIN)
+    words = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(i, edited(rng, words, 3 + 2 * (i % 5)), "en", "s", 0) for i in range(120)], PLAIN)
     found = {}
     for size in (5, 1000):
         found[size] = Counter(frozenset(g.ids) for g in n.groups(df, "doc_id", block_rows=size).groupBy("root").agg({"doc_id": "collect_list"}).toDF("root", "ids").collect())
