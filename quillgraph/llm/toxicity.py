@@ -10,17 +10,22 @@ as an insult with the mention of a group:
 The pair sum is taken in linear time as half of |sum v|^2 - sum |v|^2.  It is
 fitted by AdaGrad on the driver, from at most ``MAX_ROWS`` labelled documents
 (those with the smallest seeded hash of doc_id) of which only hashed terms are
-collected; documents whose crc32(doc_id) mod 5 is 0 are held out.  Only terms that
-at least ``MIN_TERM_ROWS`` fitted documents have, and whose toxic share stands
-out by ``MIN_Z`` standard errors, get parameters: rare words would else be
-learned by heart.  Every
+collected; documents whose crc32(doc_id) mod 5 is 0 are held out.  Rare words
+would be learned by heart, so parameters go to two kinds of terms only, found
+on the sample: those that at least ``MIN_TERM_ROWS`` documents have and whose
+toxic share stands out by ``MIN_Z`` standard errors; and those that may say
+nothing alone, but are one of a pair that interacts.  For the latter, all pairs
+of the ``PAIR_TERMS`` most frequent terms are held against an additive model:
+the log odds ratio of one term with the other present against that with it
+absent, which has to depart from 1 by ``MIN_PAIR_Z`` standard errors.  Every
 document is scored, over its whole text.
 
 Defined cases: a null or empty text has no terms and gets the score of the
 bias alone; a null doc_id counts as the empty text, is held out and can't be
-labelled; a doc_id with several labels is toxic if any says so; a null label
-is no label; repeated rows get equal scores; without any usable label, or with
-one class only, the bias is the smoothed share of toxic labels.
+labelled; a doc_id with several labels is toxic if any says so, and of its
+rows one is fitted; a null label is no label; repeated rows get equal scores;
+without any usable label, or with one class only, the bias is the smoothed
+share of toxic labels.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ FACTORS = 8
 MAX_ROWS = 30_000
 MIN_TERM_ROWS = 3
 MIN_Z = 4.0
+PAIR_TERMS = 1024
+MIN_PAIR_ROWS = 20
+#: There are half a million pairs: by chance a pair in three million is this far off.
+MIN_PAIR_Z = 5.0
 EPOCHS = 20
 SEED = 17
 TERM = tk.byte_table(b"abcdefghijklmnopqrstuvwxyz0123456789") | (np.arange(256) >= 128)
@@ -86,6 +95,37 @@ def informative(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int)
     return (count >= MIN_TERM_ROWS) & (np.abs(excess) >= MIN_Z * np.sqrt(np.maximum(count, 1) * share * (1 - share)))
 
 
+def interacting(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int, rows_each: int = 2048, terms_each: int = 128) -> np.ndarray:
+    """Terms, of the ``PAIR_TERMS`` most frequent, that form a pair whose toxic share no sum of two weights explains."""
+    out = np.zeros(1 << bits, bool)
+    count = np.bincount(term, minlength=1 << bits)
+    chosen = np.flatnonzero((count >= MIN_PAIR_ROWS) & (count <= len(toxic) - MIN_PAIR_ROWS))
+    chosen = chosen[np.lexsort((chosen, -count[chosen]))][:PAIR_TERMS]
+    place = np.full(1 << bits, -1)
+    place[chosen] = np.arange(len(chosen))
+    both, both_toxic = (np.zeros((len(chosen), len(chosen)), np.float32) for _ in range(2))
+    for low in range(0, len(toxic), rows_each):
+        a, b = np.searchsorted(row, (low, low + rows_each))
+        at = place[term[a:b]]
+        has = np.zeros((min(rows_each, len(toxic) - low), len(chosen)), np.float32)
+        has[row[a:b][at >= 0] - low, at[at >= 0]] = 1
+        bad = has[toxic[low : low + rows_each] > 0]
+        both += has.T @ has
+        both_toxic += bad.T @ bad
+    single, single_toxic = both.diagonal(), both_toxic.diagonal()
+    for low in range(0, len(chosen), terms_each):
+        part = slice(low, low + terms_each)
+        n, t = both[part].astype(np.float64), both_toxic[part].astype(np.float64)
+        ni, ti, nj, tj = single[part, None], single_toxic[part, None], single[None], single_toxic[None]
+        cells = [(1, n, t), (-1, ni - n, ti - t), (-1, nj - n, tj - t), (1, len(toxic) - ni - nj + n, toxic.sum() - ti - tj + t)]
+        contrast = sum(sign * (np.log(x + 0.5) - np.log(m - x + 0.5)) for sign, m, x in cells)
+        error = np.sqrt(sum(1 / (x + 0.5) + 1 / (m - x + 0.5) for _, m, x in cells))
+        strong = np.abs(contrast) >= MIN_PAIR_Z * error
+        strong[np.arange(len(strong)), low + np.arange(len(strong))] = False
+        out[chosen[part][strong.any(axis=1)]] = True
+    return out
+
+
 def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 2e-4, batch: int = 128) -> Machine:
     """AdaGrad on the log loss; (row, term) pairs ascend by row.  The result depends on the arguments only."""
     rows, rng = len(toxic), np.random.default_rng(SEED)
@@ -94,7 +134,7 @@ def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int = BITS,
     machine = Machine(float(np.log(share / (1 - share))), weights, factors)
     if not rows or toxic.all() or not toxic.any():
         return machine
-    seen = informative(row, term, toxic, bits)
+    seen = informative(row, term, toxic, bits) | interacting(row, term, toxic, bits)
     factors[seen] = rng.normal(0, 0.01, (int(seen.sum()), FACTORS))
     kept = seen[term]
     row, term = row[kept], term[kept]
@@ -145,9 +185,10 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_rows)
     labelled = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = arrow_map(labelled.select("doc_id", "toxic", "text"), _term_batches, "doc_id long, toxic int, terms array<int>").toArrow()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    found = found.take(pa.array(order[: 2 * max_rows])).combine_chunks()
+    # Of rows that repeat a doc_id one is taken, so the driver gets no more rows than the sample has.
+    once = labelled.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.toxic", "r.text")
+    found = arrow_map(once, _term_batches, "doc_id long, toxic int, terms array<int>").toArrow()
+    found = found.take(pa.array(np.argsort(found["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
     terms = found["terms"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
     row = np.repeat(np.arange(found.num_rows), np.diff(terms.offsets.to_numpy()) if found.num_rows else np.zeros(0, np.int64))
     return fit(row, terms.flatten().to_numpy().astype(np.int64), found["toxic"].to_numpy().astype(np.float64))

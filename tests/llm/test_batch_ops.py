@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -104,6 +105,31 @@ def test_machine_learns_the_interaction(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def test_a_signal_of_pairs_only_is_learned(spark):
+    """Toxic if exactly one of two words stands there: neither says anything alone, so weights without factors fail."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(4000):
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        bag = [f"n{rng.randrange(300)}" for _ in range(25)] + ["alpha"] * one + ["beta"] * other
+        rng.shuffle(bag)
+        rows.append((i, " ".join(bag), "en", "s", 0))
+        labels.append((i, 0, int(one != other)))
+    docs = spark.createDataFrame(rows, PLAIN)
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    plain = toxicity.Machine(machine.bias, machine.weights, np.zeros_like(machine.factors))
+    right = [np.mean([r.predicted == labels[r.doc_id][2] for r in toxicity.score(docs, m).where("held_out").collect()]) for m in (machine, plain)]
+    assert right[0] > 0.95 > 0.85 > right[1]
+
+
+def test_the_sample_is_bounded_whatever_the_copies(spark):
+    rows = [(i % 7, f"word{i % 7} text{i}", "en", "s", 0) for i in range(700)]
+    got = toxicity.train(spark.createDataFrame(rows, PLAIN), spark.createDataFrame([(i, 0, i % 2) for i in range(7)], "doc_id long, quality int, toxic int"))
+    used = [i for i in range(7) if zlib.crc32(str(i).encode()) % 5]
+    share = (sum(i % 2 for i in used) + 0.5) / (len(used) + 1)
+    assert got.bias == pytest.approx(np.log(share / (1 - share)), abs=1)
+
+
 def test_machine_ignores_held_out_labels(spark):
     rows, labels = toxic_rows(300)
     docs = spark.createDataFrame(rows, PLAIN)
