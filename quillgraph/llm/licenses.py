@@ -5,12 +5,12 @@ letters and digits).  The templates' words are counted over all documents,
 and each template is indexed by its ``INDEX_WORDS`` rarest ones (highest
 inverse document frequency), with their places.  A file looks up every place
 of its indexed words, whose number the templates fix, so one notice never
-takes the look-ups of another; the postings of a template are intersected with the file's places by relative position, that is, votes are
-counted for each (template, place in the file where it would begin).  For an
+takes the look-ups of another; the postings of a template are intersected with
+the file's places by relative position, that is, votes are counted for each (template, place in the file where it would begin).  For an
 alignment with enough votes the share of the template's words found at their
 places (up to ``SLACK`` words off) is its score; it is a match from
 ``MIN_SCORE`` on, if the template's mandatory key phrases stand in the
-aligned span.
+aligned span.  A match inside a longer one of another license is part of that.
 
 The base rules are three phrases found as consecutive words; their labels
 always stay.
@@ -57,7 +57,7 @@ TEMPLATES = [
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         ["apache license", "except in compliance with the license"],
     ),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ["general public license", "version 3"]),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license", "version 3"]),
     (
         "gpl-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -74,11 +74,60 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["attribution sharealike 4 0"]),
     (
         "bsd-3-clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         ["redistribution and use in source and binary forms", "neither the name"],
     ),
+    (
+        "bsd-2-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ["redistribution and use in source and binary forms", "redistributions in binary form"],
+    ),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["mozilla public license v 2 0"]),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license v 2 0"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
+    (
+        "apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        ["apache license version 2 0", "terms and conditions for use"],
+    ),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", ["gnu general public license version 3"]),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.", ["gnu general public license version 2"]),
+    (
+        "lgpl-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        ["gnu lesser general public license", "either version 2 1"],
+    ),
+    (
+        "lgpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ["gnu lesser general public license", "either version 3"],
+    ),
+    (
+        "agpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ["gnu affero general public license", "either version 3"],
+    ),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ["gnu affero general public license", "version 3"]),
+    (
+        "epl-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        ["eclipse public license", "2 0"],
+    ),
+    (
+        "cc0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software.",
+        ["to the extent possible under law", "public domain"],
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ["free and unencumbered software released into the public domain"],
+    ),
+    (
+        "zlib",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        ["permission is granted to anyone to use this software for any purpose", "redistribute it freely"],
+    ),
 ]
 
 
@@ -202,6 +251,11 @@ def score_alignment(word: np.ndarray, low: int, high: int, begin: int, template:
     return float(found.mean())
 
 
+def outermost(matches: list[tuple[int, int, str]]) -> set[str]:
+    """Labels of the matches (begin, end, label) that don't lie in a longer one of another label, as one license can quote a shorter one."""
+    return {x for a, b, x in matches if not any(c <= a + SLACK and b - SLACK <= d and d - c > b - a and x != y for c, d, y in matches)}
+
+
 def scan_batch(column: pa.Array, ix: Index) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
     phrases = [(hashed(p), label) for p, label in BASE_PHRASES.items()]
@@ -220,11 +274,14 @@ def scan_batch(column: pa.Array, ix: Index) -> dict[str, list]:
                     places[r].append(at - int(index[r]))
                     base[r].add(label)
                     score[r] = max(score[r], BASE_SCORE)
+        matches: dict[int, list[tuple[int, int, str]]] = {}
         for r, template, begin in alignments(word, index, ix).T.tolist():
             s = score_alignment(word, int(index[r]), int(index[r + 1]), begin, template, ix)
             if s >= MIN_SCORE:
-                more[r].add(ix.labels[template])
+                matches.setdefault(r, []).append((begin, begin + len(ix.words[template]), ix.labels[template]))
                 score[r] = max(score[r], s)
+        for r, found in matches.items():
+            more[r] = outermost(found)
         out["n_words"] += np.diff(index).tolist()
         out["n_base"] += [len(x) for x in places]
         out["first_word"] += [min(x, default=None) for x in places]
