@@ -270,8 +270,9 @@ def halved(hot: DataFrame) -> DataFrame:
     found = None
     while not pieces.isEmpty():
         blocks = cut(arrow_map(pieces, _halve, _PIECE))
-        cores = blocks.groupBy("core").agg(F.sum("weight").alias("core_weight")).where("core_weight > 1")
-        same = blocks.groupBy("core", "piece").agg(F.sum("weight").alias("piece_weight")).where("piece_weight > 1")
+        # Cut, so that the joins read both sides from exchanges and a core of very many blocks is split.
+        cores = cut(blocks.groupBy("core").agg(F.sum("weight").alias("core_weight")).where("core_weight > 1"))
+        same = cut(blocks.groupBy("core", "piece").agg(F.sum("weight").alias("piece_weight")).where("piece_weight > 1"))
         counted = cut(blocks.join(cores, "core").join(same, ["core", "piece"], "left"))
         done = counted.where("piece_weight > 1 OR width = 1").select("anchor", "segment", F.struct(F.col("offset").alias("low"), (F.col("offset") + F.octet_length("bytes") - (WINDOW - 1)).alias("high")).alias("piece"))
         found = done if found is None else found.unionByName(done)

@@ -182,7 +182,8 @@ def groups(documents: DataFrame) -> DataFrame:
     linked = nodes.join(root, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root").select("fp", "root", "component")
-    per_print = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
+    # Cut, so that the join below reads both sides from exchanges and a fingerprint of very many documents is split.
+    per_print = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id")))
     return prints.join(per_print, "fp")
 
 
