@@ -17,16 +17,16 @@ bin a shard.  Only (doc_id, source, cluster, words, text hash) move, no texts.
 Defined cases: a document without words has one row with 0 words and no bin; a
 null source or cluster is one value like any other; equal lengths are placed
 in the order of doc_id (null first), cluster and piece; repeated rows are
-numbered copies of one cluster, each with bins of its own for its full pieces; an empty table gives no rows.
+numbered copies of one cluster, each with bins of its own for its full pieces;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,13 +68,12 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
 
 def _packer(capacity: int):
     def pack_shard(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        frame = frame.sort_values(["n_words", "doc_id", "cluster", "piece", "text_hash", "source", "copy"], ascending=[False, *[True] * 6], na_position="first", kind="stable")
-        codes = [np.asarray(frame[c].factorize(use_na_sentinel=False)[0]).tolist() for c in ("source", "cluster")]
-        bins, offsets = best_fit(frame["n_words"].astype(int).tolist(), *codes, capacity)
-        columns = {"doc_id": pa.int64(), "piece": pa.int64(), "start": pa.int64(), "n_words": pa.int64(), "text_hash": pa.int64(), "shard": pa.int64()}
-        arrays = [pa.Array.from_pandas(frame[c], type=t) for c, t in columns.items()]
-        return pa.Table.from_arrays([*arrays, pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())], [*columns, "bin", "bin_offset"])
+        keys = [("n_words", "descending"), *((c, "ascending") for c in ("doc_id", "cluster", "piece", "text_hash", "source", "copy"))]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+        codes = [table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist() for c in ("source", "cluster")]
+        bins, offsets = best_fit(table["n_words"].to_pylist(), *codes, capacity)
+        kept = table.select(["doc_id", "piece", "start", "n_words", "text_hash", "shard"])
+        return kept.append_column("bin", pa.array(bins, pa.int64())).append_column("bin_offset", pa.array(offsets, pa.int64()))
 
     return pack_shard
 

@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,12 +149,13 @@ def compare_next(documents: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_each))
     cuts = np.array(sorted(set(documents.approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if total > empty_ids else [], np.int64)
 
-    @F.pandas_udf("int")
-    def block(ids: pd.Series, absent: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def block(ids: pa.Array, absent: pa.Array) -> pa.Array:
         """Blocks count upwards in descending order of doc_id; rows without one form the last."""
-        return pd.Series(np.where(absent, len(cuts) + 1, len(cuts) - np.searchsorted(cuts, ids.to_numpy(), "right")).astype(np.int32))
+        number = len(cuts) - np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(absent.to_numpy(zero_copy_only=False), len(cuts) + 1, number).astype(np.int32))
 
-    # Nulls are passed as a flag, as pandas would make the ids floating-point numbers.
+    # Nulls are passed as a flag, as numpy would make the ids floating-point numbers.
     number, absent = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
     placed = rows.withColumn("block", block(number, absent))
     firsts = placed.groupBy("block").agg(F.max("doc_id").alias("doc_id")).orderBy("block").collect()
@@ -164,11 +164,12 @@ def compare_next(documents: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     before = np.roll(numbers, 1)
     leading = np.array([r.doc_id or 0 for r in firsts], np.int64)
 
-    @F.pandas_udf("array<int>")
-    def targets(own: pd.Series, ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(numbers, own.to_numpy())
-        first = ids.to_numpy() == leading[at]
-        return pd.Series([[a, b] if f else [a] for a, b, f in zip(own, before[at], first, strict=True)])
+    @F.arrow_udf("array<int>")
+    def targets(own: pa.Array, ids: pa.Array) -> pa.Array:
+        own = own.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(numbers, own)
+        first = ids.to_numpy(zero_copy_only=False) == leading[at]
+        return pa.array([[a, b] if f else [a] for a, b, f in zip(own.tolist(), before[at].tolist(), first.tolist(), strict=True)], pa.list_(pa.int32()))
 
     dealt = placed.select("doc_id", "text", F.posexplode(targets("block", number)).alias("k", "block"))
     dealt = dealt.select("doc_id", "text", "block", (F.col("k") > 0).alias("halo")).repartition(max(1, len(firsts)), "block")

@@ -99,29 +99,33 @@ def suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return odd + tk.per_row(ends - starts >= LEAST["hex"], index) > 0
 
 
+def _batch_spans(texts: pa.Array, encode) -> list[list[tuple[int, int, str]]]:
+    """All spans of each text, by start and kind."""
+    spans: list[list[tuple[int, int, str]]] = []
+    for _, _, buf, offs in tk.chunks(texts):
+        odd = suspects(buf, offs)
+        for i, (low, high) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            raw = buf[low:high].tobytes()
+            plain = raw.lower()
+            if not odd[i] and b"AKIA" not in raw and not any(w in plain for w in WORDS):
+                spans.append([])
+                continue
+            text = raw.decode()
+            extra = token_spans(text, encode) if odd[i] else []
+            spans.append(sorted(base_spans(text) + extra, key=lambda x: (x[0], KINDS.index(x[2]))))
+    return spans
+
+
 def _scanner(vocabulary: bytes):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
         for batch in batches:
-            spans: list[list[tuple[int, int, str]]] = []
-            for _, _, buf, offs in tk.chunks(batch.column("text")):
-                odd = suspects(buf, offs)
-                for i, (low, high) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                    raw = buf[low:high].tobytes()
-                    plain = raw.lower()
-                    if not odd[i] and b"AKIA" not in raw and not any(w in plain for w in WORDS):
-                        spans.append([])
-                        continue
-                    text = raw.decode()
-                    base = base_spans(text)
-                    extra = token_spans(text, encode) if odd[i] else []
-                    spans.append(sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]))))
+            spans = _batch_spans(batch.column("text"), encode)
             joined = [",".join(f"{k}:{a}:{b}" for a, b, k in s) for s in spans]
             base = [",".join(f"{k}:{a}:{b}" for a, b, k in s if k != "token") for s in spans]
             counts = [pa.array([sum(x[2] == k for x in s) for s in spans], pa.int64()) for k in KINDS]
-            digest = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base])
-            keep = [batch.column(k) for k in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*keep, *counts, digest, pa.array(joined, pa.string())], [*batch.schema.names, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            digest = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array(joined, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return scan
 
@@ -132,33 +136,36 @@ def vocabulary_bytes(path: str) -> bytes:
         return file.read()
 
 
-def scan(documents: DataFrame, vocabulary: str = VOCABULARY, with_text: bool = False) -> DataFrame:
-    """doc_id, counts of each kind, digest of the base spans, and all spans; with the columns of documents on request."""
-    kept = "doc_id long, text string, lang string, source string" if with_text else "doc_id long, text string"
-    names = [x.split()[0] for x in kept.split(", ")]
-    out = arrow_map(documents.select(*names), _scanner(vocabulary_bytes(vocabulary)), kept + ", " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
-    return out if with_text else out.drop("text")
+def scan(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, counts of each kind, digest of the base spans, and all spans."""
+    return arrow_map(documents.select("doc_id", "text"), _scanner(vocabulary_bytes(vocabulary)), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+
+
+def without_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each stretch that spans cover replaced by ``[secret]``."""
+    pieces, at = [], 0
+    for low, high, _ in spans:
+        if high > at:
+            if low >= at:
+                pieces += [text[at:low], "[secret]"]
+            at = high
+    return "".join(pieces) + text[at:]
 
 
-def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            if spans:
-                pieces, at = [], 0
-                for _, a, b in (x.split(":") for x in spans.split(",")):
-                    if int(b) > at:
-                        if int(a) >= at:
-                            pieces += [texts[i][at : int(a)], "[secret]"]
-                        at = int(b)
-                texts[i] = "".join(pieces) + texts[i][at:]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source")], ["doc_id", "text", "lang", "source"])
+def _redacter(vocabulary: bytes):
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary).encode_ordinary
+        for batch in batches:
+            spans = _batch_spans(batch.column("text"), encode)
+            texts = [without_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source")], ["doc_id", "text", "lang", "source"])
+
+    return redact
 
 
 def redact(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents with each span (overlapping ones as one) replaced by ``[secret]`` (columns of documents)."""
-    found = scan(documents, vocabulary, with_text=True).select("doc_id", "text", "lang", "source", "spans")
-    clean = arrow_map(found, _redact_batches, "doc_id long, text string, lang string, source string")
+    clean = arrow_map(documents.select("doc_id", "text", "lang", "source"), _redacter(vocabulary_bytes(vocabulary)), "doc_id long, text string, lang string, source string")
     return clean.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
