@@ -13,13 +13,15 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph import workspace
+from quillgraph import guard, workspace
 from quillgraph.functions import scalar as S
 from quillgraph.operators import analytics, build, community, context, linkage, resolve, search, symbols, traverse
+from quillgraph.operators.lineage import cut
 from quillgraph.parse import parser
-from quillgraph.schemas import MECHANISMS
+from quillgraph.schemas import MECHANISMS, PARSED
 from quillgraph.sources import files as source_files
 from quillgraph.sources import git, stores
+from quillgraph.tasks import TaskStore
 
 _EDGE = ["type", "src", "dst", "confidence"]
 
@@ -27,32 +29,77 @@ _EDGE = ["type", "src", "dst", "confidence"]
 class KnowledgeBase:
     """Tables of indexed services and the questions that can be put to them."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        """``folder``: where indexed files and their parsed records are kept; without one they last as long as the session."""
+        store = lambda name, schema: stores.TableStore(spark, f"{folder}/{name}", schema) if folder else stores.MemoryStore(spark, schema)
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
         self.jobs: list[dict] = []
+        self.reviews: list[tuple[str, str, str | None, str | None]] = []
+        self.index, self.sources, self.parsed = store("index", source_files.SERVICE_INDEX_SCHEMA), store("sources", source_files.SOURCE_SCHEMA), store("parsed", f"service string, {PARSED}")
+        if folder and self.index.exists():
+            self.load(self.sources.load(), self.parsed.load())
 
     # ---- indexing
 
-    def sync(self, root: str, service: str, index: DataFrame | None = None, force: bool = True) -> dict:
-        """Scan, parse and rebuild the tables of one service; returns the job with its counts."""
+    def sync(self, root: str, service: str, force: bool = False) -> dict:
+        """Scan a tree, parse its new and changed files, drop those that are gone, and rebuild the tables of all services; returns the job.
+
+        Rows are replaced by (service, file), so the result is that of a full
+        sync of every service.  The index is written last: after a failure the
+        same files count as changed again.
+        """
         job = {"job": uuid.uuid4().hex[:8], "service": service, "status": "running", "started": datetime.now(UTC)}
         self.jobs.append(job)
-        files = source_files.scan(self.spark, root, service)
-        known = index if index is not None else self.spark.createDataFrame([], source_files.INDEX_SCHEMA)
-        marked = source_files.mark_changed(files, known, force)
         try:
-            self.load(marked.where("changed").drop("changed"))
-            job |= {"status": "done", "files": self.tables["files"].count(), "functions": self.tables["functions"].count(), "edges": self.tables["edges"].count()}
+            commit = git.head(root)
+            files = cut(source_files.scan(self.spark, root, service))
+            index = self.index.load()
+            known = index.where(F.col("service") == service)
+            marked = cut(source_files.mark_changed(files, known, force))
+            changed = marked.where("changed").drop("changed")
+            gone = known.join(files.select("path"), "path", "left_anti").select("service", "path")
+            stale = cut(changed.select("service", "path").unionByName(gone))
+            parsed = cut(self.parsed.load().join(stale.select("service", F.col("path").alias("file")), ["service", "file"], "left_anti").unionByName(parser.parse_files(changed)))
+            sources = cut(self.sources.load().join(stale, ["service", "path"], "left_anti").unionByName(changed))
+            self.load(sources, parsed)
+            job |= self._stats(service, files, changed, gone) | {"commit": commit}
+            self.parsed.replace(parsed)
+            self.sources.replace(sources)
+            fresh = changed.select("service", "path", "content_hash", F.lit(commit).alias("last_commit"), F.current_timestamp().alias("indexed_at"))
+            self.index.replace(cut(index.join(stale, ["service", "path"], "left_anti").unionByName(fresh)))
+            job["status"] = "done"
         except Exception as error:
             job |= {"status": "error", "error": str(error)[:200]}
             raise
-        self.jobs = sorted(self.jobs, key=lambda j: j["started"], reverse=True)[:50]
+        finally:
+            self.jobs = sorted(self.jobs, key=lambda j: j["started"], reverse=True)[:50]
         return job
 
-    def load(self, files: DataFrame) -> None:
-        """Build all tables from (service, path, content, language, content_hash)."""
-        parsed = parser.parse_files(files).cache()
+    def _stats(self, service: str, files: DataFrame, changed: DataFrame, gone: DataFrame) -> dict:
+        """Counts by phase, of one service, and a line that says them."""
+        own = lambda name: self.tables[name].where(F.col("service") == service)
+        calls = self.calls.join(own("functions").select(F.col("id").alias("src")), "src", "left_semi")
+        errors = own("parsed").where(F.size("errors") > 0)
+        dag_nodes = own("dags").count() + own("tasks").count()
+        dag_edges = build.dag_edges(own("tasks"), self.tables["functions"])
+        total, parsed = files.count(), changed.count()
+        phases = {
+            "filesystem": {"total": total, "changed": parsed, "skipped": total - parsed, "deleted": gone.count()},
+            "parse": {"parsed": parsed, "errors": errors.count()},
+            "graph": {"functions": own("functions").count(), "classes": own("classes").count(), "calls": calls.count(), "infra": own("owned").count(), "infra_edges": own("resources").count(), "dag_nodes": dag_nodes, "dag_edges": sum(e.count() for e in dag_edges.values())},
+            "vectors": {"chunks": own("chunks").count()},
+            "imports": resolve.import_stats(own("imports")).first().asDict(),
+            "heritage": resolve.heritage_stats(own("heritage")).first().asDict(),
+        }
+        languages = sorted(r.language for r in own("files").select("language").distinct().collect() if r.language)
+        g = phases["graph"]
+        said = f"Synced {g['functions']} functions, {g['classes']} classes, {g['calls']} call edges, {g['infra']} infra patterns ({g['infra_edges']} infra edges), {g['dag_nodes']} DAG/task nodes ({g['dag_edges']} DAG edges), {phases['vectors']['chunks']} vectors. Languages: {', '.join(languages) or 'none'}."
+        return {"files": total, "functions": g["functions"], "edges": g["calls"] + g["infra_edges"], "phases": phases, "summary": said}
+
+    def load(self, files: DataFrame, parsed: DataFrame | None = None) -> None:
+        """Build all tables from (service, path, content, language, content_hash) and, if there, their parsed records."""
+        parsed = parser.parse_files(files).cache() if parsed is None else parsed
         syms, classes, infra = parser.symbols_of(parsed), parser.classes_of(parsed), parser.infra_of(parsed)
         node = F.concat_ws("::", "service", "file", "name")
         functions = build.function_nodes(syms).withColumn("id", node).cache()
@@ -64,10 +111,12 @@ class KnowledgeBase:
         linked = build.infra_edges(owned).select(F.col("edge").alias("type"), F.concat_ws("::", "service", "file", "owner").alias("src"), F.col("target").alias("dst"), F.lit(1.0).alias("confidence"), F.lit(1).cast("long").alias("sites"), "label", F.col("service"), "metadata", "kind", F.col("type").alias("hub_type"))
         self.tables |= {
             "files": build.file_nodes(parsed), "services": build.service_nodes(parsed), "functions": functions, "classes": build.class_nodes(classes), "sites": sites,
-            "edges": call_rows.select(*_EDGE, "sites").unionByName(linked.select(*_EDGE, "sites")).cache(), "resources": linked, "candidates": build.candidates(owned), "chunks": build.chunks(parsed),
+            "edges": call_rows.select(*_EDGE, "sites").unionByName(linked.select(*_EDGE, "sites")).cache(), "resources": linked, "candidates": build.candidates(owned), "owned": owned, "chunks": build.chunks(parsed),
             "heritage": resolve.heritage(classes), "imports": resolve.resolve_imports(resolve.imports(files), files), "bindings": resolve.bindings(files, classes, syms), "sources": files, "parsed": parsed,
             "inherits": build.inherits_edges(classes), "methods": build.method_edges(classes, functions), "typed_calls": resolve.resolve_calls(sites, resolve.bindings(files, classes, syms), classes), "dags": parser.dags_of(parsed), "tasks": parser.tasks_of(parsed),
         }
+        for review in self.reviews:
+            self.tables["candidates"] = build.review(self.tables["candidates"], *review)
         for name in ("functions", "classes", "edges", "services", "files", "chunks"):
             self.tables[name].createOrReplaceTempView(name)
 
@@ -88,20 +137,17 @@ class KnowledgeBase:
     # ---- questions
 
     def query_graph(self, text: str, args: dict | None = None) -> DataFrame:
-        """A read-only statement over the views; the parsed plan decides, not the words in it."""
-        session = self.spark._jsparkSession.sessionState()
-        plan = session.sqlParser().parsePlan(text)
-        command = self.spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-        name = plan.getClass().getSimpleName()
-        if command.isInstance(plan) or name.endswith(("Statement", "Command")):
-            raise ValueError(f"read-only statements are allowed, not {name}")
+        """A read-only statement over the views; the whole parsed plan decides, not the words in it."""
+        found = guard.refused(self.spark, text)
+        if found:
+            raise ValueError(f"read-only statements are allowed, not {found}")
         return self.spark.sql(text, args=args or {})
 
     def search(self, text: str, top: int = 5, mode: str = "hybrid", events: DataFrame | None = None) -> DataFrame:
         nodes = self.tables["functions"].select(F.lit("Function").alias("label"), "name", "file", "docstring", "service").unionByName(self.tables["classes"].select(F.lit("Class").alias("label"), "name", "file", "docstring", "service")).unionByName(self.tables["files"].select(F.lit("File").alias("label"), F.col("path").alias("name"), F.col("path").alias("file"), F.lit(None).cast("string").alias("docstring"), "service"))
         chunks = self.tables["chunks"].where(F.col("name").isNotNull()).select(F.concat_ws(":", F.when(F.col("id").contains("::class::"), "Class").otherwise("Function"), "file", "name").alias("id"), search.hash_embedding(F.col("document")).alias("embedding"))
         hits = stores.hit_counts(events) if events is not None else self.spark.createDataFrame([], "id string, hit_count long")
-        point = list(self.spark.range(1).select(search.hash_embedding(F.lit(text)).alias("e")).first().e)
+        point = self.spark.range(1).select(search.hash_embedding(F.lit(text)).alias("point"))
         return search.hybrid(nodes, text, chunks, point, hits, top, mode)
 
     def log_query(self, text: str, results: DataFrame, mode: str) -> DataFrame:
@@ -118,15 +164,39 @@ class KnowledgeBase:
         starts = self.tables["functions"].where((F.col("name") == name) | (F.col("file") == name)).select("id")
         return traverse.impact(self.calls, starts, min(max(depth, 1), 10), least, direction)
 
+    def impact_report(self, name: str, depth: int = 3, least: float = 0.0) -> dict[str, DataFrame]:
+        """The impact of a function, and the three chunks nearest to its name."""
+        return {"impact": self.impact(name, depth, least), "similar": self.search(name, 3, "semantic")}
+
     def flows(self, name: str, service: str | None = None, depth: int = 10, backward: bool = False) -> DataFrame:
         rows = self.tables["functions"].where(F.col("name") == name)
         rows = rows if service is None else rows.where(F.col("service") == service)
         return traverse.flows(self.calls, rows.select("id"), min(max(depth, 1), 15), backward=backward)
 
+    def process_flows(self, name: str, service: str | None = None, depth: int = 10) -> dict[str, DataFrame]:
+        """Flows from and to a function, and the processes it is a step of."""
+        f = self.tables["functions"].where(F.col("name") == name)
+        own = (f if service is None else f.where(F.col("service") == service)).select("id")
+        return {"forward": self.flows(name, service, depth), "backward": self.flows(name, service, depth, backward=True), "processes": symbols.memberships(self.processes(), own)}
+
     def symbol_context(self, name: str, service: str | None = None) -> dict[str, DataFrame]:
-        f = self.tables["functions"]
+        """The symbols of a name and what is one step away."""
+        f, h = self.tables["functions"], self.tables["heritage"]
         found = symbols.lookup(f, name, service)
-        return {"symbols": found, "callers": symbols.neighbours(self.calls, f, found, "in"), "callees": symbols.neighbours(self.calls, f, found, "out"), "infra": self.tables["resources"].join(found.select(F.col("id").alias("src")), "src", "left_semi").limit(10), "heritage": self.tables["heritage"].where((F.col("name") == name) | (F.col("base") == name))}
+        starts = found.select("id")
+        mine = h if service is None else h.where(F.col("service") == service)
+        return {
+            "symbols": found, "callers": symbols.neighbours(self.calls, f, found, "in"), "callees": symbols.neighbours(self.calls, f, found, "out"),
+            "community": self.communities().join(starts.select(F.col("id").alias("node")), "node", "left_semi").orderBy("community", "node").limit(3),
+            "processes": symbols.memberships(self.processes(), starts), "infra": self.tables["resources"].join(starts.select(F.col("id").alias("src")), "src", "left_semi").orderBy("type", "dst", "src").limit(10),
+            "heritage": mine.where(F.col("name") == name), "children": mine.where((F.col("base") == name) & (F.col("type") == "EXTENDS")).orderBy("service", "file", "name").limit(10),
+        }
+
+    def symbol_text(self, name: str, service: str | None = None, most: int = 32_000) -> str:
+        """The symbol's context as JSON lines, cut at ``most`` characters."""
+        facets = self.symbol_context(name, service)
+        text = "\n".join(f"{k}: [{', '.join(df.toJSON().collect())}]" for k, df in facets.items())
+        return text if len(text) <= most else text[:most] + "… [TRUNCATED]"
 
     def augment(self, pattern: str, service: str | None = None, limit: int = 5) -> DataFrame:
         f = self.tables["functions"].withColumn("label", F.lit("Function"))
@@ -134,6 +204,17 @@ class KnowledgeBase:
         names = matched.select(F.col("name").alias("target")).distinct()
         return symbols.augment(matched, {"callers": symbols.grouped_neighbours(self.calls, names, f, "in"), "callees": symbols.grouped_neighbours(self.calls, names, f, "out")})
 
+    def candidates(self, service: str = "", limit: int = 50) -> DataFrame:
+        return build.open_candidates(self.tables["candidates"], service, limit)
+
+    def review(self, candidate: str, status: str, approved_as: str | None = None, reason: str | None = None) -> bool:
+        """Promote or reject a candidate (status ``approved`` or ``rejected``); False if there is none of that id."""
+        if self.tables["candidates"].where(F.col("id") == candidate).isEmpty():
+            return False
+        self.reviews.append((candidate, status, approved_as, reason))
+        self.tables["candidates"] = build.review(self.tables["candidates"], candidate, status, approved_as, reason)
+        return True
+
     def communities(self) -> DataFrame:
         return community.communities(self.calls.join(self.tables["functions"].select(F.col("id").alias("src"), "service"), "src"))
 
@@ -157,8 +238,19 @@ class KnowledgeBase:
         drift = before.join(exposes, ["path", "method"], "left_anti")
         return analytics.risk_items(self.hotspots(20), analytics.unprotected_routes(exposes, self.calls, f), analytics.fan_in_of(self.calls, r.where("label = 'Database'")), drift, analytics.repeated_calls(self.calls, f), threshold)
 
-    def detect_changes(self, path: str, ref: str = "HEAD~1") -> DataFrame:
-        return analytics.change_impact(git.changed_files(self.spark, path, ref), self.tables["functions"], self.calls, self.tables["resources"])
+    def detect_changes(self, path: str, ref: str = "HEAD~1", before: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Impact of what changed since ``ref``, by risk; with a snapshot from before, also count deltas, contract drift and hotspots."""
+        changed = git.changed_files(self.spark, path, ref)
+        impact = analytics.change_impact(changed, self.tables["functions"], self.calls, self.tables["resources"])
+        out = {"impact": impact.orderBy(F.desc("score"), "path"), "risks": analytics.risk_histogram(impact), "hotspots": self.hotspots(10)}
+        if before is not None:
+            now = self.snapshot("now")
+            routes, topics, endpoints = (lambda s, c=c: s.select(F.explode(c).alias("x")) for c in ("api_routes", "kafka_topics", "grpc_endpoints"))
+            counts = lambda s, c, key: s.select(F.explode(c).alias(key, "n")).groupBy(key).agg(F.sum("n").alias("n"))
+            drift = analytics.route_drift(routes(before).select("x.*"), routes(now).select("x.*"))
+            out |= {"node_deltas": analytics.count_deltas(counts(before, "node_counts", "label"), counts(now, "node_counts", "label"), "label"), "edge_deltas": analytics.count_deltas(counts(before, "edge_counts", "type"), counts(now, "edge_counts", "type"), "type"), "route_drift": drift, "drift_summary": analytics.drift_summary(drift)}
+            out |= {"topic_drift": analytics.set_drift(topics(before), topics(now), "x"), "endpoint_drift": analytics.set_drift(endpoints(before), endpoints(now), "x")}
+        return out
 
     def check_staleness(self, services: DataFrame, paths: dict[str, str]) -> DataFrame:
         """State of (service, last_commit) against the repositories' heads."""
@@ -208,8 +300,20 @@ class KnowledgeBase:
     def job_status(self, job: str | None = None) -> list[dict]:
         return [j for j in self.jobs if job is None or j["job"] == job][:10]
 
-    def limit_output(self, text: DataFrame, max_input: int = 12_000, reserved: int = 3_000, max_output: int = 1_500) -> DataFrame:
-        """Rows of (id, content): passed, trimmed, or marked for offloading to an artifact."""
+    def limit_output(self, text: DataFrame, max_input: int = 12_000, reserved: int = 3_000, max_output: int = 1_500, tasks: TaskStore | None = None) -> DataFrame:
+        """Rows of (id, content): passed, trimmed, or offloaded to artifacts of ``tasks`` with their summary (without a store, cut and marked).
+
+        A text that is cut inside the fields of a JSON object is closed, if
+        that makes it whole again; else the cut is marked.
+        """
         action = S.budget_action(S.estimate_tokens(F.col("content")), max_input, reserved, max_output)
-        allowed = min(max_output, max_input - reserved) * S.CHARS_PER_TOKEN
-        return text.select("id", action.alias("action"), F.when(action == "pass", F.col("content")).when(action == "trim", F.concat(F.left("content", F.lit(allowed)), F.lit("… [TRUNCATED]"))).alias("content"))
+        rows = text.select("id", "content", action.alias("action"))
+        cut_at = F.left("content", F.lit(min(max_output, max_input - reserved) * S.CHARS_PER_TOKEN))
+        closed = F.concat(cut_at, F.lit('"__truncated__"}'))
+        trimmed = F.when(F.try_parse_json(closed).isNotNull(), closed).otherwise(F.concat(cut_at, F.lit("… [TRUNCATED]")))
+        heavy = F.concat(F.left("content", F.lit(max_output * S.CHARS_PER_TOKEN)), F.lit("… [OFFLOAD REQUIRED]"))
+        if tasks is not None:
+            artifact = F.concat(F.lit("artifact_"), F.lower(F.hex(F.xxhash64("id", "content"))))
+            tasks.store_artifacts(rows.where("action = 'offload'").select(artifact.alias("id"), F.lit("document").alias("kind"), "content"))
+            heavy = F.to_json(F.struct(artifact.alias("artifact"), S.artifact_summary(F.lit("document"), F.col("content")).alias("summary")))
+        return rows.select("id", "action", F.when(F.col("action") == "pass", F.col("content")).when(F.col("action") == "trim", trimmed).otherwise(heavy).alias("content"))

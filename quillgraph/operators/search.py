@@ -16,6 +16,14 @@ def keyword(nodes: DataFrame, pattern: str, top: int) -> DataFrame:
     return found.orderBy("id").limit(top).withColumn("document", keyword_document(F.col("label"), F.col("name"), F.col("file"), F.col("docstring")))
 
 
+def keyword_core(nodes: DataFrame, pattern: str, top: int) -> DataFrame:
+    """The same hits under the id service::file::name, with the whole docstring and the score 0."""
+    text = F.col("docstring")
+    found = keyword(nodes, pattern, top).select(F.concat_ws("::", "service", "file", "name").alias("id"), "label", "name", "file", "docstring", "service")
+    document = F.concat_ws("\n", F.concat(F.lit("["), "label", F.lit("] "), "name"), F.concat(F.lit("File: "), "file"), F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit("Doc: "), text)))
+    return found.select("id", document.alias("document"), F.lit(0.0).alias("score"), F.lit("keyword").alias("source"))
+
+
 def ranked(results: DataFrame, order: list[Column]) -> DataFrame:
     """Adds the 1-based rank; results are at most top-k rows."""
     return results.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -30,11 +38,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector(chunks: DataFrame, query: list[float], top: int, metric: str = "l2") -> DataFrame:
-    """The nearest chunks with distance (ties by id); the query is a literal, so every task keeps only its top rows."""
-    point = F.array(*(F.lit(float(x)) for x in query))
-    distance = squared_distance(F.col("embedding"), point) if metric == "l2" else 1 - cosine(F.col("embedding"), point)
-    return chunks.withColumn("distance", F.round(distance, 6)).orderBy("distance", "id").limit(top)
+def vector(chunks: DataFrame, query: list[float] | DataFrame, top: int, metric: str = "l2") -> DataFrame:
+    """The nearest chunks with distance (ties by id), to a literal or to the vector (column point) of a table of one row; every task keeps only its top rows."""
+    if isinstance(query, DataFrame):
+        compared = chunks.crossJoin(F.broadcast(query.select(F.col("point").alias("_point"))))
+    else:
+        compared = chunks.withColumn("_point", F.array(*(F.lit(float(x)) for x in query)))
+    distance = squared_distance(F.col("embedding"), F.col("_point")) if metric == "l2" else 1 - cosine(F.col("embedding"), F.col("_point"))
+    return compared.withColumn("distance", F.round(distance, 6)).drop("_point").orderBy("distance", "id").limit(top)
 
 
 def fuse(semantic: DataFrame, keywords: DataFrame, top: int) -> DataFrame:
@@ -53,7 +64,7 @@ def boost(results: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.withColumn("boosted", normal * 0.7 + F.col("hit_count") / F.greatest(F.max("hit_count").over(whole), F.lit(1)) * 0.3)
 
 
-def hybrid(nodes: DataFrame, pattern: str, chunks: DataFrame, query: list[float], hits: DataFrame, top: int = 5, mode: str = "hybrid") -> DataFrame:
+def hybrid(nodes: DataFrame, pattern: str, chunks: DataFrame, query: list[float] | DataFrame, hits: DataFrame, top: int = 5, mode: str = "hybrid") -> DataFrame:
     """Search in one of three modes; a pure function of its tables, so looking something up changes nothing."""
     if mode == "keyword":
         return ranked(keyword(nodes, pattern, top).select("id"), [F.col("id")]).select("id", rrf(F.col("rank")).alias("score"), F.lit("keyword").alias("source"))

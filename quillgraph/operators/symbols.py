@@ -44,6 +44,13 @@ def one_hop(edges: DataFrame, kind: str, starts: DataFrame, limit: int | None =
     return rows if limit is None else rows.limit(limit)
 
 
+def memberships(steps: DataFrame, starts: DataFrame, limit: int = 5) -> DataFrame:
+    """Processes that the starts (id) are steps of, longest first: process, step_count and the position."""
+    own = steps.join(starts.select(F.col("id").alias("node")), "node", "left_semi").select("process", "step", "node")
+    size = steps.groupBy("process").agg(F.count(F.lit(1)).alias("step_count"))
+    return own.join(size, "process").orderBy(F.desc("step_count"), "process", "step").limit(limit)
+
+
 def process_members(steps: DataFrame) -> DataFrame:
     """Functions of each process in the order of their step."""
     return steps.groupBy("process").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]).alias("steps"))

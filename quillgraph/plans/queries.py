@@ -86,8 +86,8 @@ def _(v):
 _L2_SQL = "SELECT v.vec_id AS id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, id LIMIT 10"
 
 
-def _near(v: Views, top: int = 10) -> DataFrame:
-    return search.vector(v.chunks(), list(v.chunks().where("id = 0").first().embedding), top)
+def _near(v: Views, top: int = 10, metric: str = "l2") -> DataFrame:
+    return search.vector(v.chunks(), v.chunks().where("id = 0").select(F.col("embedding").alias("point")), top, metric)
 
 
 @query("s14_vector_topk", _L2_SQL)
@@ -97,7 +97,7 @@ def _(v):
 
 @query("k01_vector_cosine", _L2_SQL.replace("round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6)", "round(1 - list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6)"))
 def _(v):
-    return search.vector(v.chunks(), list(v.chunks().where("id = 0").first().embedding), 10, "cosine").select("id", "distance")
+    return _near(v, 10, "cosine").select("id", "distance")
 
 
 @query("s16_delete_chunks", "SELECT vec_id AS id, label FROM embeddings WHERE label <> 3")

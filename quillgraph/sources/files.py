@@ -9,6 +9,8 @@ from quillgraph.functions.scalar import content_hash, language_of
 from quillgraph.schemas import LANGUAGES, SKIPPED_DIRECTORIES
 
 INDEX_SCHEMA = "path string, content_hash string, last_commit string, indexed_at timestamp"
+SERVICE_INDEX_SCHEMA = f"service string, {INDEX_SCHEMA}"
+SOURCE_SCHEMA = "service string, path string, content string, language string, content_hash string"
 
 
 def wanted(path: str = "path") -> F.Column:

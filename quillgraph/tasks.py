@@ -58,6 +58,11 @@ class TaskStore:
         self._append("artifacts", {"id": name, "kind": kind, "content": content}, ARTIFACTS)
         return name
 
+    def store_artifacts(self, rows: DataFrame) -> None:
+        """Append rows (id, kind, content) that aren't stored yet."""
+        new = rows.join(self._read("artifacts", ARTIFACTS).select("id"), "id", "left_anti")
+        new.select("id", "kind", "content").write.mode("append").parquet(f"{self.folder}/artifacts")
+
     def artifact(self, name: str) -> DataFrame:
         return context.artifacts(self._read("artifacts", ARTIFACTS).where(F.col("id") == name))
 

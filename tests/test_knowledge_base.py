@@ -104,11 +104,20 @@ def test_search_and_log(kb):
     assert event.query == "helper" and event.top_score > 0
 
 
+HIDDEN = [
+    "WITH x AS (SELECT 7 a) INSERT INTO t SELECT a FROM x", "FROM functions INSERT INTO t SELECT name INSERT INTO u SELECT name", "EXECUTE IMMEDIATE 'DROP TABLE t'",
+    "SELECT java_method('java.lang.System', 'getProperty', 'x')", "SELECT name FROM functions WHERE name IN (SELECT reflect('java.lang.System', 'getProperty', 'x'))", "SELECT (SELECT try_reflect('a', 'b'))",
+    "BEGIN SELECT 1; DROP VIEW functions; END", "SELECT * FROM parquet.`/tmp`", "SELECT TRANSFORM(name) USING 'sh' FROM functions", "MERGE INTO t USING functions ON true WHEN MATCHED THEN DELETE", "CACHE TABLE functions", "SHOW TABLES",
+]
+
+
 def test_read_only_statements(kb):
     assert kb.query_graph("SELECT count(*) AS n, 'set offset' AS t FROM functions").first().n == 6
-    for text in ("DROP VIEW functions", "CREATE TABLE x AS SELECT 1", "INSERT INTO functions SELECT 1", "SET a = 1"):
+    for text in ("DROP VIEW functions", "CREATE TABLE x AS SELECT 1", "INSERT INTO functions SELECT 1", "SET a = 1", *HIDDEN):
         with pytest.raises(ValueError):
             kb.query_graph(text)
+    assert kb.query_graph("WITH f AS (SELECT name FROM functions) SELECT count(*) AS n FROM f WHERE name IN (SELECT name FROM functions)").first().n == 6
+    assert kb.query_graph("SELECT name FROM functions WHERE name = :name", {"name": "run"}).count() == 1
 
 
 def test_snapshots(kb):
