@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import guard, workspace
-from quillgraph.functions import scalar as S
 from quillgraph.operators import analytics, build, community, context, linkage, resolve, search, symbols, traverse
 from quillgraph.operators.lineage import cut
 from quillgraph.parse import parser
@@ -301,19 +300,8 @@ class KnowledgeBase:
         return [j for j in self.jobs if job is None or j["job"] == job][:10]
 
     def limit_output(self, text: DataFrame, max_input: int = 12_000, reserved: int = 3_000, max_output: int = 1_500, tasks: TaskStore | None = None) -> DataFrame:
-        """Rows of (id, content): passed, trimmed, or offloaded to artifacts of ``tasks`` with their summary (without a store, cut and marked).
-
-        A text that is cut inside the fields of a JSON object is closed, if
-        that makes it whole again; else the cut is marked.
-        """
-        action = S.budget_action(S.estimate_tokens(F.col("content")), max_input, reserved, max_output)
-        rows = text.select("id", "content", action.alias("action"))
-        cut_at = F.left("content", F.lit(min(max_output, max_input - reserved) * S.CHARS_PER_TOKEN))
-        closed = F.concat(cut_at, F.lit('"__truncated__"}'))
-        trimmed = F.when(F.try_parse_json(closed).isNotNull(), closed).otherwise(F.concat(cut_at, F.lit("… [TRUNCATED]")))
-        heavy = F.concat(F.left("content", F.lit(max_output * S.CHARS_PER_TOKEN)), F.lit("… [OFFLOAD REQUIRED]"))
-        if tasks is not None:
-            artifact = F.concat(F.lit("artifact_"), F.lower(F.hex(F.xxhash64("id", "content"))))
-            tasks.store_artifacts(rows.where("action = 'offload'").select(artifact.alias("id"), F.lit("document").alias("kind"), "content"))
-            heavy = F.to_json(F.struct(artifact.alias("artifact"), S.artifact_summary(F.lit("document"), F.col("content")).alias("summary")))
-        return rows.select("id", "action", F.when(F.col("action") == "pass", F.col("content")).when(F.col("action") == "trim", trimmed).otherwise(heavy).alias("content"))
+        """Rows of (id, content): passed, trimmed, or offloaded to artifacts of ``tasks`` with their summary (without a store, cut and marked)."""
+        if tasks is None:
+            return context.limit_output(text, max_input, reserved, max_output)
+        tasks.store_artifacts(context.offloaded(text, max_input, reserved, max_output))
+        return context.limit_output(text, max_input, reserved, max_output, stored=True)

@@ -106,3 +106,31 @@ def repo_capsule(services: DataFrame, workspace: str, limit: int = 10) -> DataFr
 def redact(rows: DataFrame, debug: bool, absolute: list[str]) -> DataFrame:
     """Without the columns that hold absolute paths, unless debugging."""
     return rows if debug else rows.drop(*absolute)
+
+
+def _artifact_id() -> Column:
+    return F.concat(F.lit("artifact_"), F.lower(F.hex(F.xxhash64("id", "content"))))
+
+
+def limit_output(text: DataFrame, max_input: int, reserved: int, max_output: int = 1_500, stored: bool = False) -> DataFrame:
+    """Rows of (id, content) with the action: passed, trimmed, or offloaded.
+
+    A text that is cut after a key of a JSON object is closed, if that makes
+    it whole again; else the cut is marked.  What is to be offloaded is named
+    with its summary if it is ``stored``, else cut and marked.
+    """
+    rows = text.select("id", "content", S.budget_action(S.estimate_tokens(F.col("content")), max_input, reserved, max_output).alias("action"))
+    cut_at = F.left("content", F.lit(min(max_output, max_input - reserved) * S.CHARS_PER_TOKEN))
+    closed = F.concat(cut_at, F.lit('"__truncated__"}'))
+    trimmed = F.when(F.try_parse_json(closed).isNotNull(), closed).otherwise(F.concat(cut_at, F.lit("… [TRUNCATED]")))
+    if stored:
+        rest = F.to_json(F.struct(_artifact_id().alias("artifact"), S.artifact_summary(F.lit("document"), F.col("content")).alias("summary")))
+    else:
+        rest = F.concat(F.left("content", F.lit(max_output * S.CHARS_PER_TOKEN)), F.lit("… [OFFLOAD REQUIRED]"))
+    return rows.select("id", "action", F.when(F.col("action") == "pass", F.col("content")).when(F.col("action") == "trim", trimmed).otherwise(rest).alias("content"))
+
+
+def offloaded(text: DataFrame, max_input: int, reserved: int, max_output: int = 1_500) -> DataFrame:
+    """The artifacts (id, kind, content) that ``limit_output`` names."""
+    action = S.budget_action(S.estimate_tokens(F.col("content")), max_input, reserved, max_output)
+    return text.where(action == "offload").select(_artifact_id().alias("id"), F.lit("document").alias("kind"), "content")

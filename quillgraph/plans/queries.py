@@ -378,12 +378,43 @@ def _(v):
     return traverse.entry_points(v.functions(), v.calls())
 
 
-@query("g05_traces")
+# The queue, the nodes seen and the finished trails of each entry, one row an entry that each round replaces.
+_WALK = """
+WITH RECURSIVE entries AS (
+  SELECT id FROM fn LEFT JOIN deg_in USING (id) LEFT JOIN deg_out USING (id) WHERE greatest(coalesce(fan_in, 0), 1) <= 1
+  ORDER BY greatest(coalesce(blast_radius, 0), 1) - 0.5::DOUBLE * greatest(coalesce(fan_in, 0), 1) DESC, id LIMIT 30
+), adj AS (
+  SELECT src, list_sort(list(DISTINCT dst))[:10] AS callees FROM calls WHERE src <> dst GROUP BY src
+), walk(entry, queue, seen, done) USING KEY (entry) AS (
+  SELECT id, [[id]], [id], [[id]][:0] FROM entries
+  UNION
+  SELECT entry, CASE WHEN ended THEN queue[2:] ELSE queue[2:] || list_transform(nexts, lambda n: list_append(trail, n)) END,
+         CASE WHEN ended THEN seen ELSE seen || nexts END, CASE WHEN ended AND len(trail) > 1 THEN list_append(done, trail) ELSE done END
+  FROM (SELECT *, len(nexts) = 0 OR len(trail) >= 10 AS ended
+        FROM (SELECT w.*, w.queue[1] AS trail, list_filter(coalesce(callees, []), lambda x: NOT list_contains(w.seen, x) AND x <> w.queue[1][-1])[:3] AS nexts
+              FROM walk w LEFT JOIN adj ON adj.src = w.queue[1][-1] WHERE len(w.queue) > 0 AND len(w.done) < 4))
+), every AS (
+  SELECT entry, unnest(done || list_filter(queue, lambda t: len(t) > 1)[:greatest(0, 4 - len(done))]) AS steps FROM walk
+), traces AS (
+  SELECT entry, (row_number() OVER (PARTITION BY entry ORDER BY -len(steps), steps) - 1)::INT AS trace, steps FROM every
+)
+"""
+
+
+@query("g05_traces", using("fn", "deg_in", "deg_out", sql=_WALK + "SELECT entry, trace, steps FROM traces"))
 def _(v):
     return traverse.traces(v.calls(), traverse.entry_points(v.functions(), v.calls()))
 
 
-@query("g06_process_steps")
+_STEPS = "SELECT entry AS process, (unnest(range(0, len(steps))))::INT AS step, unnest(steps) AS node FROM traces WHERE trace = 0"
+
+
+@query("j19_process_members", using("fn", "deg_in", "deg_out", sql=_WALK + "SELECT entry AS process, steps FROM traces WHERE trace = 0"))
+def _(v):
+    return symbols.process_members(traverse.processes(traverse.traces(v.calls(), traverse.entry_points(v.functions(), v.calls()))))
+
+
+@query("g06_process_steps", using("fn", "deg_in", "deg_out", sql=_WALK + _STEPS))
 def _(v):
     return traverse.processes(traverse.traces(v.calls(), traverse.entry_points(v.functions(), v.calls())))
 
@@ -868,3 +899,79 @@ def _(v):
 @query("w08_binding_precedence", "SELECT l_orderkey AS file, arg_min(l_partkey, (l_returnflag, l_linenumber, l_partkey)) AS kind FROM lineitem GROUP BY l_orderkey")
 def _(v):
     return v.table("lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.min_by("l_partkey", F.struct("l_returnflag", "l_linenumber", "l_partkey")).alias("kind"))
+
+
+# ---- what earlier queries show in part only
+
+
+@query("p03_keyword_core", using("kw", sql="SELECT service || '::' || file || '::' || name AS id, concat_ws(chr(10), '[' || label || '] ' || name, 'File: ' || file, CASE WHEN docstring <> '' THEN 'Doc: ' || docstring END) AS document, 0.0::DOUBLE AS score FROM kw WHERE contains(lower(name), 'src1_') OR contains(lower(file), 'src1_') OR contains(lower(coalesce(docstring, '')), 'src1_') ORDER BY label || ':' || file || ':' || name LIMIT 20"))
+def _(v):
+    return search.keyword_core(v.keyword_nodes(), "SRC1_", 20).select("id", "document", "score")
+
+
+@query("p18_interfaces", "SELECT p_partkey AS id, coalesce(p_size % 3 <> 0 AND regexp_matches(CASE WHEN p_partkey % 2 = 0 THEN 'I' ELSE '' END || upper(left(p_type, 1)) || p_brand, '^I[A-Z]'), false) AS interface FROM part")
+def _(v):
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "I").otherwise(""), F.upper(F.left("p_type", F.lit(1))), F.col("p_brand"))
+    language = F.element_at(F.array(*map(F.lit, ("go", "csharp", "typescript"))), (F.col("p_size") % 3 + 1).cast("int"))
+    return v.table("part").select(F.col("p_partkey").alias("id"), F.coalesce(S.is_interface(name, language), F.lit(False)).alias("interface"))
+
+
+@query("s19_services", "SELECT source AS name, ['typescript'] AS languages, 2 * count(*) AS file_count FROM documents GROUP BY source")
+def _(v):
+    return build.service_nodes(parser.parse_files(_sources(v)))
+
+
+@query("s19_files", f"SELECT source AS service, unnest([{_MAIN}, {_LIB}]) AS path, 'typescript' AS language FROM documents")
+def _(v):
+    return build.file_nodes(parser.parse_files(_sources(v)))
+
+
+@query("a22_heritage_stats", "SELECT count(*) AS extends, count(*) AS implements, 0::BIGINT AS resolved FROM documents")
+def _(v):
+    return resolve.heritage_stats(resolve.heritage(parser.classes_of(parser.parse_files(_sources(v)))))
+
+
+@query("f05_byte_tokens", "SELECT doc_id AS id, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens FROM documents")
+def _(v):
+    return v.table("documents").select(F.col("doc_id").alias("id"), S.estimate_byte_tokens(F.col("text")).alias("tokens"))
+
+
+@query("f07_limit_output", "SELECT doc_id AS id, CASE WHEN t <= 100 THEN 'pass' WHEN t <= 1000 THEN 'trim' ELSE 'offload' END AS action, CASE WHEN t <= 100 THEN text WHEN t <= 1000 THEN left(text, 400) || '… [TRUNCATED]' ELSE left(text, 400) || '… [OFFLOAD REQUIRED]' END AS content FROM (SELECT doc_id, text, ceil(length(text) / 4) AS t FROM documents)")
+def _(v):
+    return context.limit_output(v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 12_000, 3_000, 100)
+
+
+@query("f08_budget_fits", "SELECT doc_id AS id, ceil(length(text) / 4) <= 700 AS fits, CASE WHEN length(text) <= 2800 THEN text ELSE left(text, 2800) || chr(10) || '… [TRIMMED TO BUDGET]' END AS trimmed FROM documents")
+def _(v):
+    return v.table("documents").select(F.col("doc_id").alias("id"), S.fits_budget(F.col("text"), 1000, 300).alias("fits"), S.trim_to_budget(F.col("text"), 700).alias("trimmed"))
+
+
+_FLOW = "flow#:\n  description: nightly load\n  schedule_interval: daily\n  tasks:\n    one: {operator: a.b.BashOperator, bash_command: run}\n    two: {operator: c.PythonOperator, python_callable_name: go, dependencies: [one]}\n"
+
+
+@query("f12_flow_chunks", "SELECT unnest([n_name || '::flows.yml::dag::flow' || n_nationkey, n_name || '::flows.yml::task::flow' || n_nationkey || '::one', n_name || '::flows.yml::task::flow' || n_nationkey || '::two']) AS id, unnest([concat_ws(chr(10), '[yaml] DAG: flow' || n_nationkey, 'File: flows.yml', 'Description: nightly load', 'Schedule: daily', 'Tasks: one, two'), concat_ws(chr(10), '[yaml] Task: one (BashOperator)', 'DAG: flow' || n_nationkey, 'File: flows.yml', 'Operator: a.b.BashOperator', 'Bash command: run'), concat_ws(chr(10), '[yaml] Task: two (PythonOperator)', 'DAG: flow' || n_nationkey, 'File: flows.yml', 'Operator: c.PythonOperator', 'Calls: go', 'Dependencies: one')]) AS document, unnest([false, true, false]) AS has_infra FROM nation")
+def _(v):
+    text = F.replace(F.lit(_FLOW), F.lit("#"), F.col("n_nationkey").cast("string"))
+    files = v.table("nation").select(F.col("n_name").alias("service"), F.lit("flows.yml").alias("path"), text.alias("content"))
+    return build.chunks(parser.parse_files(files)).select("id", "document", "has_infra")
+
+
+@query("f29_compact_ledger", f"WITH u AS ({_UPDATES}) SELECT task, arg_max(t, turn) FILTER (WHERE role = 'user') AS objective, count_if(role = 'assistant')::INT AS decision_count, count_if(role = 'assistant')::INT AS command_count FROM u GROUP BY task")
+def _(v):
+    return context.compact_ledger(context.ledger(v.ledger())).select("task", "objective", F.greatest("decision_count", F.lit(0)).alias("decision_count"), F.greatest("command_count", F.lit(0)).alias("command_count"))
+
+
+@query("j02_neighbour_kinds", using("res", "fn", sql="SELECT type, dst AS id FROM res JOIN fn ON fn.id = src WHERE service = 'Brand#11' GROUP BY ALL"))
+def _(v):
+    starts = v.functions().where("service = 'Brand#11'").select("id")
+    parts = [symbols.one_hop(v.resources(), kind, starts).withColumn("type", F.lit(kind)) for kind in ("CONNECTS_TO", "PRODUCES_TO", "CONSUMES_FROM")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("type", "id")
+
+
+@query("j03_symbol_context", using("fn", "calls", sql="WITH s AS (SELECT * FROM fn WHERE id = 42) SELECT f.id, max(confidence) AS confidence, 'caller' AS facet FROM calls c JOIN s ON s.id = c.dst JOIN fn f ON f.id = c.src GROUP BY f.id UNION ALL SELECT f.id, max(confidence), 'callee' FROM calls c JOIN s ON s.id = c.src JOIN fn f ON f.id = c.dst GROUP BY f.id"))
+def _(v):
+    f, calls = v.functions(), v.calls()
+    starts = f.where("id = 42")
+    side = lambda where, facet: symbols.neighbours(calls, f, starts, where, 1_000_000).select("id", "confidence", F.lit(facet).alias("facet"))
+    return side("in", "caller").unionByName(side("out", "callee"))
+
