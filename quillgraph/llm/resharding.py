@@ -14,8 +14,9 @@ Law of the query: ``bytes``.  A row's size is the UTF-8 bytes of its text
 (null: none) plus 16.
 
 Running totals are taken in two steps, over groups of (old shard, power of two
-of the size, hash), so no task gets a whole shard; only the sums of the
-groups, whose number is bounded by the parameters, are put in order together.
+of the size, hash), so no task gets a whole shard; a shard has so many hash
+parts that each has about ``PART_ROWS`` rows, and only the sums of the groups
+are put in order together, shard by shard.
 
 Defined cases: a null doc_id or text is placed like any other; equal rows are
 rows of their own and interchangeable; more new shards than rows leave empty
@@ -37,6 +38,7 @@ OVERHEAD = 16
 OLD_SHARDS = 32
 NEW_SHARDS = 40
 SPLIT = 16
+PART_ROWS = 100_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -108,12 +110,19 @@ def running(df: DataFrame, shard: str, group: list[str], order: list[Column], va
     return df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, keys).withColumn(out, (F.col("_in") + F.col("_base")).cast("long")).drop("_in", "_base")
 
 
-def plan(rows: DataFrame, new_shards: int = NEW_SHARDS, capacities: list[int] | None = None) -> DataFrame:
+def parts(rows: int, part_rows: int) -> int:
+    """Hash parts of a shard with so many rows."""
+    return max(SPLIT, -(-rows // part_rows))
+
+
+def plan(rows: DataFrame, new_shards: int = NEW_SHARDS, capacities: list[int] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """The rows (row_key, size, old_shard and any others) with the shard that each goes to.
 
     The driver gets one sum an old shard.
     """
-    totals = {r.old_shard: r.size for r in rows.groupBy("old_shard").agg(F.sum("size").alias("size")).collect()}
+    sums = rows.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    totals = {r.old_shard: r["size"] for r in sums}
+    split = parts(max((r.n for r in sums), default=0), part_rows)
     n = max(totals, default=-1) + 1
     supply = [totals.get(i, 0) for i in range(n)]
     capacity = equal_capacities(sum(supply), new_shards) if capacities is None else capacities
@@ -129,16 +138,17 @@ def plan(rows: DataFrame, new_shards: int = NEW_SHARDS, capacities: list[int] |
     spark = rows.sparkSession
     intervals = spark.createDataFrame(pieces or [(-1, 0, 0, -1)], "p_old int, low long, high long, shard int")
     # Sizes descend: the class is the negative power of two.
-    classed = rows.withColumn("_class", -F.floor(F.log2(F.col("size"))).cast("int")).withColumn("_part", F.pmod("row_key", F.lit(SPLIT)).cast("int"))
+    classed = rows.withColumn("_class", -F.floor(F.log2(F.col("size"))).cast("int")).withColumn("_part", F.pmod("row_key", F.lit(split)).cast("int"))
     laid = running(classed, "old_shard", ["_class", "_part"], [F.desc("size"), F.col("row_key")], F.col("size"), "_before")
     middle = F.col("_before") + F.floor(F.col("size") / 2)
     # At most one interval for each pair of shards: a table of proven size.
     return laid.join(F.broadcast(intervals), (F.col("old_shard") == F.col("p_old")) & (middle >= F.col("low")) & (middle < F.col("high"))).drop("p_old", "low", "high", "_before", "_class", "_part")
 
 
-def slots(placed: DataFrame) -> DataFrame:
+def slots(placed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Adds slot, without gaps from 0 in each shard, in a hashed order."""
-    parted = placed.withColumn("_part", F.pmod(F.shiftright("row_key", 8), F.lit(SPLIT * 4)).cast("int"))
+    largest = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parted = placed.withColumn("_part", F.pmod(F.shiftright("row_key", 8), F.lit(parts(largest, part_rows) * 4)).cast("int"))
     return running(parted, "shard", ["_part"], [F.col("row_key"), F.col("size")], F.lit(1), "slot").drop("_part")
 
 
