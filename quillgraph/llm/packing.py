@@ -27,7 +27,7 @@ from bisect import bisect_left, insort
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import near_copies
@@ -86,12 +86,13 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EA
     """
     rows = cut(rows.select("doc_id", "source", "cluster", "n_words", "text_hash"))
     shards = max(1, -(-rows.count() // pieces_each))
-    equal = Window.partitionBy("doc_id", "source", "cluster", "text_hash").orderBy("n_words")
-    pieces = rows.withColumn("copy", F.row_number().over(equal)).withColumn("full", F.floor(F.col("n_words") / capacity)).withColumn("rest", F.col("n_words") % capacity)
+    # Rows that repeat each other are counted and written out again with a number, so very many of them meet in no task.
+    equal = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    pieces = equal.select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).withColumn("full", F.floor(F.col("n_words") / capacity)).withColumn("rest", F.col("n_words") % capacity)
     alone = pieces.where("full > 0").select("doc_id", "source", "text_hash", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
     number = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text_hash", "copy", "piece")
     alone = alone.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_words"), "text_hash", F.lit(-1).cast("long").alias("shard"), number.alias("bin"), F.lit(0).cast("long").alias("bin_offset"))
-    rest = pieces.where("rest > 0").select("doc_id", "source", "cluster", "text_hash", "copy", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start"), F.col("rest").alias("n_words"), F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)).alias("shard"))
+    rest = pieces.where("rest > 0").select("doc_id", "source", "cluster", "text_hash", "copy", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start"), F.col("rest").alias("n_words"), F.pmod(F.xxhash64("doc_id", "cluster", "source", "copy"), F.lit(shards)).alias("shard"))
     workers_import(rows.sparkSession)
     packed = rest.groupBy("shard").applyInArrow(_packer(capacity), "doc_id long, piece long, start long, n_words long, text_hash long, shard long, bin long, bin_offset long")
     none = rows.where("n_words = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), "n_words", "text_hash", *(F.lit(None).cast("long").alias(c) for c in ("shard", "bin", "bin_offset")))

@@ -31,3 +31,15 @@ def test_near_copies_share_no_sequence(spark):
         held[r.shard, r.bin].append(r.doc_id)
     assert all(sum(d < 50 for d in x) <= 1 for x in held.values())
     assert any(len(x) > 1 for x in held.values())
+
+
+def test_very_many_equal_rows_are_spread_over_shards(spark):
+    rows = [(1, "one two three", "en", "x", 0)] * 900 + [(i, f"w{i} a b", "en", f"s{i % 5}", 0) for i in range(10, 400)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, PLAIN), 50, pieces_each=100).collect()
+    assert len(packed) == len(rows)
+    by_shard = Counter(r.shard for r in packed if r.doc_id == 1)
+    assert len(by_shard) == 13 and max(by_shard.values()) < 150
+    held = defaultdict(list)
+    for r in packed:
+        held[r.shard, r.bin].append(r)
+    assert all(sum(r.n_words for r in x) <= 50 and sum(r.doc_id == 1 for r in x) <= 1 for x in held.values())
