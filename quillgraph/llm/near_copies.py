@@ -48,6 +48,8 @@ LEAD_BANDS = 8
 LEAST_EQUAL = 128
 #: Texts of a bucket that a task compares with as many others.
 BLOCK_ROWS = 1000
+#: Nodes (8 bytes each) up to which a table of them is broadcast.
+BROADCAST_NODES = 1_000_000
 SEED = 7
 ROWS_EACH = 256
 
@@ -177,11 +179,23 @@ def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
 
+def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, one row each.
+
+    Few nodes are broadcast, after they were counted, so only the texts wanted
+    move; beyond ``BROADCAST_NODES`` the distinct texts are joined by a shuffle.
+    """
+    wanted = cut(nodes.distinct())
+    rows = documents.select(F.xxhash64("text").alias("node"), "text")
+    if wanted.count() <= BROADCAST_NODES:
+        return rows.join(F.broadcast(wanted), "node", "left_semi").dropDuplicates(["node"])
+    return rows.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+
+
 def _checked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of text hashes whose texts are near copies."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = documents.select(F.xxhash64("text").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = _texts(documents, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     return cut(arrow_map(both.select("a", "b", "a_text", "b_text"), _check_batches, "a long, b long"))
 
@@ -211,7 +225,7 @@ def links(nodes: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS)
     alike = arrow_map(stars.join(one, "a").join(other, "b").select("a", "b", "a_sign", "b_sign"), _alike_batches, "a long, b long, same int")
     linked = _checked(alike.where(F.col("same") >= LEAST_EQUAL).groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), documents)
     apart = cut(_unsettled(members, linked, block_rows))
-    texts = documents.select(F.xxhash64("text").alias("node"), "text").join(apart.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    texts = _texts(documents, apart.select("node"))
     sets = arrow_map(texts, _set_batches, "node long, shingles binary")
     parts = partitions_for(nodes.sparkSession, apart.count(), 5000)
     met = apart.join(sets, "node").repartition(parts, "key", "one", "other").sortWithinPartitions("key", "one", "other")

@@ -97,6 +97,17 @@ def test_buckets_in_pairs_of_blocks(spark):
     assert found[5] == found[1000] and 1 < len(found[5]) < 120
 
 
+def test_texts_by_shuffle_beyond_the_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(copies(), PLAIN)
+    found = []
+    for most in (n.BROADCAST_NODES, 0):
+        monkeypatch.setattr(n, "BROADCAST_NODES", most)
+        found.append(sorted((r.doc_id, r.root) for r in n.groups(df, "doc_id").collect()))
+    assert [i for i, _ in found[0]] == [i for i, _ in found[1]]
+    named = [{root: frozenset(i for i, x in f if x == root) for _, root in f} for f in found]
+    assert set(named[0].values()) == set(named[1].values())
+
+
 def test_empty_and_columns(spark, docs, none):
     assert n.groups(none, "doc_id").count() == 0
     assert n.keep_one(none).count() == 0
