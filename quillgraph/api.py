@@ -296,6 +296,19 @@ class KnowledgeBase:
         found = workspace.detect(path)
         return {"id": found.id, "head": found.head} | ({"path": found.path} if debug else {})
 
+    def resolve_workspace(self, path: str, manifest: str | None = None, debug: bool = False) -> dict:
+        """The repository that a path lies in and, with a manifest file's text, the workspace that names it."""
+        found = workspace.detect(path)
+        known = workspace.Manifest.from_yaml(manifest) if manifest else workspace.Manifest("default", [found])
+        inside = any(r.id == found.id for r in known.repositories)
+        out = {"workspace": known.id if inside else "default", "repository": found.id, "known": inside, "indexed": not self.index.load().where(F.col("service") == found.id).isEmpty()}
+        return out | ({"path": found.path} if debug else {})
+
+    def sync_current(self, path: str = ".", force: bool = False) -> dict:
+        """Sync the repository that a path lies in, under its own id."""
+        found = workspace.detect(path)
+        return self.sync(found.path, found.id, force)
+
     def job_status(self, job: str | None = None) -> list[dict]:
         return [j for j in self.jobs if job is None or j["job"] == job][:10]
 

@@ -909,6 +909,14 @@ def _(v):
     return search.keyword_core(v.keyword_nodes(), "SRC1_", 20).select("id", "document", "score")
 
 
+@query("s15_upsert_chunks", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'new ' || vec_id ELSE 'old' END AS document FROM embeddings UNION ALL SELECT vec_id + 1000000, 'new ' || (vec_id + 1000000) FROM embeddings WHERE vec_id % 5 = 0")
+def _(v):
+    old = v.chunks().select("id", F.lit("old").alias("document"))
+    new = old.where("id % 3 = 0").select("id").unionByName(old.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id")))
+    fresh = new.select("id", F.concat(F.lit("new "), F.col("id").cast("string")).alias("document"))
+    return stores.upsert_chunks(old, fresh.unionByName(new.select("id", F.lit("a").alias("document"))))
+
+
 @query("p18_interfaces", "SELECT p_partkey AS id, coalesce(p_size % 3 <> 0 AND regexp_matches(CASE WHEN p_partkey % 2 = 0 THEN 'I' ELSE '' END || upper(left(p_type, 1)) || p_brand, '^I[A-Z]'), false) AS interface FROM part")
 def _(v):
     name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "I").otherwise(""), F.upper(F.left("p_type", F.lit(1))), F.col("p_brand"))

@@ -84,6 +84,16 @@ def delete_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids, "id", "left_anti")
 
 
+def upsert_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
+    """The chunks with those of ``new`` in place of equal ids; of equal new ids that with the greatest document.
+
+    Hits are kept apart (``with_hits``), so replacing a chunk doesn't reset them.
+    """
+    others = [c for c in new.columns if c != "id"]
+    once = new.groupBy("id").agg(F.max_by(F.struct(*others), "document").alias("r")).select("id", "r.*")
+    return chunks.join(once.select("id"), "id", "left_anti").unionByName(once, allowMissingColumns=True)
+
+
 def get_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids, "id", "left_semi")
 

@@ -8,6 +8,7 @@ originals is the task's patch.
 
 from __future__ import annotations
 
+import json
 import shutil
 import uuid
 from datetime import UTC, datetime
@@ -21,6 +22,7 @@ from quillgraph.operators import context
 
 UPDATES = "task string, seq long, objective string, state string, constraints array<string>, decisions array<string>, files array<string>, commands array<string>, questions array<string>, next array<string>"
 ARTIFACTS = "id string, kind string, content string"
+PACKS = "id string, task string, content string"
 
 
 class TaskStore:
@@ -63,6 +65,15 @@ class TaskStore:
         new = rows.join(self._read("artifacts", ARTIFACTS).select("id"), "id", "left_anti")
         new.select("id", "kind", "content").write.mode("append").parquet(f"{self.folder}/artifacts")
 
+    def store_pack(self, pack: dict) -> str:
+        """Keep a context pack; returns its id."""
+        self._append("packs", {"id": pack["id"], "task": pack["task"], "content": json.dumps(pack, default=str)}, PACKS)
+        return pack["id"]
+
+    def pack(self, name: str) -> dict | None:
+        row = self._read("packs", PACKS).where(F.col("id") == name).first()
+        return json.loads(row.content) if row else None
+
     def artifact(self, name: str) -> DataFrame:
         return context.artifacts(self._read("artifacts", ARTIFACTS).where(F.col("id") == name))
 

@@ -181,3 +181,24 @@ def test_core_keyword_search(spark):
     found = search.keyword_core(nodes, "SAVE", 5).first()
     assert (found.id, found.score, found.source) == ("s::a.py::save", 0.0, "keyword") and found.document == "[Function] save\nFile: a.py\nDoc: " + "Keeps it. " * 40
     assert search.keyword_core(nodes, "b.py", 5).select(F.col("document")).first().document == "[Class] Other\nFile: b.py"
+
+
+def test_packs_are_kept(spark, tmp_path):
+    kb, tasks = KnowledgeBase(spark), TaskStore(spark, str(tmp_path / "tasks"))
+    kb.sync(write(tmp_path / "a", SHOP), "shop")
+    pack = kb.context_pack("sell", "w", max_files=2)
+    assert tasks.store_pack(pack) == pack["id"] and tasks.pack("none") is None
+    again = tasks.pack(pack["id"])
+    assert again["manifest"] == pack["manifest"] and kb.code_snippet(again, again["manifest"][0]["source"], 1, 2).count() >= 1
+
+
+def test_workspaces_of_the_session(spark, tmp_path):
+    root = write(tmp_path / "r", SHOP | {"package.json": '{"name": "@me/till"}'})
+    subprocess.run(["git", "-C", root, "init", "-q"], check=True)
+    kb = KnowledgeBase(spark)
+    before = kb.resolve_workspace(root)
+    assert before == {"workspace": "default", "repository": "till", "known": True, "indexed": False}
+    assert kb.sync_current(root)["service"] == "till"
+    after = kb.resolve_workspace(root, "id: w\nrepositories: [{id: till, path: x}]", debug=True)
+    assert (after["workspace"], after["indexed"], after["path"]) == ("w", True, root)
+    assert kb.resolve_workspace(root, "id: w\nrepositories: [{id: other, path: x}]")["known"] is False
