@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 U64 = np.uint64
 #: Ranges from this width on are hashed from their bytes: prefix sums modulo 2**64 collide on long self-similar sequences (Thue-Morse).
 WIDE = 128
