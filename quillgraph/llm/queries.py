@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import licenses, line_rules, mixing, packing, repeats, resharding, scaled_sketch, secrets, simhash, sql, toxicity
+from quillgraph.llm import licenses, line_rules, mixing, packing, repeats, resharding, scaled_sketch, secrets, sentence_pieces, simhash, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sainte_lague": mixing.op8_sainte_lague,
     "op9_positional_index": licenses.op9_positional_index,
     "op10_token_efficiency": secrets.op10_token_efficiency,
+    "op12_score_agenda": sentence_pieces.op12_score_agenda,
 }
 ORACLES: dict[str, str] = {"op1_line_frequency": sql.op1(), "op8_sainte_lague": sql.op8()}
