@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import licenses, line_rules, mixing, packing, repeats, resharding, scaled_sketch, secrets, sentence_pieces, simhash, sql, toxicity
+from quillgraph.llm import divergence, licenses, line_rules, mixing, packing, repeats, resharding, scaled_sketch, secrets, sentence_pieces, simhash, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_positional_index": licenses.op9_positional_index,
     "op10_token_efficiency": secrets.op10_token_efficiency,
     "op12_score_agenda": sentence_pieces.op12_score_agenda,
+    "op13_divergence": divergence.op13_divergence,
 }
-ORACLES: dict[str, str] = {"op1_line_frequency": sql.op1(), "op8_sainte_lague": sql.op8()}
+ORACLES: dict[str, str] = {"op1_line_frequency": sql.op1(), "op8_sainte_lague": sql.op8(), "op13_divergence": sql.op13()}

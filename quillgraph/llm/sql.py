@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import line_rules, mixing
+from quillgraph.llm import divergence, line_rules, mixing
 
 OP1 = r"""
 WITH d AS (
@@ -118,3 +118,47 @@ def op1(least: int = line_rules.LEAST_DOCUMENTS, percent: float = line_rules.SHA
 def op8(blocks: int = mixing.BLOCKS, shard_words: int = mixing.SHARD_WORDS, group_shards: int = mixing.GROUP_SHARDS) -> str:
     """Operator 8 with the given numbers of blocks, words a shard and shards a group."""
     return OP8.format(blocks=blocks, most_block=max(1, shard_words // mixing.SHARD_BLOCKS), shard_words=shard_words, group_shards=group_shards)
+
+
+#: Every term of a language is written out for every group, with a count of 0 where it doesn't occur.
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS plain
+  FROM documents
+), words AS (
+  SELECT r, doc_id, lang, source, unnest(regexp_extract_all(plain, '[^\x00-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {least}
+), found AS (
+  SELECT lang, source, term, count(*) AS n, min(doc_id) AS example_doc FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(n, 0) AS size, coalesce(terms, 0) AS terms
+  FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM found GROUP BY lang, source) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS terms FROM kept GROUP BY lang) USING (lang)
+), wholes AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM found GROUP BY lang, term)
+), grid AS (
+  SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, example_doc, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (size + 2 * terms) AS p
+  FROM sizes s JOIN kept k USING (lang) LEFT JOIN found f ON f.lang = s.lang AND f.source = s.source AND f.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value, NULL::BIGINT AS example_doc
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM grid x JOIN grid y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+  ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value, example_doc
+  FROM grid JOIN wholes USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank, example_doc FROM ranked WHERE part = 'pair' OR rank <= {top}
+"""
+
+
+def op13() -> str:
+    return OP13.format(least=divergence.LEAST_DOCUMENTS, top=divergence.TOP)
