@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import divergence, licenses, line_rules, mixing, packing, repeats, resharding, scaled_sketch, secrets, sentence_pieces, simhash, sql, toxicity
+from quillgraph.llm import divergence, hard_negatives, licenses, line_rules, mixing, packing, repeats, resharding, scaled_sketch, secrets, sentence_pieces, simhash, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_rules.op1_line_frequency,
@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sainte_lague": mixing.op8_sainte_lague,
     "op9_positional_index": licenses.op9_positional_index,
     "op10_token_efficiency": secrets.op10_token_efficiency,
+    "op11_distance_keys": hard_negatives.op11_distance_keys,
     "op12_score_agenda": sentence_pieces.op12_score_agenda,
     "op13_divergence": divergence.op13_divergence,
 }
-ORACLES: dict[str, str] = {"op1_line_frequency": sql.op1(), "op8_sainte_lague": sql.op8(), "op13_divergence": sql.op13()}
+ORACLES: dict[str, str] = {"op1_line_frequency": sql.op1(), "op8_sainte_lague": sql.op8(), "op11_distance_keys": sql.op11(), "op13_divergence": sql.op13()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import divergence, line_rules, mixing
+from quillgraph.llm import divergence, hard_negatives, line_rules, mixing
 
 OP1 = r"""
 WITH d AS (
@@ -162,3 +162,29 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank,
 
 def op13() -> str:
     return OP13.format(least=divergence.LEAST_DOCUMENTS, top=divergence.TOP)
+
+
+#: Every anchor is scored against every row.
+OP11 = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % {every} = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM scored WHERE same
+), ranked AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+  WHERE p.place <= {taken}
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= {taken}
+"""
+
+
+def op11() -> str:
+    return OP11.format(every=hard_negatives.ANCHOR_EVERY, taken=hard_negatives.TAKEN)
