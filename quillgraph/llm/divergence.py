@@ -4,7 +4,8 @@ Each task sorts the (lang, term, source, document) keys of a stretch of its
 documents and scans the runs, which gives partial document frequencies and
 counts; documents lie in one task each, so the partial ones add up.  Partial
 runs are dealt by (lang, term, source), sorted within partitions with the
-document last, and scanned again; then the runs of a (lang, term) meet, one row
+document last (and the term first, whose leading bytes tell most rows apart),
+and scanned again; then the runs of a (lang, term) meet, one row
 a source, and terms in at least ``LEAST_DOCUMENTS`` of a language's documents
 are kept.  So a word of every document moves as one row a source and stretch,
 and no task gets more rows of a term than there are stretches or sources.
@@ -32,6 +33,7 @@ rows; further columns are dropped.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -46,8 +48,10 @@ from quillgraph.llm.frames import arrow_map, cut, read
 
 LEAST_DOCUMENTS = 10
 TOP = 10
-#: Words that a task sorts at a time, and partial pairs or terms that it holds.
-STRETCH, HELD = 1 << 21, 1 << 20
+#: Words that a task sorts at a time, and terms that it holds.
+STRETCH, HELD = 3 << 20, 1 << 20
+#: Sources whose pairs a task sums at a time.
+SIDES = 1024
 #: Terms ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+`` as bytes of UTF-8, once A-Z are lower-case (``bytes.lower`` changes no other).
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -151,61 +155,85 @@ class Partials:
 
     def __init__(self, top: int):
         self.top = top
-        self.names: dict[tuple[str, str], int] = {}
-        self.terms: defaultdict[tuple[str, str], list[tuple]] = defaultdict(list)
-        self.n_terms = self.n_pairs = 0
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self._reset()
 
-    def add(self, lang: str, term: str, sources: list[str], documents: list[int | None], p: np.ndarray, p0: np.ndarray, q: np.ndarray) -> None:
-        for k in np.flatnonzero(p > q).tolist():
-            self.terms[lang, sources[k]].append((-int(divergence(p[k], q[k])), term, documents[k]))
+    def _reset(self) -> None:
+        self.names: dict[tuple[str, str], int] = {}
+        self.sums = np.zeros(SIDES * SIDES, np.int64)
+        self.terms: list[list[tuple]] = []
+        self.least = np.zeros(SIDES, np.int64)
+        self.n_terms = 0
+
+    def _number(self, lang: str, source: str) -> int:
+        number = self.names.get((lang, source))
+        if number is None:
+            number = self.names[lang, source] = len(self.names)
+            self.terms.append([])
+        return number
+
+    def add(self, lang: str, term: str, sources: list[str], documents: list[int | None], p: np.ndarray, p0: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One run; yields what is held when another source or term wouldn't fit."""
+        half = SIDES // 2
+        for i in range(0, len(sources), half):
+            for j in range(i, len(sources), half):
+                own = list(range(i, min(i + half, len(sources))))
+                rows = own if i == j else own + list(range(j, min(j + half, len(sources))))
+                if len(self.names) + len(rows) > SIDES and any((lang, sources[k]) not in self.names for k in rows):
+                    yield self.emit()
+                number = np.array([self._number(lang, sources[k]) for k in rows])
+                self._pairs(number, p[rows], p0[rows], len(own) if i != j else 0)
+                if i == j:
+                    self._foremost(number, term, [documents[k] for k in rows], p[rows], q[rows])
+        if self.n_terms > HELD:
+            self.trim()
+            if self.n_terms > HELD // 2:
+                yield self.emit()
+
+    def _pairs(self, number: np.ndarray, p: np.ndarray, p0: np.ndarray, own: int) -> None:
+        """Add the run's part of all pairs, or (``own``) of those of the first rows with the others."""
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(own), np.arange(own, len(p)), indexing="ij")) if own else _corner(len(p))
+        pa_, pb, za, zb = p[a], p[b], p0[a], p0[b]
+        value = divergence(pa_, pb) - divergence(pa_, zb) - divergence(za, pb) + divergence(za, zb)
+        np.add.at(self.sums, np.minimum(number[a], number[b]) * SIDES + np.maximum(number[a], number[b]), value)
+
+    def _foremost(self, number: np.ndarray, term: str, documents: list[int | None], p: np.ndarray, q: np.ndarray) -> None:
+        more = p - q
+        value = more * more // (p + q)
+        for k in np.flatnonzero((more > 0) & (value >= self.least[number])).tolist():
+            held = self.terms[number[k]]
+            held.append((-int(value[k]), term, documents[k]))
             self.n_terms += 1
-        number = np.array([self.names.setdefault((lang, s), len(self.names)) for s in sources], np.int64)
-        for low in range(0, len(p), 256):  # blocks of rows bound the temporary arrays
-            one = np.arange(low, min(low + 256, len(p)))
-            a, b = (x.ravel() for x in np.meshgrid(one, np.arange(low, len(p)), indexing="ij"))
-            a, b = a[a < b], b[a < b]
-            value = divergence(p[a], p[b]) - divergence(p[a], p0[b]) - divergence(p0[a], p[b]) + divergence(p0[a], p0[b])
-            low_name, high_name = np.minimum(number[a], number[b]), np.maximum(number[a], number[b])
-            self.pairs.append((low_name << 32 | high_name, value))
-            self.n_pairs += len(value)
-            if self.n_pairs > HELD:
-                self.compact()
-
-    def compact(self) -> None:
-        if self.pairs:
-            key, value = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, value = key[order], value[order]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            self.pairs = [(key[starts], np.add.reduceat(value, starts))] if len(key) else []
-            self.n_pairs = len(starts)
+            if len(held) >= 8 * self.top:
+                self.n_terms -= len(held) - self.top
+                self._first(held)
+                self.least[number[k]] = -held[-1][0]
 
-    def trim(self) -> None:
-        for found in self.terms.values():
-            found.sort(key=lambda x: x[:2])
-            del found[self.top :]
-        self.n_terms = sum(map(len, self.terms.values()))
+    def _first(self, held: list[tuple]) -> None:
+        held.sort(key=lambda x: x[:2])
+        del held[self.top :]
 
-    def full(self) -> bool:
-        if self.n_terms > HELD:
-            self.trim()
-        return self.n_pairs > HELD // 2 or self.n_terms > HELD // 2
+    def trim(self) -> None:
+        for held in self.terms:
+            self._first(held)
+        self.n_terms = sum(map(len, self.terms))
 
     def emit(self) -> pa.RecordBatch:
-        self.compact()
         self.trim()
         names = list(self.names)
-        rows = [(*group, "term", term, -value, document) for group, found in self.terms.items() for value, term, document in found]
-        for key, value in self.pairs:
-            for k, v in zip(key.tolist(), value.tolist(), strict=True):
-                (lang, a), (_, b) = names[k >> 32], names[k & 0xFFFFFFFF]
-                rows += [(lang, a, "pair", b, v, None), (lang, b, "pair", a, v, None)]
-        self.__init__(self.top)
+        rows = [(*group, "term", term, -value, document) for group, held in zip(names, self.terms, strict=True) for value, term, document in held]
+        for at in np.flatnonzero(self.sums).tolist():
+            (lang, a), (_, b), value = names[at // SIDES], names[at % SIDES], int(self.sums[at])
+            rows += [(lang, a, "pair", b, value, None), (lang, b, "pair", a, value, None)]
+        self._reset()
         kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", "source", "part", "item", "value", "example_doc"])
 
 
+@functools.lru_cache(maxsize=64)
+def _corner(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _compare(top: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partials = Partials(top)
@@ -213,9 +241,7 @@ def _compare(top: int):
             lang, term, source, document = (table[c].to_pylist() for c in ("lang", "term", "source", "document"))
             p, p0, q = (_numbers(table, c) for c in ("p", "p0", "q"))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                partials.add(lang[a], term[a], source[a:b], document[a:b], p[a:b], p0[a:b], q[a:b])
-                if partials.full():
-                    yield partials.emit()
+                yield from partials.add(lang[a], term[a], source[a:b], document[a:b], p[a:b], p0[a:b], q[a:b])
         yield partials.emit()
 
     return compare
@@ -237,8 +263,8 @@ def audit(documents: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) ->
     run = "lang string, term string, source string, document long"
     partial = arrow_map(rows, _count, f"{run}, df long, n long")
     last = F.asc_nulls_last("document")
-    summed = arrow_map(partial.repartition("lang", "term", "source").sortWithinPartitions("lang", "term", "source", last), _sum_runs, f"{run}, df long, n long")
-    kept = cut(arrow_map(summed.repartition("lang", "term").sortWithinPartitions("lang", "term", "source"), _keep(least), f"{run}, n long, total long, head long"))
+    summed = arrow_map(partial.repartition("lang", "term", "source").sortWithinPartitions("term", "lang", "source", last), _sum_runs, f"{run}, df long, n long")
+    kept = cut(arrow_map(summed.repartition("lang", "term").sortWithinPartitions("term", "lang", "source"), _keep(least), f"{run}, n long, total long, head long"))
 
     of_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     of_lang = kept.groupBy("lang").agg(F.sum("head").alias("terms"), F.sum("n").alias("lang_size"))
@@ -246,7 +272,7 @@ def audit(documents: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) ->
     groups = cut(groups.fillna(0, ["size", "terms", "lang_size"]).withColumn("p0", _share("0", "size")))
 
     facts = kept.join(groups, ["lang", "source"]).withColumn("p", _share("n", "size")).withColumn("q", _share("total", "lang_size"))
-    scanned = facts.select("lang", "term", "source", "document", "p", "p0", "q").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    scanned = facts.select("lang", "term", "source", "document", "p", "p0", "q").repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     schema = "lang string, source string, part string, item string, value long, example_doc long"
     shared = arrow_map(scanned, _compare(top), schema)
 

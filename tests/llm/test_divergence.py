@@ -58,7 +58,7 @@ def test_against_plain_counting(spark, docs, rows, least):
     assert sorted(repr(tuple(r)) for r in divergence.audit(docs, least).collect()) == brute(rows, least, 10)
 
 
-def test_small_stretches_and_held_partials(spark, docs, monkeypatch):
+def test_small_stretches(spark, docs, monkeypatch):
     made = made_up(120, 9)
     df = spark.createDataFrame(made, docs.schema).coalesce(1)
     rows = df.selectExpr("doc_id", "coalesce(text, '') text", "coalesce(lang, '') lang", "coalesce(source, '') source").toArrow().to_batches(max_chunksize=7)
@@ -66,29 +66,43 @@ def test_small_stretches_and_held_partials(spark, docs, monkeypatch):
     monkeypatch.setattr(divergence, "STRETCH", 100)
     parts = list(divergence._count(iter(rows)))
     assert len(parts) > 5 and sum(sum(b["n"].to_pylist()) for b in parts) == whole
-    monkeypatch.setattr(divergence, "HELD", 8)
-    held, free = divergence.Partials(3), None
-    p, p0, q = np.array([5, 9, 7, 4]) * 10**8, np.array([1, 2, 3, 4]) * 10**6, np.array([6, 6, 6, 6]) * 10**8
-    emitted = []
-    for k in range(30):
-        held.add("en", f"t{k}", list("abcd"), [1, 2, 3, 4], p + k, p0, q)
-        if held.full():
-            emitted.append(held.emit())
-    emitted.append(held.emit())
-    monkeypatch.setattr(divergence, "HELD", 1 << 20)
-    free = divergence.Partials(3)
-    for k in range(30):
-        free.add("en", f"t{k}", list("abcd"), [1, 2, 3, 4], p + k, p0, q)
-
-    def pairs(batches):
-        total = Counter()
-        for b in batches:
-            for r in b.to_pylist():
-                if r["part"] == "pair":
-                    total[r["source"], r["item"]] += r["value"]
-        return total
-
-    assert len(emitted) > 1 and pairs(emitted) == pairs([free.emit()])
+
+
+def test_partials_that_are_sent_early(monkeypatch):
+    """Few sides and few held terms give the same sums and the same foremost terms."""
+    rng = np.random.default_rng(5)
+    runs = []
+    for k in range(60):
+        sources = sorted(rng.choice(list("abcdefghijklm"), rng.integers(1, 13), replace=False).tolist())
+        p, p0, q = (rng.integers(1, 10**9, len(sources)) for _ in range(3))
+        runs.append((("en", "de")[k % 2], f"t{k}", sources, [1] * len(sources), p, p0, q))
+
+    def gathered():
+        partials, out = divergence.Partials(3), []
+        for run in runs:
+            out += partials.add(*run)
+        out.append(partials.emit())
+        pairs, terms = Counter(), defaultdict(list)
+        for r in (r for b in out for r in b.to_pylist()):
+            if r["part"] == "pair":
+                pairs[r["lang"], r["source"], r["item"]] += r["value"]
+            else:
+                terms[r["lang"], r["source"]].append((-r["value"], r["item"]))
+        return len(out), pairs, {k: sorted(v)[:3] for k, v in terms.items()}
+
+    whole = gathered()
+    monkeypatch.setattr(divergence, "SIDES", 6)
+    monkeypatch.setattr(divergence, "HELD", 4)
+    parts = gathered()
+    assert whole[0] == 1 < parts[0] and whole[1:] == parts[1:]
+    plain = Counter()
+    for lang, _, sources, _, p, p0, _ in runs:
+        f = lambda x, y: (int(x) - int(y)) ** 2 // (int(x) + int(y))
+        for a in range(len(sources)):
+            for b in range(len(sources)):
+                if a != b:
+                    plain[lang, sources[a], sources[b]] += f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b])
+    assert {k: v for k, v in plain.items() if v} == {k: v for k, v in whole[1].items() if v}
 
 
 def test_sql_agrees(docs, rows, tmp_path):
