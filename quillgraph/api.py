@@ -7,115 +7,194 @@ tool has several facets.  Nothing is written by asking: usage is an event that
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import guard, workspace
-from quillgraph.operators import analytics, build, community, context, linkage, resolve, search, symbols, traverse
+from quillgraph.operators import analytics, build, community, context, indexes, linkage, resolve, search, symbols, traverse
 from quillgraph.operators.lineage import cut
 from quillgraph.parse import parser
 from quillgraph.schemas import MECHANISMS, PARSED
 from quillgraph.sources import files as source_files
-from quillgraph.sources import git, stores
+from quillgraph.sources import changes, git, stores
 from quillgraph.tasks import TaskStore
 
 _EDGE = ["type", "src", "dst", "confidence"]
+REVIEWS = "service string, candidate string, status string, approved_as string, reason string"
+JOBS = "service string, job string, status string, started timestamp, ended timestamp, error string, files long, functions long, edges long, summary string"
+COMMITS = "service string, sequence long, commit string, at timestamp"
+#: Jobs that are listed.
+KEPT_JOBS = 50
 
 
 class KnowledgeBase:
     """Tables of indexed services and the questions that can be put to them."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        """``folder``: where indexed files and their parsed records are kept; without one they last as long as the session."""
-        store = lambda name, schema: stores.TableStore(spark, f"{folder}/{name}", schema) if folder else stores.MemoryStore(spark, schema)
+        """``folder``: where indexed files, their parsed records, reviews, jobs and histories are kept; without one they last as long as the session."""
+        log = lambda name, schema, *key: changes.ChangeLog(spark, f"{folder}/{name}", schema, ["service", *key]) if folder else changes.MemoryChanges(spark, schema, ["service", *key])
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
-        self.jobs: list[dict] = []
-        self.reviews: list[tuple[str, str, str | None, str | None]] = []
-        self.index, self.sources, self.parsed = store("index", source_files.SERVICE_INDEX_SCHEMA), store("sources", source_files.SOURCE_SCHEMA), store("parsed", f"service string, {PARSED}")
+        self.running: list[dict] = []
+        self._lock = threading.RLock()
+        self._cached: list[DataFrame] = []
+        self.vectors: indexes.VectorIndex | None = None
+        self.postings: DataFrame | None = None
+        self.index, self.sources, self.parsed = log("index", source_files.SERVICE_INDEX_SCHEMA, "path"), log("sources", source_files.SOURCE_SCHEMA, "path"), log("parsed", f"service string, {PARSED}", "file")
+        self.reviews, self.finished = log("reviews", REVIEWS, "candidate"), log("jobs", JOBS, "job")
+        self.commits, self.history = log("commits", COMMITS, "sequence"), log("history", changes.HISTORY, "kind", "label", "id", "detail", "opened")
         if folder and self.index.exists():
             self.load(self.sources.load(), self.parsed.load())
 
     # ---- indexing
 
     def sync(self, root: str, service: str, force: bool = False) -> dict:
-        """Scan a tree, parse its new and changed files, drop those that are gone, and rebuild the tables of all services; returns the job.
+        """Scan a tree, parse its new and changed files, drop those that are gone, and derive the tables of all services anew; returns the job.
 
-        Rows are replaced by (service, file), so the result is that of a full
-        sync of every service.  The index is written last: after a failure the
-        same files count as changed again.
+        Kept tables get one batch of changed rows each, so what a sync writes
+        follows the change.  Rows are replaced by (service, file), so the result
+        is that of a full sync of every service.  The index is written last:
+        after a failure the same files count as changed again.
         """
+        return self._run(self._begin(service), root, service, force)
+
+    def start_sync(self, root: str, service: str, force: bool = False) -> dict:
+        """Begin a sync beside the caller and return its job at once; ``job_status`` tells how it goes."""
+        job = self._begin(service)
+        InheritableThread(target=self._quietly, args=(job, root, service, force), daemon=True).start()
+        return dict(job)
+
+    def _begin(self, service: str) -> dict:
         job = {"job": uuid.uuid4().hex[:8], "service": service, "status": "running", "started": datetime.now(UTC)}
-        self.jobs.append(job)
+        with self._lock:
+            self.running.append(job)
+        return job
+
+    def _quietly(self, job: dict, *given) -> None:
+        with contextlib.suppress(Exception):  # the job's record has the error
+            self._run(job, *given)
+
+    def _run(self, job: dict, root: str, service: str, force: bool) -> dict:
         try:
-            commit = git.head(root)
-            files = cut(source_files.scan(self.spark, root, service))
-            index = self.index.load()
-            known = index.where(F.col("service") == service)
-            marked = cut(source_files.mark_changed(files, known, force))
-            changed = marked.where("changed").drop("changed")
-            gone = known.join(files.select("path"), "path", "left_anti").select("service", "path")
-            stale = cut(changed.select("service", "path").unionByName(gone))
-            parsed = cut(self.parsed.load().join(stale.select("service", F.col("path").alias("file")), ["service", "file"], "left_anti").unionByName(parser.parse_files(changed)))
-            sources = cut(self.sources.load().join(stale, ["service", "path"], "left_anti").unionByName(changed))
-            self.load(sources, parsed)
-            job |= self._stats(service, files, changed, gone) | {"commit": commit}
-            self.parsed.replace(parsed)
-            self.sources.replace(sources)
-            fresh = changed.select("service", "path", "content_hash", F.lit(commit).alias("last_commit"), F.current_timestamp().alias("indexed_at"))
-            self.index.replace(cut(index.join(stale, ["service", "path"], "left_anti").unionByName(fresh)))
-            job["status"] = "done"
+            job |= self._sync(root, service, force) | {"status": "done"}
         except Exception as error:
             job |= {"status": "error", "error": str(error)[:200]}
             raise
         finally:
-            self.jobs = sorted(self.jobs, key=lambda j: j["started"], reverse=True)[:50]
+            with self._lock:
+                self.running.remove(job)
+                row = (service, job["job"], job["status"], job["started"], datetime.now(UTC), job.get("error"), job.get("files"), job.get("functions"), job.get("edges"), job.get("summary"))
+                self.finished.apply(self.spark.createDataFrame([row], JOBS))
         return job
 
+    def _sync(self, root: str, service: str, force: bool) -> dict:
+        commit = git.head(root)
+        files, known = source_files.scan(self.spark, root, service), self.index.get("service", service)
+        changed = cut(source_files.mark_changed(files, known, force).where("changed").drop("changed"))
+        there = cut(files.select("path"))  # the reader leaves the contents out here
+        gone = cut(known.join(there, "path", "left_anti").select("service", "path"))
+        parsed = cut(parser.parse_files(changed))
+        unparsed = changed.select("service", F.col("path").alias("file")).join(parsed, ["service", "file"], "left_anti")
+        self.parsed.apply(parsed, gone.select("service", F.col("path").alias("file")).unionByName(unparsed))
+        self.sources.apply(changed, gone)
+        with self._lock:
+            self.load(self.sources.load(), self.parsed.load())
+            done = self._stats(service, there, changed, gone) | {"commit": commit}
+            self._remember(service, commit)
+        self.index.apply(changed.select("service", "path", "content_hash", F.lit(commit).alias("last_commit"), F.current_timestamp().alias("indexed_at")), gone)
+        return done
+
     def _stats(self, service: str, files: DataFrame, changed: DataFrame, gone: DataFrame) -> dict:
-        """Counts by phase, of one service, and a line that says them."""
+        """Counts by phase, of one service, from one job, and a line that says them."""
         own = lambda name: self.tables[name].where(F.col("service") == service)
         calls = self.calls.join(own("functions").select(F.col("id").alias("src")), "src", "left_semi")
-        errors = own("parsed").where(F.size("errors") > 0)
-        dag_nodes = own("dags").count() + own("tasks").count()
-        dag_edges = build.dag_edges(own("tasks"), self.tables["functions"])
-        total, parsed = files.count(), changed.count()
+        counted = {"total": files, "changed": changed, "deleted": gone, "errors": own("parsed").where(F.size("errors") > 0), "calls": calls, "infra": own("owned"), "infra_edges": own("resources")}
+        counted |= {name: own(name) for name in ("functions", "classes", "dags", "tasks", "chunks")} | {f"dag_{k}": e for k, e in build.dag_edges(own("tasks"), self.tables["functions"]).items()}
+        rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("count").alias("of"), F.lit(name).alias("name"), "n") for name, df in counted.items()]
+        for of, stats in (("imports", resolve.import_stats(own("imports"))), ("heritage", resolve.heritage_stats(own("heritage")))):
+            pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in stats.columns)))
+            rows.append(stats.select(F.lit(of).alias("of"), pairs.alias("p")).select("of", "p.*"))
+        rows.append(own("files").where(F.col("language").isNotNull()).groupBy("language").agg(F.count(F.lit(1)).alias("n")).select(F.lit("language").alias("of"), F.col("language").alias("name"), "n"))
+        found: dict[str, dict[str, int]] = {"imports": {}, "heritage": {}, "language": {}}
+        for r in reduce(DataFrame.unionByName, rows).collect():
+            found.setdefault(r.of, {})[r.name] = r.n
+        n = found["count"]
         phases = {
-            "filesystem": {"total": total, "changed": parsed, "skipped": total - parsed, "deleted": gone.count()},
-            "parse": {"parsed": parsed, "errors": errors.count()},
-            "graph": {"functions": own("functions").count(), "classes": own("classes").count(), "calls": calls.count(), "infra": own("owned").count(), "infra_edges": own("resources").count(), "dag_nodes": dag_nodes, "dag_edges": sum(e.count() for e in dag_edges.values())},
-            "vectors": {"chunks": own("chunks").count()},
-            "imports": resolve.import_stats(own("imports")).first().asDict(),
-            "heritage": resolve.heritage_stats(own("heritage")).first().asDict(),
+            "filesystem": {"total": n["total"], "changed": n["changed"], "skipped": n["total"] - n["changed"], "deleted": n["deleted"]},
+            "parse": {"parsed": n["changed"], "errors": n["errors"]},
+            "graph": {"functions": n["functions"], "classes": n["classes"], "calls": n["calls"], "infra": n["infra"], "infra_edges": n["infra_edges"], "dag_nodes": n["dags"] + n["tasks"], "dag_edges": sum(v for k, v in n.items() if k.startswith("dag_"))},
+            "vectors": {"chunks": n["chunks"]}, "imports": found["imports"], "heritage": found["heritage"],
         }
-        languages = sorted(r.language for r in own("files").select("language").distinct().collect() if r.language)
-        g = phases["graph"]
+        languages, g = sorted(found["language"]), phases["graph"]
         said = f"Synced {g['functions']} functions, {g['classes']} classes, {g['calls']} call edges, {g['infra']} infra patterns ({g['infra_edges']} infra edges), {g['dag_nodes']} DAG/task nodes ({g['dag_edges']} DAG edges), {phases['vectors']['chunks']} vectors. Languages: {', '.join(languages) or 'none'}."
-        return {"files": total, "functions": g["functions"], "edges": g["calls"] + g["infra_edges"], "phases": phases, "summary": said}
+        return {"files": n["total"], "functions": g["functions"], "edges": g["calls"] + g["infra_edges"], "phases": phases, "summary": said}
+
+    # ---- history
+
+    def facts(self, service: str) -> DataFrame:
+        """The service's nodes, edges and contracts as rows of (service, kind, label, id, detail)."""
+        t = {name: self.tables[name].where(F.col("service") == service) for name in ("functions", "classes", "files", "resources")}
+        fact = lambda df, kind, label, key, detail="": df.select("service", F.lit(kind).alias("kind"), (label if isinstance(label, F.Column) else F.lit(label)).alias("label"), key.alias("id"), (detail if isinstance(detail, F.Column) else F.lit(detail)).alias("detail"))
+        named = F.concat_ws("::", "file", "name")
+        calls = self.calls.join(t["functions"].select(F.col("id").alias("src"), "service"), "src")
+        routes = t["resources"].where("label = 'APIRoute'")
+        rows = [
+            fact(t["functions"], "node", "Function", named), fact(t["classes"], "node", "Class", named), fact(t["files"], "node", "File", F.col("path")), fact(t["resources"], "node", F.col("label"), F.col("dst")),
+            fact(calls, "edge", "CALLS", F.col("src"), F.col("dst")), fact(t["resources"], "edge", F.col("type"), F.col("src"), F.col("dst")), fact(routes, "route", "APIRoute", F.col("dst"), F.coalesce(F.col("metadata")["method"], F.lit("ALL"))),
+        ]
+        return reduce(DataFrame.unionByName, rows).fillna("").distinct()
+
+    def _remember(self, service: str, commit: str | None) -> None:
+        """Close and open the rows of the service's history that this sync changed."""
+        last = self.commits.get("service", service).agg(F.max("sequence")).first()[0]
+        sequence = 0 if last is None else last + 1
+        self.history.apply(changes.advance(self.history.get("service", service), self.facts(service), sequence))
+        self.commits.apply(self.spark.createDataFrame([(service, sequence, commit, datetime.now(UTC))], COMMITS))
+
+    def changes_between(self, service: str, before: int, after: int) -> dict[str, DataFrame]:
+        """What two syncs of a service (numbers of ``commits``) differ in: facts, counts, and drift of routes, topics and endpoints."""
+        history = self.history.get("service", service)
+        found = changes.differences(history, self.spark.createDataFrame([(service, before, after)], "service string, before long, after long"))
+        routes = lambda at: changes.as_of(history.where("kind = 'route'"), F.lit(at)).select(F.col("id").alias("path"), F.col("detail").alias("method"))
+        hubs = lambda at, label: changes.as_of(history.where((F.col("kind") == "node") & (F.col("label") == label)), F.lit(at)).select(F.col("id").alias("x"))
+        drift = analytics.route_drift(routes(before), routes(after))
+        out = {"facts": found.drop("before", "after"), "count_deltas": changes.count_differences(found).drop("before", "after"), "route_drift": drift, "drift_summary": analytics.drift_summary(drift)}
+        return out | {name: analytics.set_drift(hubs(before, label), hubs(after, label), "x") for name, label in (("topic_drift", "KafkaTopic"), ("endpoint_drift", "GRPCEndpoint"))}
 
     def load(self, files: DataFrame, parsed: DataFrame | None = None) -> None:
         """Build all tables from (service, path, content, language, content_hash) and, if there, their parsed records."""
-        parsed = parser.parse_files(files).cache() if parsed is None else parsed
+        for old in self._cached:
+            old.unpersist()
+        self._cached, self.vectors, self.postings = [], None, None
+
+        def held(df: DataFrame) -> DataFrame:
+            self._cached.append(df.cache())
+            return df
+
+        parsed = held(parser.parse_files(files) if parsed is None else parsed)
         syms, classes, infra = parser.symbols_of(parsed), parser.classes_of(parsed), parser.infra_of(parsed)
         node = F.concat_ws("::", "service", "file", "name")
-        functions = build.function_nodes(syms).withColumn("id", node).cache()
+        functions = held(build.function_nodes(syms).withColumn("id", node))
         sites = build.call_sites(syms)
         calls = build.call_edges(sites, functions)
         callee = F.when(F.col("callee_file").isNotNull(), F.concat_ws("::", "callee_service", "callee_file", "callee")).otherwise(F.col("callee"))
         call_rows = calls.select(F.lit("CALLS").alias("type"), F.concat_ws("::", "service", "file", "caller").alias("src"), callee.alias("dst"), "confidence", "sites")
-        owned = build.owned_infra(infra, functions).cache()
+        owned = held(build.owned_infra(infra, functions))
         linked = build.infra_edges(owned).select(F.col("edge").alias("type"), F.concat_ws("::", "service", "file", "owner").alias("src"), F.col("target").alias("dst"), F.lit(1.0).alias("confidence"), F.lit(1).cast("long").alias("sites"), "label", F.col("service"), "metadata", "kind", F.col("type").alias("hub_type"))
         self.tables |= {
             "files": build.file_nodes(parsed), "services": build.service_nodes(parsed), "functions": functions, "classes": build.class_nodes(classes), "sites": sites,
-            "edges": call_rows.select(*_EDGE, "sites").unionByName(linked.select(*_EDGE, "sites")).cache(), "resources": linked, "candidates": build.candidates(owned), "owned": owned, "chunks": build.chunks(parsed),
+            "edges": held(call_rows.select(*_EDGE, "sites").unionByName(linked.select(*_EDGE, "sites"))), "resources": linked, "candidates": build.candidates(owned), "owned": owned, "chunks": build.chunks(parsed),
             "heritage": resolve.heritage(classes), "imports": resolve.resolve_imports(resolve.imports(files), files), "bindings": resolve.bindings(files, classes, syms), "sources": files, "parsed": parsed,
             "inherits": build.inherits_edges(classes), "methods": build.method_edges(classes, functions), "typed_calls": resolve.resolve_calls(sites, resolve.bindings(files, classes, syms), classes), "dags": parser.dags_of(parsed), "tasks": parser.tasks_of(parsed),
         }
-        for review in self.reviews:
-            self.tables["candidates"] = build.review(self.tables["candidates"], *review)
+        self.tables["candidates"] = build.reviewed(self.tables["candidates"], self.reviews.load())
         for name in ("functions", "classes", "edges", "services", "files", "chunks"):
             self.tables[name].createOrReplaceTempView(name)
 
@@ -142,12 +221,24 @@ class KnowledgeBase:
             raise ValueError(f"read-only statements are allowed, not {found}")
         return self.spark.sql(text, args=args or {})
 
+    def _searched(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes for keywords, and chunks with their vectors."""
+        named = lambda name, label: self.tables[name].select(F.lit(label).alias("label"), "name", "file", "docstring", "service")
+        files = self.tables["files"].select(F.lit("File").alias("label"), F.col("path").alias("name"), F.col("path").alias("file"), F.lit(None).cast("string").alias("docstring"), "service")
+        label = F.when(F.col("id").contains("::class::"), "Class").otherwise("Function")
+        chunks = self.tables["chunks"].where(F.col("name").isNotNull()).select(F.concat_ws(":", label, "file", "name").alias("id"), search.hash_embedding(F.col("document")).alias("embedding"))
+        return named("functions", "Function").unionByName(named("classes", "Class")).unionByName(files), chunks
+
+    def index_search(self) -> None:
+        """Index the vectors of all chunks and the trigrams of all nodes; searches read these until the next sync."""
+        nodes, chunks = self._searched()
+        self.vectors, self.postings = indexes.index_vectors(chunks), cut(indexes.postings(nodes, search.NODE, search.TEXTS).sort("gram"))
+
     def search(self, text: str, top: int = 5, mode: str = "hybrid", events: DataFrame | None = None) -> DataFrame:
-        nodes = self.tables["functions"].select(F.lit("Function").alias("label"), "name", "file", "docstring", "service").unionByName(self.tables["classes"].select(F.lit("Class").alias("label"), "name", "file", "docstring", "service")).unionByName(self.tables["files"].select(F.lit("File").alias("label"), F.col("path").alias("name"), F.col("path").alias("file"), F.lit(None).cast("string").alias("docstring"), "service"))
-        chunks = self.tables["chunks"].where(F.col("name").isNotNull()).select(F.concat_ws(":", F.when(F.col("id").contains("::class::"), "Class").otherwise("Function"), "file", "name").alias("id"), search.hash_embedding(F.col("document")).alias("embedding"))
+        nodes, chunks = self._searched()
         hits = stores.hit_counts(events) if events is not None else self.spark.createDataFrame([], "id string, hit_count long")
         point = self.spark.range(1).select(search.hash_embedding(F.lit(text)).alias("point"))
-        return search.hybrid(nodes, text, chunks, point, hits, top, mode)
+        return search.hybrid(nodes, text, chunks, point, hits, top, mode, self.vectors, self.postings)
 
     def log_query(self, text: str, results: DataFrame, mode: str) -> DataFrame:
         """The event of a search, to be appended to the log."""
@@ -208,10 +299,12 @@ class KnowledgeBase:
 
     def review(self, candidate: str, status: str, approved_as: str | None = None, reason: str | None = None) -> bool:
         """Promote or reject a candidate (status ``approved`` or ``rejected``); False if there is none of that id."""
-        if self.tables["candidates"].where(F.col("id") == candidate).isEmpty():
+        found = self.tables["candidates"].where(F.col("id") == candidate).select("service").first()
+        if found is None:
             return False
-        self.reviews.append((candidate, status, approved_as, reason))
-        self.tables["candidates"] = build.review(self.tables["candidates"], candidate, status, approved_as, reason)
+        row = self.spark.createDataFrame([(found.service, candidate, status, approved_as, reason)], REVIEWS)
+        self.reviews.apply(row)
+        self.tables["candidates"] = build.reviewed(self.tables["candidates"], row)
         return True
 
     def communities(self) -> DataFrame:
@@ -310,7 +403,10 @@ class KnowledgeBase:
         return self.sync(found.path, found.id, force)
 
     def job_status(self, job: str | None = None) -> list[dict]:
-        return [j for j in self.jobs if job is None or j["job"] == job][:10]
+        """The newest jobs, running ones included; what ended is kept with the tables, the last ``KEPT_JOBS`` count."""
+        ended = [r.asDict() | {"started": r.started.astimezone(UTC)} for r in self.finished.load().orderBy(F.desc("started")).limit(KEPT_JOBS).collect()]
+        newest = sorted([*map(dict, self.running), *ended], key=lambda j: j["started"], reverse=True)[:KEPT_JOBS]
+        return [j for j in newest if job is None or j["job"] == job][:10]
 
     def limit_output(self, text: DataFrame, max_input: int = 12_000, reserved: int = 3_000, max_output: int = 1_500, tasks: TaskStore | None = None) -> DataFrame:
         """Rows of (id, content): passed, trimmed, or offloaded to artifacts of ``tasks`` with their summary (without a store, cut and marked)."""

@@ -109,6 +109,16 @@ def review(queue: DataFrame, candidate: str, status: str, approved_as: str | Non
     return out.withColumn("approved_as", F.when(hit, F.lit(approved_as))).withColumn("reason", F.when(hit, F.lit(reason)))
 
 
+def reviewed(queue: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The queue with kept reviews (candidate, status, approved_as, reason; at most one a candidate); others stay as they are."""
+    found = reviews.select(F.col("candidate").alias("id"), *(F.col(c).alias(f"_{c}") for c in ("status", "approved_as", "reason")))
+    joined = queue.join(found, "id", "left")
+    before = lambda c: F.col(c) if c in queue.columns else F.lit(None).cast("string")
+    hit = F.col("_status").isNotNull()
+    new = {c: F.when(hit, F.col(f"_{c}")).otherwise(before(c)) for c in ("status", "approved_as", "reason")}
+    return joined.withColumns(new).drop("_status", "_approved_as", "_reason")
+
+
 def open_candidates(queue: DataFrame, service: str = "", limit: int = 50) -> DataFrame:
     return queue.where((F.lit(service) == "") | (F.col("service") == service)).orderBy(F.desc("detected_at"), "id").limit(limit)
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.workers import workers_import
+from quillgraph.operators.lineage import cut
 
 MIN_EDGES = 5
 
@@ -18,10 +17,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def louvain(links: list[tuple], resolution: float = 1.0) -> dict:
-    """Modularity optimisation: local moves in the order of the nodes, then merging of communities, until nothing improves.
-
-    Deterministic: nodes are visited in order and ties go to the smallest community.
-    """
+    """The same on one machine, node by node, for tests and small graphs: local moves in the order of the nodes, then merging of communities, until nothing improves."""
     nodes = sorted({x for a, b, _ in links for x in (a, b)})
     place = {n: i for i, n in enumerate(nodes)}
     graph: list[dict[int, float]] = [{} for _ in nodes]
@@ -83,24 +79,101 @@ def modularity(links: list[tuple], label: dict) -> float:
     return inside / total - sum(v * v for v in volume.values()) / (4 * total * total)
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(service, node, community): one group a service; a service with fewer than MIN_EDGES links has none.
+def _best_moves(links: DataFrame, state: DataFrame, totals: DataFrame) -> DataFrame:
+    """(service, node, label, degree, aim): the community, its own or a neighbour's, that adds most to the modularity; ties go to the smallest.
 
-    A service's call graph is what one task holds; services are the unit in
-    which functions call each other by name.  For one that outgrows a task,
-    ``label_propagation`` needs joins only.
+    state: service, node, label, degree.  The gain of a community is the weight
+    of the node's links into it less degree * volume / total, the node's own
+    degree left out of its volume.
     """
-    pairs = undirected(edges)
-    kind = dict(edges.dtypes)["src"]
+    volume = state.groupBy("service", "label").agg(F.sum("degree").alias("volume"))
+    around = links.where("a <> b").join(state.select("service", F.col("node").alias("b"), "label"), ["service", "b"]).groupBy("service", F.col("a").alias("node"), "label").agg(F.sum("weight").alias("near"))
+    own = state.select("service", "node", "label", F.lit(0.0).alias("near"))
+    offers = around.unionByName(own).groupBy("service", "node", F.col("label").alias("aim")).agg(F.sum("near").alias("near"))
+    met = offers.join(volume.withColumnRenamed("label", "aim"), ["service", "aim"]).join(state, ["service", "node"]).join(totals, "service")
+    here = F.col("aim") == F.col("label")
+    gain = F.round(F.col("near") - F.col("degree") * (F.col("volume") - F.when(here, F.col("degree")).otherwise(0.0)) / F.col("total"), 9)
+    best = met.groupBy("service", "node").agg(F.first("label").alias("label"), F.first("degree").alias("degree"), F.max_by("aim", F.struct(gain.alias("gain"), here.alias("stays"), F.negative("aim").alias("least"))).alias("aim"))
+    return best
+
+
+#: A level ends when a round moves no more than this share of its nodes, or after so many rounds.
+STILL, ROUNDS = 0.01, 12
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) < MIN_EDGES:
-            return pd.DataFrame({"service": [], "node": [], "community": []}, dtype=object)
-        found = louvain(sorted(zip(group["a"], group["b"], group["weight"], strict=True)))
-        return pd.DataFrame({"service": group["service"].iloc[0], "node": list(found), "community": [f"{group['service'].iloc[0]}::community-{c}" for c in found.values()]}, dtype=object)
 
-    workers_import(edges.sparkSession)
-    return pairs.groupBy("service").applyInPandas(solve, f"service string, node {kind}, community string")
+def _moved(links: DataFrame, state: DataFrame, totals: DataFrame, round_: int) -> DataFrame:
+    """One round: nodes that want to move do, if no neighbour of theirs that wants to comes before them.
+
+    The order is a hash of the node and the round, so a node's neighbours stay
+    while it moves, and every node comes first among its own in some round.
+    """
+    wishes = _best_moves(links, state, totals).withColumn("turn", F.xxhash64("service", "node", F.lit(round_)))
+    wanting = wishes.withColumn("wants", F.col("aim") != F.col("label")).persist()  # read twice below; lost parts are made again from the cut state
+    movers = wanting.where("wants").select("service", F.col("node").alias("b"), F.col("turn").alias("other"))
+    before = links.where("a <> b").join(movers, ["service", "b"]).groupBy("service", F.col("a").alias("node")).agg(F.min("other").alias("other"))
+    joined = wanting.join(before, ["service", "node"], "left")
+    goes = F.col("wants") & (F.col("other").isNull() | (F.col("turn") < F.col("other")))
+    after = cut(joined.select("service", "node", F.when(goes, F.col("aim")).otherwise(F.col("label")).alias("label"), "degree", F.col("label").alias("old")))
+    wanting.unpersist()
+    return after
+
+
+def _modularity(links: DataFrame, state: DataFrame, totals: DataFrame) -> DataFrame:
+    """(service, quality) of a state; links in both directions, a loop once with its weight doubled."""
+    side = lambda c: state.select("service", F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    inside = links.join(side("a"), ["service", "a"]).join(side("b"), ["service", "b"]).where("label_a = label_b").groupBy("service").agg(F.sum("weight").alias("inside"))
+    squares = state.groupBy("service", "label").agg(F.sum("degree").alias("volume")).groupBy("service").agg(F.sum(F.col("volume") * F.col("volume")).alias("squares"))
+    return squares.join(inside, "service", "left").join(totals, "service").select("service", (F.coalesce("inside", F.lit(0.0)) / F.col("total") - F.col("squares") / (F.col("total") * F.col("total"))).alias("quality"))
+
+
+def distributed_louvain(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS) -> DataFrame:
+    """(service, node, label): modularity optimisation by joins over all services at once.
+
+    A level moves nodes in rounds until hardly any moves (``STILL``, at most
+    ``rounds``), and then makes each community a node whose links are the sums of its members';
+    the next level works on that smaller table, until no node moves.  A level
+    that doesn't raise a service's modularity, as moves of the same round into
+    one community aren't seen by each other, is not taken there.  What a task
+    holds are partial sums: a node with many links is joined and summed, never
+    gathered.  Labels are places of nodes in the order of ids.
+    """
+    pairs = undirected(edges)
+    names = cut(pairs.select("service", F.explode(F.array("a", "b")).alias("name")).distinct().withColumn("node", F.xxhash64("service", "name")))
+    at = lambda c: names.select("service", F.col("name").alias(c), F.col("node").alias(f"{c}_node"))
+    coded = pairs.join(at("a"), ["service", "a"]).join(at("b"), ["service", "b"]).select("service", F.col("a_node").alias("a"), F.col("b_node").alias("b"), "weight")
+    links = cut(coded.unionByName(coded.select("service", F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    totals = cut(links.groupBy("service").agg(F.sum("weight").alias("total")))
+    member = names.select("service", "name", F.col("node").alias("label"))
+    for _ in range(levels):
+        degree = links.groupBy("service", F.col("a").alias("node")).agg(F.sum("weight").alias("degree"))
+        start = state = cut(degree.select("service", "node", F.col("node").alias("label"), "degree"))
+        for k in range(rounds):
+            after = _moved(links, state, totals, k)
+            state = after.select("service", "node", "label", "degree")
+            nodes, moves = after.agg(F.count(F.lit(1)), F.count_if(F.col("label") != F.col("old"))).first()
+            if moves <= STILL * nodes:
+                break
+        before = _modularity(links, start, totals).withColumnRenamed("quality", "was")
+        better = cut(_modularity(links, state, totals).join(before, "service").where("quality > was + 1e-9").select("service"))
+        if better.isEmpty():
+            break
+        kept = state.join(better, "service", "left_semi").select("service", "node", "label").unionByName(start.join(better, "service", "left_anti").select("service", "node", "label"))
+        kept = cut(kept)
+        member = cut(member.withColumnRenamed("label", "node").join(kept, ["service", "node"]).select("service", "name", "label"))
+        to = lambda c: kept.select("service", F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
+        links = cut(links.join(to("a"), ["service", "a"]).join(to("b"), ["service", "b"]).groupBy("service", F.col("a_label").alias("a"), F.col("b_label").alias("b")).agg(F.sum("weight").alias("weight")))
+    return member.select("service", F.col("name").alias("node"), "label")
+
+
+def communities(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS) -> DataFrame:
+    """(service, node, community): communities numbered by their smallest node; a service with fewer than MIN_EDGES links has none."""
+    enough = undirected(edges).groupBy("service").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_EDGES)
+    found = distributed_louvain(edges.join(enough, "service", "left_semi"), levels, rounds)
+    first = found.groupBy("service", "label").agg(F.min("node").alias("first"))
+    # One row a community is put in order, within its service.
+    number = F.row_number().over(Window.partitionBy("service").orderBy("first")) - 1
+    numbered = first.withColumn("community", F.concat_ws("::community-", "service", number.cast("string"))).drop("first")
+    return found.join(numbered, ["service", "label"]).select("service", "node", "community")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quillgraph.functions import scalar as S
 
 
-def budget_prefix(ranked: DataFrame, max_tokens: int, max_items: int = 8) -> DataFrame:
-    """The results in rank order up to, and without, the first that would exceed the budget.
+def budget_prefix(ranked: DataFrame, max_tokens: int, max_items: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
+    """The results in rank order (of each group, if ``by`` names any) up to, and without, the first that would exceed the budget.
 
-    Ranked results are a retriever's top-k, so the window over all is small.
+    At most ``max_items`` of a group are kept, so that is what the sum goes over.
     """
-    costed = ranked.withColumn("tokens", S.estimate_tokens(F.col("document")))
-    used = F.sum("tokens").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return costed.withColumn("used", used).where((F.col("used") <= max_tokens) & (F.col("rank") <= max_items))
+    costed = ranked.where(F.col("rank") <= max_items).withColumn("tokens", S.estimate_tokens(F.col("document")))
+    used = F.sum("tokens").over(Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return costed.withColumn("used", used).where(F.col("used") <= max_tokens)
 
 
 def manifest(kept: DataFrame, workspace: str) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scalar import keyword_document, rrf
+from quillgraph.operators import indexes
 
 
-def keyword(nodes: DataFrame, pattern: str, top: int) -> DataFrame:
-    """Nodes (label, name, file, docstring, service) that contain the pattern in any text, the first ``top`` by id."""
+#: Where a keyword is looked for, and what tells nodes apart in an index of them.
+TEXTS, NODE = ["name", "file", "docstring"], ["label", "service", "file", "name"]
+
+
+def keyword(nodes: DataFrame, pattern: str, top: int, postings: DataFrame | None = None) -> DataFrame:
+    """Nodes (label, name, file, docstring, service) that contain the pattern in any text, the first ``top`` by id; with an index of their trigrams (by ``NODE``), only candidates are read."""
     needle = F.lower(F.lit(pattern))
     hit = F.contains(F.lower("name"), needle) | F.contains(F.lower("file"), needle) | F.contains(F.lower(F.coalesce("docstring", F.lit(""))), needle)
-    found = nodes.where(hit).withColumn("id", F.concat_ws(":", "label", "file", "name"))
+    held = nodes.where(hit) if postings is None else indexes.containing(nodes, postings, pattern, NODE, TEXTS)
+    found = held.withColumn("id", F.concat_ws(":", "label", "file", "name"))
     return found.orderBy("id").limit(top).withColumn("document", keyword_document(F.col("label"), F.col("name"), F.col("file"), F.col("docstring")))
 
 
@@ -64,15 +70,19 @@ def boost(results: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.withColumn("boosted", normal * 0.7 + F.col("hit_count") / F.greatest(F.max("hit_count").over(whole), F.lit(1)) * 0.3)
 
 
-def hybrid(nodes: DataFrame, pattern: str, chunks: DataFrame, query: list[float] | DataFrame, hits: DataFrame, top: int = 5, mode: str = "hybrid") -> DataFrame:
-    """Search in one of three modes; a pure function of its tables, so looking something up changes nothing."""
+def hybrid(nodes: DataFrame, pattern: str, chunks: DataFrame, query: list[float] | DataFrame, hits: DataFrame, top: int = 5, mode: str = "hybrid", vectors: indexes.VectorIndex | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Search in one of three modes; a pure function of its tables, so looking something up changes nothing.
+
+    With indexes of the chunks' vectors and of the nodes' trigrams, these are
+    read in place of all chunks and nodes (the query then is a table).
+    """
     if mode == "keyword":
-        return ranked(keyword(nodes, pattern, top).select("id"), [F.col("id")]).select("id", rrf(F.col("rank")).alias("score"), F.lit("keyword").alias("source"))
-    near = vector(chunks, query, top)
+        return ranked(keyword(nodes, pattern, top, postings).select("id"), [F.col("id")]).select("id", rrf(F.col("rank")).alias("score"), F.lit("keyword").alias("source"))
+    near = vector(chunks, query, top) if vectors is None else indexes.search_vectors(vectors, query.select(F.lit(0).alias("query"), "point"), top)
     if mode == "semantic":
         scored = near.select("id", (1 - F.col("distance")).alias("score"))
         return boost(scored, hits).select("id", F.col("boosted").alias("score"), F.lit("semantic").alias("source"))
-    fused = fuse(ranked(near, [F.col("distance"), F.col("id")]), ranked(keyword(nodes, pattern, top), [F.col("id")]), top)
+    fused = fuse(ranked(near, [F.col("distance"), F.col("id")]), ranked(keyword(nodes, pattern, top, postings), [F.col("id")]), top)
     return boost(fused, hits).select("id", F.col("boosted").alias("score"), "source")
 
 

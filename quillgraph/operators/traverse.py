@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.lineage import cut
@@ -56,13 +57,74 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
+#: Trails that a hop keeps at first, and how many times more when they turn out too few.
+WIDTH, WIDER = 256, 16
+
+
+def _reaching(steps: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+    """(id, left): from the node a walk of ``left`` hops, 0..depth, leads to one of the ends."""
+    level = ends.select("id").distinct()
+    found = level.withColumn("left", F.lit(0))
+    for hop in range(1, depth + 1):
+        level = cut(steps.join(level, steps.dst == level.id).select(F.col("src").alias("id")).distinct())
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.withColumn("left", F.lit(hop)))
+    return cut(found)
+
+
+def _first_trails(steps: DataFrame, starts: DataFrame, reaching: DataFrame, hops: int, limit: int) -> DataFrame:
+    """The first ``limit`` trails, in order of their nodes, of exactly that many hops from a start to an end.
+
+    A hop extends trails only to nodes from which an end is as many hops away as
+    are left, and keeps the first ``width`` in order.  Whatever comes from a
+    dropped trail is behind all that comes from the kept ones, so ``limit``
+    whole trails are the first ones; with fewer, and something dropped (each
+    hop's rows are observed as it runs), the hops are done again with a larger
+    width.
+    """
+    width = max(WIDTH, limit)
+    while True:
+        frontier = starts.join(reaching.where(F.col("left") == hops), "id", "left_semi").select(F.array("id").alias("nodes"), F.col("id").alias("last"))
+        seen = []
+        for hop in range(hops + 1):
+            if hop:
+                target = reaching.where(F.col("left") == hops - hop).select(F.col("id").alias("dst"))
+                used = F.exists(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: (F.element_at("nodes", i) == F.col("src")) & (F.element_at("nodes", i + 1) == F.col("dst"))) if hop > 1 else F.lit(False)
+                frontier = frontier.join(steps, frontier.last == steps.src).join(target, "dst", "left_semi").where(~used).select(F.array_append("nodes", F.col("dst")).alias("nodes"), F.col("dst").alias("last"))
+            if hop < hops:
+                seen.append(Observation())
+                frontier = frontier.observe(seen[-1], F.count(F.lit(1)).alias("n")).orderBy("nodes").limit(width)
+        found = cut(frontier.where(F.element_at("nodes", 1) != F.col("last")).orderBy("nodes").limit(limit).select("nodes", F.lit(hops).alias("depth")))
+        if found.count() == limit or all(o.get["n"] <= width for o in seen):
+            return found
+        width *= WIDER
+
+
 def flows(edges: DataFrame, starts: DataFrame, depth: int = 10, limit: int = 5, backward: bool = False) -> DataFrame:
-    """The longest trails to a node without outgoing calls (backward: from one without incoming calls): steps and depth."""
-    steps = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else edges
-    found = paths(steps, starts, depth)
-    ends = found.join(steps.select(F.col("src").alias("last")).distinct(), "last", "left_anti").where(F.element_at("nodes", 1) != F.col("last"))
-    nodes = F.reverse("nodes") if backward else F.col("nodes")
-    return ends.select(nodes.alias("steps"), "depth").orderBy(F.desc("depth"), "steps").limit(limit)
+    """The longest trails (no edge twice, at most ``depth`` hops) from the starts to nodes without outgoing calls, the first by their nodes on ties: steps and depth.
+
+    Backward: the longest to the starts from nodes without incoming calls.  The
+    trails aren't all made: lengths are tried from the longest down, each
+    building only what can still be among its first ones (``_first_trails``).
+    """
+    steps = cut(edges.select("src", "dst").distinct())
+    bound = lambda c, other: steps.select(F.col(c).alias("id")).distinct().join(steps.select(F.col(other).alias("id")), "id", "left_anti")
+    own = starts.select("id").distinct()
+    first, last = (cut(bound("src", "dst")), own) if backward else (own, cut(bound("dst", "src")))
+    reaching = _reaching(steps, last, depth)
+    # Where no walk of a length starts, no trail does.
+    lengths = [r.left for r in reaching.where("left > 0").join(first, "id", "left_semi").select("left").distinct().orderBy(F.desc("left")).collect()]
+    found, missing = [], limit
+    for hops in lengths:
+        trails = _first_trails(steps, first, reaching, hops, missing)
+        found.append(trails)
+        missing -= trails.count()
+        if missing <= 0:
+            break
+    if not found:
+        return steps.select(F.array("src").alias("steps"), F.lit(0).alias("depth")).limit(0)
+    return reduce(DataFrame.unionByName, found).select(F.col("nodes").alias("steps"), "depth").orderBy(F.desc("depth"), "steps").limit(limit)
 
 
 def entry_points(functions: DataFrame, edges: DataFrame, limit: int = 30, strict: bool = False) -> DataFrame:
@@ -105,7 +167,9 @@ def traces(edges: DataFrame, entries: DataFrame, fanout: int = 3, fetch: int = 1
     frontier being cut; only the order-dependent walk runs in Python, on the
     group of its entry, which fanout and depth bound.
     """
-    ranked = cut(edges.where("src <> dst").groupBy("src").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, fetch).alias("callees")))
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))  # a hub's callees are cut to the first ones before they are gathered
+    first = edges.where("src <> dst").select("src", "dst").distinct().withColumn("place", place).where(F.col("place") <= fetch)
+    ranked = cut(first.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("callees")))
     frontier = cut(entries.select(F.col("id").alias("entry"), F.col("id").alias("node")))
     seen = frontier
     for _ in range(depth):

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalar as S
 from quillgraph.operators import analytics as A
-from quillgraph.operators import build, community, context, linkage, resolve, search, symbols, traverse
+from quillgraph.operators import build, community, context, indexes, linkage, resolve, search, symbols, traverse
+from quillgraph.operators.lineage import cut
 from quillgraph.parse import parser
 from quillgraph.plans.fixtures import Views
 from quillgraph.plans.oracles import using
 from quillgraph.schemas import MECHANISMS
 from quillgraph.sources import files as source_files
-from quillgraph.sources import git, stores
+from quillgraph.sources import changes, git, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +67,46 @@ def _(v):
     return source_files.mark_changed(docs, index).select("path", "n_chars", "changed")
 
 
+_LINES = "SELECT l_suppkey AS service, l_partkey AS path, l_orderkey * 10 + l_linenumber AS seq, l_returnflag = 'R' AS gone, l_quantity AS quantity, l_shipdate AS shipped FROM lineitem"
+
+
+@query("s04_log_replay", f"SELECT service, path, quantity, shipped FROM (SELECT * FROM ({_LINES}) QUALIFY row_number() OVER (PARTITION BY service, path ORDER BY seq DESC) = 1) WHERE NOT gone")
+def _(v):
+    lines = v.table("lineitem").select(F.col("l_suppkey").alias("service"), F.col("l_partkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), (F.col("l_returnflag") == "R").alias("gone"), F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("shipped"))
+    return changes.newest(lines, ["service", "path"], "at", "gone")
+
+
+# Five states of a graph: customers' links to priorities by the orders of a year and the next.
+_STATES = "SELECT DISTINCT y - 1995 AS sequence, o_orderpriority AS label, o_custkey::VARCHAR AS id, o_orderstatus AS detail FROM orders, (VALUES (1995), (1996), (1997), (1998), (1999)) t(y) WHERE year(o_orderdate) IN (y, y + 1)"
+
+
+def _history(v: Views) -> DataFrame:
+    orders = v.table("orders").select(F.year("o_orderdate").alias("y"), F.lit("s").alias("service"), F.lit("edge").alias("kind"), F.col("o_orderpriority").alias("label"), F.col("o_custkey").cast("string").alias("id"), F.col("o_orderstatus").alias("detail"))
+    history = v.spark.createDataFrame(v.spark.sparkContext.emptyRDD(), changes.HISTORY)
+    for k, year in enumerate(range(1995, 2000)):
+        facts = orders.where(F.col("y").isin(year, year + 1)).select(*changes.FACT).distinct()
+        new = changes.advance(history, facts, k)
+        history = cut(history.join(new.select(*changes.FACT, "opened"), [*changes.FACT, "opened"], "left_anti").select(*new.columns).unionByName(new))
+    return history
+
+
+@query("s26_history_intervals", f"WITH s AS ({_STATES}), runs AS (SELECT *, sequence - row_number() OVER (PARTITION BY label, id, detail ORDER BY sequence) AS run FROM s) SELECT label, id, detail, min(sequence)::BIGINT AS opened, CASE WHEN max(sequence) < 4 THEN max(sequence) + 1 END::BIGINT AS closed FROM runs GROUP BY label, id, detail, run")
+def _(v):
+    return _history(v).select("label", "id", "detail", "opened", "closed")
+
+
+@query("u02_history_deltas", f"WITH s AS ({_STATES}), n AS (SELECT sequence, label, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT a.sequence AS before, b.sequence AS after, l.label FROM range(5) a(sequence), range(5) b(sequence), (SELECT DISTINCT label FROM s) l) SELECT before::BIGINT AS before, after::BIGINT AS after, p.label, (coalesce(y.n, 0) - coalesce(x.n, 0))::BIGINT AS delta FROM p LEFT JOIN n x ON x.sequence = before AND x.label = p.label LEFT JOIN n y ON y.sequence = after AND y.label = p.label WHERE coalesce(y.n, 0) <> coalesce(x.n, 0)")
+def _(v):
+    pairs = v.spark.createDataFrame([("s", a, b) for a in range(5) for b in range(5)], "service string, before long, after long")
+    return changes.count_differences(changes.differences(_history(v), pairs)).select("before", "after", "label", F.col("delta").cast("long").alias("delta"))
+
+
+@query("u03_history_drift", f"WITH s AS ({_STATES}) SELECT 'removed' AS change, label, id, detail FROM (SELECT label, id, detail FROM s WHERE sequence = 1 EXCEPT SELECT label, id, detail FROM s WHERE sequence = 3) UNION ALL SELECT 'added', label, id, detail FROM (SELECT label, id, detail FROM s WHERE sequence = 3 EXCEPT SELECT label, id, detail FROM s WHERE sequence = 1)")
+def _(v):
+    pair = v.spark.createDataFrame([("s", 1, 3)], "service string, before long, after long")
+    return changes.differences(_history(v), pair).select("change", "label", "id", "detail")
+
+
 @query("s03_deleted_files", "SELECT doc_id AS path FROM documents WHERE lang = 'de'")
 def _(v):
     docs = v.table("documents").select(F.col("doc_id").alias("path"), "lang")
@@ -100,6 +141,25 @@ def _(v):
     return _near(v, 10, "cosine").select("id", "distance")
 
 
+_ALL_NEAR = "SELECT query, id, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM (SELECT q.vec_id AS query, v.vec_id AS id, {distance} AS distance FROM embeddings q, embeddings v)) WHERE rank <= 10"
+
+
+def _all_near(v: Views, metric: str) -> DataFrame:
+    """Every chunk as a query, over an index of all."""
+    index = indexes.index_vectors(v.chunks(), metric=metric)
+    return indexes.search_vectors(index, v.chunks().select(F.col("id").alias("query"), F.col("embedding").alias("point")), 10)
+
+
+@query("s14_vector_index", _ALL_NEAR.format(distance="round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6)"))
+def _(v):
+    return _all_near(v, "l2")
+
+
+@query("k01_vector_index_cosine", _ALL_NEAR.format(distance="round(greatest(0, 1 - list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6)"))
+def _(v):
+    return _all_near(v, "cosine")
+
+
 @query("s16_delete_chunks", "SELECT vec_id AS id, label FROM embeddings WHERE label <> 3")
 def _(v):
     return stores.delete_by_ids(v.chunks(), v.chunks().where("label = 3").select("id")).select("id", "label")
@@ -151,6 +211,12 @@ def _(v):
     return search.keyword(v.keyword_nodes(), "License", 20).select("id", "label", "document")
 
 
+@query("p01_keyword_postings", using("kw", sql=_KW))
+def _(v):
+    nodes = v.keyword_nodes()
+    return search.keyword(nodes, "License", 20, indexes.postings(nodes, search.NODE, search.TEXTS)).select("id", "label", "document")
+
+
 @query("p04_match_symbols", using("kw", sql="SELECT name, file, service FROM kw WHERE contains(name, 'src1_1') AND service = 'src1' ORDER BY name, file, service LIMIT 10"))
 def _(v):
     return search.match_symbols(v.keyword_nodes(), "src1_1", "src1", 10).select("name", "file", "service")
@@ -363,14 +429,14 @@ def _(v):
     return traverse.reachable(v.calls(), ids(v, 42), 4)
 
 
-@query("g02_forward_flows", using("calls", sql=_TRAILS.format(edges="calls", start=42, depth=5) + "SELECT nodes AS steps, depth FROM t WHERE last NOT IN (SELECT src FROM calls) AND last <> 42 ORDER BY depth DESC, steps LIMIT 5"))
+@query("g02_forward_flows", using("calls", sql=_TRAILS.format(edges="calls", start=42, depth=10) + "SELECT nodes AS steps, depth FROM t WHERE last NOT IN (SELECT src FROM calls) AND last <> 42 ORDER BY depth DESC, steps LIMIT 5"))
 def _(v):
-    return traverse.flows(v.calls(), ids(v, 42), 5)
+    return traverse.flows(v.calls(), ids(v, 42))
 
 
-@query("g03_backward_flows", using("calls", sql=_TRAILS.format(edges="(SELECT dst AS src, src AS dst FROM calls)", start=42, depth=5) + "SELECT list_reverse(nodes) AS steps, depth FROM t WHERE last NOT IN (SELECT dst FROM calls) AND last <> 42 ORDER BY depth DESC, list_reverse(nodes) LIMIT 5"))
+@query("g03_backward_flows", using("calls", sql=_TRAILS.format(edges="(SELECT dst AS src, src AS dst FROM calls)", start=42, depth=10) + "SELECT list_reverse(nodes) AS steps, depth FROM t WHERE last NOT IN (SELECT dst FROM calls) AND last <> 42 ORDER BY depth DESC, list_reverse(nodes) LIMIT 5"))
 def _(v):
-    return traverse.flows(v.calls(), ids(v, 42), 5, backward=True)
+    return traverse.flows(v.calls(), ids(v, 42), backward=True)
 
 
 @query("g04_entry_points", using("fn", "deg_in", "deg_out", sql="SELECT id, greatest(coalesce(blast_radius, 0), 1) AS outgoing, greatest(coalesce(fan_in, 0), 1) AS incoming, greatest(coalesce(blast_radius, 0), 1) - 0.5::DOUBLE * greatest(coalesce(fan_in, 0), 1) AS score FROM fn LEFT JOIN deg_in USING (id) LEFT JOIN deg_out USING (id) WHERE greatest(coalesce(fan_in, 0), 1) <= 1 ORDER BY score DESC, id LIMIT 30"))
@@ -610,10 +676,11 @@ def _(v):
     return v.table("lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("kind")).agg(F.min("l_partkey").alias("first"))
 
 
-@query("w04_budget_prefix", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank, ceil(length(text) / 4)::BIGINT AS tokens FROM documents QUALIFY rank <= 16), u AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM r) SELECT doc_id, rank::INT AS rank, tokens, used::BIGINT AS used FROM u WHERE used <= 400 AND rank <= 8")
+@query("w04_budget_prefix", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank, ceil(length(text) / 4)::BIGINT AS tokens FROM documents), u AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY rank) AS used FROM r) SELECT source, doc_id, rank::INT AS rank, tokens, used::BIGINT AS used FROM u WHERE used <= 400 AND rank <= 8")
 def _(v):
-    docs = v.table("documents").select("doc_id", F.col("text").alias("document"), "n_chars").orderBy("n_chars", "doc_id").limit(16)
-    return context.budget_prefix(search.ranked(docs, [F.col("n_chars"), F.col("doc_id")]), 400).select("doc_id", "rank", F.col("tokens").cast("long").alias("tokens"), F.col("used").cast("long").alias("used"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id"))
+    docs = v.table("documents").select("source", "doc_id", F.col("text").alias("document"), rank.alias("rank"))
+    return context.budget_prefix(docs, 400, by=("source",)).select("source", "doc_id", "rank", F.col("tokens").cast("long").alias("tokens"), F.col("used").cast("long").alias("used"))
 
 
 @query("w05_snippet_lines", "WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), u AS (SELECT file, line, sum(ceil((length(text) + 1) / 4)) OVER (PARTITION BY file ORDER BY line) AS used FROM l WHERE line BETWEEN 2 AND 81) SELECT file, line::INT AS line, used::BIGINT AS used FROM u WHERE used <= 200")

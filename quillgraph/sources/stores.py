@@ -1,80 +1,13 @@
-"""Tables kept between runs, and in-memory ones."""
+"""Chunks, hits and promoted patterns: appends, upserts and deletes by id."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scalar import slug
 
 
-class TableStore:
-    """A Parquet table replaced as a whole: a reader or a crash in between sees the old rows.
-
-    Each version is a folder of its own that is never changed; the small file
-    that names it is made last, and the newest name counts.  The version
-    before the newest is kept for those who still read it.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
-
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _versions(self) -> list[str]:
-        """Names (number and folder) of the published versions, oldest first."""
-        fs, names = self._fs(), self._path("versions")
-        return sorted(x.getPath().getName() for x in fs.listStatus(names)) if fs.exists(names) else []
-
-    def exists(self) -> bool:
-        return bool(self._versions())
-
-    def load(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{versions[-1]}")
-
-    def replace(self, rows: DataFrame) -> None:
-        versions = self._versions()
-        number = int(versions[-1].split("-")[0]) + 1 if versions else 0
-        name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.path}/data/{name}")
-        fs = self._fs()
-        fs.create(self._path("versions", name), False).close()
-        for old in versions[:-1]:
-            fs.delete(self._path("versions", old), False)
-            fs.delete(self._path("data", old), True)
-
-    def get(self, column: str, value: str) -> DataFrame:
-        return self.load().where(F.col(column) == value)
-
-
-class MemoryStore:
-    """The same surface over a temporary view."""
-
-    def __init__(self, spark: SparkSession, schema: str):
-        self.spark, self.rows = spark, spark.createDataFrame([], schema)
-
-    def exists(self) -> bool:
-        return True
-
-    def load(self) -> DataFrame:
-        return self.rows
-
-    def replace(self, rows: DataFrame) -> None:
-        self.rows = rows
-
-    def get(self, column: str, value: str) -> DataFrame:
-        return self.rows.where(F.col(column) == value)
-
-
 def append_events(events: DataFrame, path: str) -> None:
     """Append query events, by day."""
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)

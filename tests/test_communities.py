@@ -1,4 +1,4 @@
-"""Louvain against a plain version that recomputes the modularity by its definition for every move."""
+"""Louvain against a plain version that recomputes the modularity by its definition for every move; the distributed way against that by modularity."""
 
 import os
 import random
@@ -63,15 +63,17 @@ def test_random_graphs(seed):
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 def test_registered_query(spark):
-    pairs, expected = {}, {}
+    pairs = {}
     for r in community.undirected(Views(spark, DIR).service_calls()).collect():
         pairs.setdefault(r.service, []).append((r.a, r.b, r.weight))
-    for service, links in pairs.items():
-        if len(links) >= community.MIN_EDGES:
-            expected[service] = brute(sorted(links))
-    got = {}
+    got, counts = {}, {}
     for r in __spark_entry__.queries()["g07_communities"](spark, DIR).collect():
         got.setdefault(r.service, {})[r.node] = r.community
-    assert expected and {s: parts(x) for s, x in got.items()} == expected
-    sizes = sorted(r.member_count for r in __spark_entry__.queries()["g08_community_nodes"](spark, DIR).collect())
-    assert sizes == sorted(len(g) for groups in expected.values() for g in groups)
+        counts[r.service, r.community] = counts.get((r.service, r.community), 0) + 1
+    large = {s: sorted(links) for s, links in pairs.items() if len(links) >= community.MIN_EDGES}
+    assert large and set(got) == set(large)
+    for service, links in large.items():
+        assert set(got[service]) == {x for a, b, _ in links for x in (a, b)}
+        assert community.modularity(links, got[service]) >= 0.99 * community.modularity(links, community.louvain(links)), service
+    members = spark.createDataFrame([(s, n, c) for s, x in got.items() for n, c in x.items()], "service string, node long, community string")
+    assert {(r.service, r.name): r.member_count for r in community.community_nodes(members).collect()} == counts

@@ -11,7 +11,7 @@ from quillgraph.api import KnowledgeBase
 from quillgraph.functions.scalar import normalize_path, route_score
 from quillgraph.operators import analytics, build, community, context, linkage, resolve, traverse
 from quillgraph.sources import files as source_files
-from quillgraph.sources import git, stores
+from quillgraph.sources import changes, git, stores
 from quillgraph.streaming import query_log
 
 TREE = {
@@ -137,16 +137,16 @@ def test_context_pack(kb):
 
 def test_incremental_index(spark, tree, tmp_path):
     files = source_files.scan(spark, str(tree), "shop")
-    store = stores.TableStore(spark, str(tmp_path / "index"), source_files.INDEX_SCHEMA)
-    assert store.load().count() == 0
-    store.replace(files.select("path", "content_hash", F.lit(None).cast("string").alias("last_commit"), F.current_timestamp().alias("indexed_at")))
+    store = changes.ChangeLog(spark, str(tmp_path / "index"), source_files.SERVICE_INDEX_SCHEMA, ["service", "path"])
+    assert store.load().count() == 0 and not store.exists()
+    store.apply(files.select("service", "path", "content_hash", F.lit(None).cast("string").alias("last_commit"), F.current_timestamp().alias("indexed_at")))
     assert source_files.mark_changed(files, store.load()).where("changed").count() == 0
     assert source_files.mark_changed(files, store.load(), force=True).where("changed").count() == 5
-    store.replace(spark.createDataFrame([("gone.py", "x", None, None)], source_files.INDEX_SCHEMA))
+    store.apply(spark.createDataFrame([("shop", "gone.py", "x", None, None)], source_files.SERVICE_INDEX_SCHEMA), files.select("service", "path"))
     assert source_files.mark_changed(files, store.load()).where("changed").count() == 5
     assert rows(source_files.deleted(files, store.load()), "path") == {"gone.py"}
-    memory = stores.MemoryStore(spark, source_files.INDEX_SCHEMA)
-    memory.replace(store.load())
+    memory = changes.MemoryChanges(spark, source_files.SERVICE_INDEX_SCHEMA, ["service", "path"])
+    memory.apply(store.load())
     assert memory.get("path", "gone.py").count() == 1
 
 

@@ -1,13 +1,13 @@
 """Several services, incremental syncs, kept tables, hooks."""
 
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import sync
 from quillgraph.api import KnowledgeBase
-from quillgraph.sources import stores
 from quillgraph.tasks import TaskStore
 
 SHOP = {"app.py": "def sell(n):\n    requests.get('http://stock/items/7')\n    producer.produce('orders', n)\n\ndef old():\n    sell(1)\n", "more.py": "class Till(Base):\n    def ring(self):\n        sell(2)\n"}
@@ -89,17 +89,75 @@ def test_a_failed_sync_leaves_the_index(spark, tmp_path, monkeypatch):
     assert kb.sync(root, "shop")["phases"]["filesystem"]["changed"] == 2
 
 
-def test_a_reader_keeps_its_version(spark, tmp_path):
-    store = stores.TableStore(spark, str(tmp_path / "t"), "a long")
-    assert not store.exists() and store.load().isEmpty()
-    store.replace(spark.range(3).toDF("a"))
-    held = store.load()
-    store.replace(held.where("a > 0"))
-    assert held.count() == 3 and store.load().count() == 2
-    spark.range(9).toDF("a").write.parquet(str(tmp_path / "t/data/000000000009-lost"))  # a writer that died before it published
-    assert store.load().count() == 2
-    store.replace(spark.range(5).toDF("a"))
-    assert store.load().count() == 5 and len(list((tmp_path / "t/versions").glob("0*"))) == 2
+def test_start_sync_returns_at_once(spark, tmp_path):
+    kb = KnowledgeBase(spark)
+    root = write(tmp_path / "a", SHOP)
+    job = kb.start_sync(root, "shop")
+    assert job["status"] == "running" and kb.job_status(job["job"])[0]["job"] == job["job"]
+    deadline = time.time() + 120
+    while kb.job_status(job["job"])[0]["status"] == "running" and time.time() < deadline:
+        time.sleep(0.5)
+    assert kb.job_status(job["job"])[0]["status"] == "done" and kb.tables["functions"].count() == 3
+    bad = kb.start_sync(str(tmp_path / "missing"), "none")
+    while kb.job_status(bad["job"])[0]["status"] == "running" and time.time() < deadline:
+        time.sleep(0.5)
+    assert kb.job_status(bad["job"])[0]["status"] == "error"
+
+
+def test_what_a_sync_writes_follows_the_change(spark, tmp_path):
+    """One changed file of a small service writes as much beside a large service as alone."""
+
+    def size(folder):
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    def written(name, others):
+        root, folder = tmp_path / name, tmp_path / f"kept-{name}"
+        kb = KnowledgeBase(spark, str(folder))
+        if others:
+            kb.sync(write(tmp_path / f"{name}-big", {f"m{i}.py": f"def f{i}():\n    g{i}({i})\n" * 300 for i in range(40)}), "big")
+        kb.sync(write(root, SHOP), "shop")
+        before = size(folder)
+        write(root, {"app.py": SHOP["app.py"].replace("old", "renamed")})
+        kb.sync(str(root), "shop")
+        return size(folder) - before, before
+
+    alone, _ = written("alone", False)
+    beside, held = written("beside", True)
+    assert held > 3 * beside and beside < 1.2 * alone
+
+
+def test_history_compares_any_two_syncs(spark, tmp_path):
+    root, kb = tmp_path / "a", KnowledgeBase(spark, str(tmp_path / "kept"))
+    states = [SHOP, SHOP | {"new.py": "def fresh():\n    sell(1)\n"}, {"more.py": SHOP["more.py"]}, SHOP, SHOP]
+    copies = []
+    for files in states:
+        for p in root.glob("*.py"):
+            p.unlink()
+        kb.sync(write(root, files), "shop")
+        copies.append({tuple(r) for r in kb.facts("shop").collect()})
+    assert [r.sequence for r in kb.commits.load().orderBy("sequence").collect()] == [0, 1, 2, 3, 4]
+    again = KnowledgeBase(spark, str(tmp_path / "kept"))
+    for a, b in ((0, 1), (0, 2), (2, 3), (0, 3), (3, 4), (4, 1)):
+        found = again.changes_between("shop", a, b)
+        got = {(r.change, r.service, r.kind, r.label, r.id, r.detail) for r in found["facts"].collect()}
+        assert got == {("added", *x) for x in copies[b] - copies[a]} | {("removed", *x) for x in copies[a] - copies[b]}, (a, b)
+        counts = {}
+        for sign, copy in ((1, copies[b]), (-1, copies[a])):
+            for x in copy:
+                counts[x[1], x[2]] = counts.get((x[1], x[2]), 0) + sign
+        assert {(r.kind, r.label): r.delta for r in found["count_deltas"].collect()} == {k: n for k, n in counts.items() if n}
+    assert again.history.load().where("opened = 4 OR closed = 4").isEmpty()  # nothing changed, nothing written
+
+
+def test_reviews_and_jobs_outlive_the_session(spark, tmp_path):
+    folder = str(tmp_path / "kept")
+    kb = KnowledgeBase(spark, folder)
+    kb.sync(write(tmp_path / "a", {"jobs.py": "def beat():\n    app.task('x')\n"}), "shop")
+    kb.tables["candidates"] = spark.createDataFrame([("shop::f::p", "shop", "f", 1, "p", "c", 0.5, "pending", None)], "id string, service string, file string, line int, pattern string, raw_code string, confidence double, status string, detected_at timestamp")
+    assert kb.review("shop::f::p", "approved", "kafka_produce") and kb.review("shop::f::p", "rejected", reason="noise")
+    again = KnowledgeBase(spark, folder)
+    assert [tuple(r) for r in again.reviews.load().collect()] == [("shop", "shop::f::p", "rejected", None, "noise")]
+    assert again.job_status()[0]["status"] == "done" and again.job_status()[0]["service"] == "shop"
 
 
 def test_review_survives_a_sync(spark, tmp_path):
