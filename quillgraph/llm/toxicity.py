@@ -14,11 +14,14 @@ collected; documents whose crc32(doc_id) mod 5 is 0 are held out.  Rare words
 would be learned by heart, so parameters go to two kinds of terms only, found
 on the sample: those that at least ``MIN_TERM_ROWS`` documents have and whose
 toxic share stands out by ``MIN_Z`` standard errors; and those that may say
-nothing alone, but are one of a pair that interacts.  For the latter, all pairs
-of the ``PAIR_TERMS`` most frequent terms are held against an additive model:
-the log odds ratio of one term with the other present against that with it
-absent, which has to depart from 1 by ``MIN_PAIR_Z`` standard errors.  Every
-document is scored, over its whole text.
+nothing alone, but are one of a pair that interacts.  For the latter, pairs are
+held against an additive model: the log odds ratio of one term with the other
+present against that with it absent, which has to depart from 1 by
+``MIN_PAIR_Z`` standard errors, and more where very many pairs are tried.  This
+is done for the ``PAIR_TERMS`` most frequent terms over the whole sample, and
+for all terms in at least ``MIN_PAIR_ROWS`` documents over as many different
+documents of it as ``PAIR_WORK`` allows.  Every document is scored, over its
+whole text.
 
 Defined cases: a null or empty text has no terms and gets the score of the
 bias alone; a null doc_id counts as the empty text, is held out and can't be
@@ -30,6 +33,7 @@ share of toxic labels.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +52,10 @@ MIN_TERM_ROWS = 3
 MIN_Z = 4.0
 PAIR_TERMS = 1024
 MIN_PAIR_ROWS = 20
-#: There are half a million pairs: by chance a pair in three million is this far off.
-MIN_PAIR_Z = 5.0
+#: A pair interacts if it is off by this many standard errors at least, and by so many that of all pairs tried one is off by chance in ``PAIR_CHANCE`` cases.
+MIN_PAIR_Z, PAIR_CHANCE = 5.0, 0.05
+#: Bound of the sample for pairs: the rows' numbers of terms, squared, come to no more.
+PAIR_WORK = 2e9
 EPOCHS = 20
 SEED = 17
 TERM = tk.byte_table(b"abcdefghijklmnopqrstuvwxyz0123456789") | (np.arange(256) >= 128)
@@ -95,7 +101,7 @@ def informative(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int)
     return (count >= MIN_TERM_ROWS) & (np.abs(excess) >= MIN_Z * np.sqrt(np.maximum(count, 1) * share * (1 - share)))
 
 
-def interacting(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int, rows_each: int = 2048, terms_each: int = 128) -> np.ndarray:
+def interacting_frequent(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int, rows_each: int = 2048, terms_each: int = 128) -> np.ndarray:
     """Terms, of the ``PAIR_TERMS`` most frequent, that form a pair whose toxic share no sum of two weights explains."""
     out = np.zeros(1 << bits, bool)
     count = np.bincount(term, minlength=1 << bits)
@@ -126,6 +132,68 @@ def interacting(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int,
     return out
 
 
+def interacting(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int, terms_each: int = 32) -> np.ndarray:
+    """Terms of any frequency of which a pair has a toxic share that no sum of two weights explains.
+
+    All terms in ``MIN_PAIR_ROWS`` rows and more are met with all: for a block of
+    terms at a time, rows with both are counted by summing the block's rows over
+    the lists of the rows' terms.  Rows are those of ``told_apart``.
+    """
+    out = np.zeros(1 << bits, bool)
+    row, term, toxic = told_apart(row, term, toxic)
+    count = np.bincount(term, minlength=1 << bits)
+    chosen = np.flatnonzero((count >= MIN_PAIR_ROWS) & (count <= len(toxic) - MIN_PAIR_ROWS))
+    place = np.full(1 << bits, -1)
+    place[chosen] = np.arange(len(chosen))
+    at = place[term]
+    row, at = row[at >= 0], at[at >= 0]
+    terms = len(chosen)
+    index = np.searchsorted(row, np.arange(len(toxic) + 1))
+    single, single_toxic = np.bincount(at, minlength=terms).astype(float), np.bincount(at, toxic[row], terms)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(terms + 1))
+    for low in range(0, terms, terms_each):
+        high = min(low + terms_each, terms)
+        n, t = (np.zeros((high - low, terms)) for _ in range(2))
+        for k in range(low, high):
+            rows = row[order[ends[k] : ends[k + 1]]]
+            size = index[rows + 1] - index[rows]
+            others = at[np.repeat(index[rows] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+            n[k - low] = np.bincount(others, minlength=terms)
+            t[k - low] = np.bincount(others, np.repeat(toxic[rows], size), terms)
+        ni, ti, nj, tj = single[low:high, None], single_toxic[low:high, None], single[None], single_toxic[None]
+        cells = [(1, n, t), (-1, ni - n, ti - t), (-1, nj - n, tj - t), (1, len(toxic) - ni - nj + n, toxic.sum() - ti - tj + t)]
+        contrast = sum(sign * (np.log(x + 0.5) - np.log(m - x + 0.5)) for sign, m, x in cells)
+        error = np.sqrt(sum(1 / (x + 0.5) + 1 / (m - x + 0.5) for _, m, x in cells))
+        strong = np.abs(contrast) >= least_pair_z(terms) * error
+        strong[np.arange(high - low), np.arange(low, high)] = False
+        out[chosen[low:high][strong.any(axis=1)]] = True
+    return out
+
+
+def told_apart(row: np.ndarray, term: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of each set of terms and label (copies are no further evidence), in order, as many as ``PAIR_WORK`` lets meet."""
+    size = np.bincount(row, minlength=len(toxic))
+    mark = np.zeros(len(toxic), np.uint64)
+    np.add.at(mark, row, tk.mix((term.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+    _, first = np.unique(mark * np.uint64(2) + toxic.astype(np.uint64), return_index=True)
+    first.sort()
+    first = first[np.cumsum(size[first].astype(float) ** 2) <= PAIR_WORK]
+    number = np.full(len(toxic), -1)
+    number[first] = np.arange(len(first))
+    kept = number[row] >= 0
+    return number[row[kept]], term[kept], toxic[first]
+
+
+def least_pair_z(terms: int) -> float:
+    """Standard errors that none of all pairs of so many terms is off by chance, in ``PAIR_CHANCE`` cases: the normal law's tail, by its bound."""
+    pairs = max(1, terms * (terms - 1) // 2)
+    z = MIN_PAIR_Z
+    while pairs * math.exp(-z * z / 2) / (z * math.sqrt(math.pi / 2)) > PAIR_CHANCE:
+        z += 0.05
+    return z
+
+
 def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 2e-4, batch: int = 128) -> Machine:
     """AdaGrad on the log loss; (row, term) pairs ascend by row.  The result depends on the arguments only."""
     rows, rng = len(toxic), np.random.default_rng(SEED)
@@ -134,7 +202,7 @@ def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, bits: int = BITS,
     machine = Machine(float(np.log(share / (1 - share))), weights, factors)
     if not rows or toxic.all() or not toxic.any():
         return machine
-    seen = informative(row, term, toxic, bits) | interacting(row, term, toxic, bits)
+    seen = informative(row, term, toxic, bits) | interacting_frequent(row, term, toxic, bits) | interacting(row, term, toxic, bits)
     factors[seen] = rng.normal(0, 0.01, (int(seen.sum()), FACTORS))
     kept = seen[term]
     row, term = row[kept], term[kept]
