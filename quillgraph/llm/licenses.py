@@ -10,7 +10,11 @@ the file's places by relative position, that is, votes are counted for each (tem
 alignment with enough votes the share of the template's words found at their
 places (up to ``SLACK`` words off) is its score; it is a match from
 ``MIN_SCORE`` on, if the template's mandatory key phrases stand in the
-aligned span.  A match inside a longer one of another license is part of that.
+aligned span.  Alignments of a template that are up to twice ``GAP`` words
+apart are chained: words inserted into a notice, or left out, move what
+follows, and the share is that of words found in order, less ``STEP`` for each
+place moved; phrases may then have as many words in between.  A match inside a
+longer one of another license is part of that.
 
 The base rules are three phrases found as consecutive words; their labels
 always stay.
@@ -37,6 +41,10 @@ INDEX_WORDS = 16
 MIN_VOTES = 3
 MIN_SCORE = 0.6
 SLACK = 3
+#: Words that an insertion can have, the least score of a notice with insertions, and what each inserted or missing word takes off, in words.
+GAP, MIN_CHAIN, STEP = 12, 0.75, 0.25
+#: Share of a template's indexed places that must be met for a chain.
+CHAIN_VOTES = 0.6
 WORD = tk.byte_table(b"abcdefghijklmnopqrstuvwxyz0123456789") | (np.arange(256) >= 128)
 
 #: Phrases of the base rules and their labels.
@@ -188,6 +196,7 @@ class Index:
     template: np.ndarray
     place: np.ndarray
     needed: np.ndarray
+    places: np.ndarray
 
 
 def build_index(templates: list, known: np.ndarray, documents: int, frequency: np.ndarray) -> Index:
@@ -195,16 +204,17 @@ def build_index(templates: list, known: np.ndarray, documents: int, frequency: n
     idf = np.log((1 + documents) / (1 + frequency))
     rank = np.empty(len(known), np.int64)
     rank[np.lexsort((known, -idf))] = np.arange(len(known))
-    postings, needed = [], []
+    postings, needed, indexed = [], [], []
     for t, sequence in enumerate(words):
         at = np.searchsorted(known, sequence)
         rare = np.unique(at)[np.argsort(rank[np.unique(at)])][:INDEX_WORDS]
         places = np.flatnonzero(np.isin(at, rare))
         postings += [(at[q], t, q) for q in places]
         needed.append(min(MIN_VOTES, len(places)))
+        indexed.append(len(places))
     postings.sort()
     word, template, place = (np.array(x, np.int64) for x in zip(*postings, strict=True))
-    return Index([x for x, _, _ in templates], words, [[hashed(p) for p in ps] for _, _, ps in templates], known, np.searchsorted(word, np.arange(len(known) + 1)), template, place, np.array(needed))
+    return Index([x for x, _, _ in templates], words, [[hashed(p) for p in ps] for _, _, ps in templates], known, np.searchsorted(word, np.arange(len(known) + 1)), template, place, np.array(needed), np.array(indexed))
 
 
 def contains(word: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -218,7 +228,11 @@ def contains(word: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 def alignments(word: np.ndarray, index: np.ndarray, ix: Index) -> np.ndarray:
-    """Distinct (row, template, place in the chunk where it begins) with enough votes."""
+    """Distinct (row, template, first and last place in the chunk where it would begin) with enough votes.
+
+    Places of one template that are up to twice ``GAP`` words apart are one
+    alignment too: words inserted into a notice move the rest of it on.
+    """
     at = member(word, ix.known)
     hit = np.flatnonzero((at >= 0) & (ix.first[at + 1] > ix.first[at]))
     at, row = at[hit], tk.owners(index)[hit]
@@ -226,14 +240,31 @@ def alignments(word: np.ndarray, index: np.ndarray, ix: Index) -> np.ndarray:
     which = np.repeat(np.arange(len(at)), size)
     p = np.repeat(ix.first[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(at) else np.zeros(0, np.int64)
     if not len(p):
-        return np.zeros((3, 0), np.int64)
+        return np.zeros((4, 0), np.int64)
     # Place in the chunk, so it can be negative or in another row's words; the row is kept beside it.
     begin = hit[which] - ix.place[p]
-    least, kinds = int(begin.min()), len(ix.labels)
-    wide = int(begin.max()) - least + 1
-    key, votes = np.unique((row[which] * wide + begin - least) * kinds + ix.template[p], return_counts=True)
-    key = key[votes >= ix.needed[key % kinds]]
-    return np.stack([key // kinds // wide, key % kinds, key // kinds % wide + least])
+    least, kinds = int(begin.min()) - 4 * GAP, len(ix.labels)
+    wide = int(begin.max()) - least + 1 + 4 * GAP
+    key, votes = np.unique((row[which] * kinds + ix.template[p]) * wide + begin - least, return_counts=True)
+    of, at = np.divmod(key, wide)
+    alone = votes >= ix.needed[of % kinds]
+    found = [np.stack([of[alone] // kinds, of[alone] % kinds, at[alone] + least, at[alone] + least])]
+    # Two tilings, so that places up to twice GAP apart are in one tile at least; CHAIN_VOTES of the template's indexed places must have a vote there.
+    owner, place = row[which] * kinds + ix.template[p], ix.place[p]
+    most = max(len(w) for w in ix.words)
+    for shift in (0, 2 * GAP):
+        tiles = (wide + shift) // (4 * GAP) + 1
+        voted = np.unique((owner * tiles + (begin - least + shift) // (4 * GAP)) * most + place) // most
+        tile, distinct = np.unique(voted, return_counts=True)
+        tile = tile[distinct >= np.maximum(ix.needed, CHAIN_VOTES * ix.places)[tile // tiles % kinds]]
+        mine = of * tiles + (at + shift) // (4 * GAP)
+        inside = np.flatnonzero(np.isin(mine, tile))
+        if len(inside):
+            starts = inside[np.r_[True, mine[inside[1:]] != mine[inside[:-1]]]]
+            ends = inside[np.r_[mine[inside[1:]] != mine[inside[:-1]], True]]
+            moved = at[ends] > at[starts]
+            found.append(np.stack([of[starts] // kinds, of[starts] % kinds, at[starts] + least, at[ends] + least])[:, moved])
+    return np.unique(np.concatenate(found, axis=1), axis=1)
 
 
 def score_alignment(word: np.ndarray, low: int, high: int, begin: int, template: int, ix: Index) -> float:
@@ -251,6 +282,52 @@ def score_alignment(word: np.ndarray, low: int, high: int, begin: int, template:
     return float(found.mean())
 
 
+def in_order(span: np.ndarray, phrase: np.ndarray, known: np.ndarray) -> bool:
+    """Whether the phrase's words follow each other in the span, with at most ``GAP`` words between two, none of them a word of any template.
+
+    A word that licenses use can make it another one (Lesser, NonCommercial).
+    """
+    unknown = member(span, known) < 0
+    ends = np.flatnonzero(span == phrase[0])
+    for x in phrase[1:]:
+        following = []
+        for end in ends.tolist():
+            at = end + 1
+            while at < len(span) and at - end <= GAP and unknown[at]:
+                at += 1
+            if at < len(span) and span[at] == x:
+                following.append(at)
+        ends = np.array(following, np.int64)
+    return bool(len(ends))
+
+
+def _chain(hits: np.ndarray) -> tuple[float, int]:
+    """Most words of a template found in order, and the column where it ends; hits has a row for each word and a column for each place where the template could begin.
+
+    A step on to a later column is an insertion, one back a word left out; each costs ``STEP`` of a word a column.
+    """
+    slope = STEP * np.arange(hits.shape[1])
+    best = np.zeros(hits.shape[1])
+    for found in hits:
+        best = best + found
+        best = np.maximum(np.maximum.accumulate(best + slope) - slope, np.maximum.accumulate((best - slope)[::-1])[::-1] + slope)
+    return float(best.max()), int(best.argmax())
+
+
+def score_chain(word: np.ndarray, low: int, high: int, first: int, last: int, template: int, ix: Index) -> tuple[float, int, int]:
+    """Share of the template's words found in order if it begins at a place first..last and is moved on by insertions, 0 if a mandatory phrase is missing; and the places that it spans."""
+    words = ix.words[template]
+    begins = np.arange(first - SLACK, last + SLACK + 1)
+    at = begins[None] + np.arange(len(words))[:, None]
+    hits = (at >= low) & (at < high) & (word[np.clip(at, low, high - 1)] == words[:, None])
+    found, end = _chain(hits)
+    start = hits.shape[1] - 1 - _chain(hits[::-1, ::-1])[1]
+    a, b = int(begins[start]), int(begins[end]) + len(words)
+    span = word[max(low, a - SLACK) : min(high, b + SLACK)]
+    share = found / len(words) if all(in_order(span, phrase, ix.known) for phrase in ix.phrases[template]) else 0.0
+    return share, a, b
+
+
 def outermost(matches: list[tuple[int, int, str]]) -> set[str]:
     """Labels of the matches (begin, end, label) that don't lie in a longer one of another label, as one license can quote a shorter one."""
     return {x for a, b, x in matches if not any(c <= a + SLACK and b - SLACK <= d and d - c > b - a and x != y for c, d, y in matches)}
@@ -275,11 +352,29 @@ def scan_batch(column: pa.Array, ix: Index) -> dict[str, list]:
                     base[r].add(label)
                     score[r] = max(score[r], BASE_SCORE)
         matches: dict[int, list[tuple[int, int, str]]] = {}
-        for r, template, begin in alignments(word, index, ix).T.tolist():
-            s = score_alignment(word, int(index[r]), int(index[r + 1]), begin, template, ix)
-            if s >= MIN_SCORE:
-                matches.setdefault(r, []).append((begin, begin + len(ix.words[template]), ix.labels[template]))
-                score[r] = max(score[r], s)
+        weighed: dict[int, list[tuple[int, int, str, float]]] = {}  # with the words found
+        chains: dict[int, list[tuple[int, int, str, float]]] = {}
+        aligned = alignments(word, index, ix).T.tolist()
+        for r, template, first, last in sorted(aligned, key=lambda x: x[2] != x[3]):  # single places before chains
+            low, high, label, size = int(index[r]), int(index[r + 1]), ix.labels[template], len(ix.words[template])
+            if first == last:
+                s = score_alignment(word, low, high, first, template, ix)
+                if s >= MIN_SCORE:
+                    matches.setdefault(r, []).append((first, first + size, label))
+                    weighed.setdefault(r, []).append((first, first + size, label, s * size))
+                    score[r] = max(score[r], s)
+            elif not any(y == label and first <= c <= last for c, _, y, _ in weighed.get(r, [])):
+                s, a, b = score_chain(word, low, high, first, last, template, ix)
+                if s >= MIN_CHAIN:
+                    chains.setdefault(r, []).append((a, b, label, s))
+                    weighed.setdefault(r, []).append((a, b, label, s * size))
+        for r, found in chains.items():
+            # Of what lies over the same words, the license with more of them is meant.
+            for a, b, label, s in found:
+                own = max(w for c, d, y, w in weighed[r] if (c, d, y) == (a, b, label))
+                if not any(y != label and min(b, d) - max(a, c) > (b - a) / 2 and w > own for c, d, y, w in weighed[r]):
+                    matches.setdefault(r, []).append((a, b, label))
+                    score[r] = max(score[r], s)
         for r, found in matches.items():
             more[r] = outermost(found)
         out["n_words"] += np.diff(index).tolist()

@@ -54,10 +54,15 @@ def test_against_every_place(spark, rows):
     rng = random.Random(6)
     filler = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.split()})
     texts = [r[1] for r in rows if len(r[1] or "") < 5000]
-    for _, text, _ in licenses.TEMPLATES:
+    planted: dict[int, set[str]] = {}  # a changed notice may be found by chaining though no single place holds it
+    for label, text, _ in licenses.TEMPLATES:
         texts += [text, text.upper(), f"{' '.join(rng.choices(filler, k=30))} {text} {' '.join(rng.choices(filler, k=30))}", changed(rng, text, 0.05)]
+        planted[len(texts) - 1] = {label}
     texts += [" ".join(rng.choices(filler, k=300)) for _ in range(5)]
-    texts += [" and ".join(changed(rng, rng.choice(licenses.TEMPLATES)[1], 0.03) for _ in range(3)) for _ in range(10)]
+    for _ in range(10):
+        chosen = [rng.choice(licenses.TEMPLATES)[:2] for _ in range(3)]
+        texts.append(" and ".join(changed(rng, text, 0.03) for _, text in chosen))
+        planted[len(texts) - 1] = {label for label, _ in chosen}
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     agree = 0
     for i, text in enumerate(texts):
@@ -66,8 +71,9 @@ def test_against_every_place(spark, rows):
         *counts, base = brute_base(words)
         assert [r.n_words, r.n_base, r.first_word, r.last_word] == counts and r.base_labels == ",".join(base)
         wanted = brute_labels(words) | set(base)
-        assert set(filter(None, r.labels.split(","))) <= wanted
-        agree += r.labels == ",".join(sorted(wanted))
+        found = set(filter(None, r.labels.split(",")))
+        assert found <= wanted | planted.get(i, set())
+        agree += found == wanted or wanted < found
     # Votes need three rare words at one alignment, so heavily changed notices may be missed.
     assert agree >= 0.97 * len(texts)
 
