@@ -89,9 +89,9 @@ class KnowledgeBase:
             raise
         finally:
             with self._lock:
-                self.running.remove(job)
                 row = (service, job["job"], job["status"], job["started"], datetime.now(UTC), job.get("error"), job.get("files"), job.get("functions"), job.get("edges"), job.get("summary"))
                 self.finished.apply(self.spark.createDataFrame([row], JOBS))
+                self.running.remove(job)
         return job
 
     def _sync(self, root: str, service: str, force: bool) -> dict:
@@ -402,11 +402,16 @@ class KnowledgeBase:
         found = workspace.detect(path)
         return self.sync(found.path, found.id, force)
 
-    def job_status(self, job: str | None = None) -> list[dict]:
+    @property
+    def jobs(self) -> list[dict]:
         """The newest jobs, running ones included; what ended is kept with the tables, the last ``KEPT_JOBS`` count."""
+        running = list(map(dict, self.running))  # before what is kept: a job is in one of the two at any time
         ended = [r.asDict() | {"started": r.started.astimezone(UTC)} for r in self.finished.load().orderBy(F.desc("started")).limit(KEPT_JOBS).collect()]
-        newest = sorted([*map(dict, self.running), *ended], key=lambda j: j["started"], reverse=True)[:KEPT_JOBS]
-        return [j for j in newest if job is None or j["job"] == job][:10]
+        known = {j["job"]: j for j in [*running, *ended]}
+        return sorted(known.values(), key=lambda j: j["started"], reverse=True)[:KEPT_JOBS]
+
+    def job_status(self, job: str | None = None) -> list[dict]:
+        return [j for j in self.jobs if job is None or j["job"] == job][:10]
 
     def limit_output(self, text: DataFrame, max_input: int = 12_000, reserved: int = 3_000, max_output: int = 1_500, tasks: TaskStore | None = None) -> DataFrame:
         """Rows of (id, content): passed, trimmed, or offloaded to artifacts of ``tasks`` with their summary (without a store, cut and marked)."""
