@@ -1,12 +1,10 @@
-"""Indexes against scans; longest trails against all trails; distributed communities against the sequential ones."""
+"""Indexes against scans; longest trails against all trails."""
 
 import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from quillgraph.operators import community, indexes, search, traverse
+from quillgraph.operators import indexes, search, traverse
 
 
 def scan(points, queries, top, metric):
@@ -100,33 +98,3 @@ def test_flows_without_an_end(spark):
     ring = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.9)], "src long, dst long, confidence double")
     one = spark.createDataFrame([(1,)], "id long")
     assert traverse.flows(ring, one).collect() == [] and traverse.flows(ring.limit(0), one, backward=True).collect() == []
-
-
-def quality(edges, found):
-    links, label = {}, {}
-    for r in community.undirected(edges).collect():
-        links.setdefault(r.service, []).append((r.a, r.b, r.weight))
-    for r in found.collect():
-        label.setdefault(r.service, {})[r.node] = r.community
-    return {s: (community.modularity(x, community.louvain(sorted(x))), community.modularity(x, label[s])) for s, x in links.items() if s in label}
-
-
-def test_distributed_communities_are_as_good(spark):
-    rng = random.Random(8)
-    rows = []
-    for service, groups, size in (("a", 4, 8), ("b", 2, 15)):
-        for g in range(groups):
-            for _ in range(size * 4):
-                x, y = (g * size + rng.randrange(size) for _ in range(2))
-                rows.append((service, x, y, rng.choice([0.7, 0.85, 0.95])))
-        rows += [(service, rng.randrange(groups * size), rng.randrange(groups * size), 0.7) for _ in range(groups * size // 3)]
-    rows += [("hub", 0, i, 0.9) for i in range(1, 30)] + [("few", 1, 2, 0.9)] * 3
-    edges = spark.createDataFrame(rows, "service string, src long, dst long, confidence double")
-    found = community.communities(edges, rounds=8).cache()
-    for service, (sequential, distributed) in quality(edges, found).items():
-        assert distributed >= 0.99 * sequential, service
-    assert {r.service for r in found.select("service").distinct().collect()} == {"a", "b", "hub"}
-    per_node = found.groupBy("service", "node").count()
-    assert per_node.where("count > 1").isEmpty()
-    first = found.where(F.col("community").endswith("community-0")).groupBy("service").agg(F.min("node").alias("n"))
-    assert {r.service: r.n for r in first.collect()} == {"a": 0, "b": 0, "hub": 0}
