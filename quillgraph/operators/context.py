@@ -122,7 +122,9 @@ def limit_output(text: DataFrame, max_input: int, reserved: int, max_output: int
     rows = text.select("id", "content", S.budget_action(S.estimate_tokens(F.col("content")), max_input, reserved, max_output).alias("action"))
     cut_at = F.left("content", F.lit(min(max_output, max_input - reserved) * S.CHARS_PER_TOKEN))
     closed = F.concat(cut_at, F.lit('"__truncated__"}'))
-    trimmed = F.when(F.try_parse_json(closed).isNotNull(), closed).otherwise(F.concat(cut_at, F.lit("… [TRUNCATED]")))
+    # The parser stops behind the first value ("12 and more" is 12 to it); only text that is one value as a whole can stand both in an array and in an object.
+    inside = [F.try_parse_json(F.concat(F.lit(a), closed, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"x":', "}"))]
+    trimmed = F.when(inside[0] & inside[1], closed).otherwise(F.concat(cut_at, F.lit("… [TRUNCATED]")))
     if stored:
         rest = F.to_json(F.struct(_artifact_id().alias("artifact"), S.artifact_summary(F.lit("document"), F.col("content")).alias("summary")))
     else:
