@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.lineage import cut
+from quillgraph.workers import workers_import
 
 MIN_EDGES = 5
+#: Links of a service up to which a task moves its nodes one by one; it holds about 100 bytes for each.
+LOCAL_LINKS = 100_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -17,7 +24,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def louvain(links: list[tuple], resolution: float = 1.0) -> dict:
-    """The same on one machine, node by node, for tests and small graphs: local moves in the order of the nodes, then merging of communities, until nothing improves."""
+    """The same on one machine, node by node, for graphs of bounded size: local moves in the order of the nodes, then merging of communities, until nothing improves."""
     nodes = sorted({x for a, b, _ in links for x in (a, b)})
     place = {n: i for i, n in enumerate(nodes)}
     graph: list[dict[int, float]] = [{} for _ in nodes]
@@ -126,9 +133,21 @@ def _modularity(links: DataFrame, state: DataFrame, totals: DataFrame) -> DataFr
     return squares.join(inside, "service", "left").join(totals, "service").select("service", (F.coalesce("inside", F.lit(0.0)) / F.col("total") - F.col("squares") / (F.col("total") * F.col("total"))).alias("quality"))
 
 
-def distributed_louvain(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS) -> DataFrame:
+def _settled(table: pa.Table) -> pa.Table:
+    """service, node and label of a service's links (a <= b, a loop with its weight doubled)."""
+    a, b, weight = (table.column(c).to_numpy() for c in ("a", "b", "weight"))
+    order = np.lexsort((b, a))
+    label = louvain(list(zip(a[order].tolist(), b[order].tolist(), np.where(a == b, weight / 2, weight)[order].tolist(), strict=True)))
+    return pa.table({"service": pa.array([table.column("service")[0].as_py()] * len(label), table.schema.field("service").type), "node": pa.array(label.keys(), pa.int64()), "label": pa.array(label.values(), pa.int64())})
+
+
+def distributed_louvain(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(service, node, label): modularity optimisation by joins over all services at once.
 
+    A service that has, or at some level is left with, ``local_links`` links or
+    fewer is settled node by node in a task of its own (``louvain``), which
+    takes one job in place of several a round.  The others go on by joins.
+
     A level moves nodes in rounds until hardly any moves (``STILL``, at most
     ``rounds``), and then makes each community a node whose links are the sums of its members';
     the next level works on that smaller table, until no node moves.  A level
@@ -144,7 +163,17 @@ def distributed_louvain(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS
     links = cut(coded.unionByName(coded.select("service", F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     totals = cut(links.groupBy("service").agg(F.sum("weight").alias("total")))
     member = names.select("service", "name", F.col("node").alias("label"))
-    for _ in range(levels):
+    workers_import(edges.sparkSession)
+    done = []
+    for level in range(levels):
+        sizes = links.where("a <= b").groupBy("service").agg((F.count(F.lit(1)) <= local_links).alias("small"))
+        small = cut(sizes.where("small").select("service"))
+        if level == 0 or not small.isEmpty():
+            settled = links.where("a <= b").join(F.broadcast(small), "service", "left_semi").select("service", "a", "b", "weight").groupBy("service").applyInArrow(_settled, "service string, node long, label long")
+            done.append(member.withColumnRenamed("label", "node").join(settled, ["service", "node"]).select("service", "name", "label"))
+            links, member = (x.join(F.broadcast(small), "service", "left_anti") for x in (links, member))
+        if links.isEmpty():
+            break
         degree = links.groupBy("service", F.col("a").alias("node")).agg(F.sum("weight").alias("degree"))
         start = state = cut(degree.select("service", "node", F.col("node").alias("label"), "degree"))
         for k in range(rounds):
@@ -162,13 +191,14 @@ def distributed_louvain(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS
         member = cut(member.withColumnRenamed("label", "node").join(kept, ["service", "node"]).select("service", "name", "label"))
         to = lambda c: kept.select("service", F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
         links = cut(links.join(to("a"), ["service", "a"]).join(to("b"), ["service", "b"]).groupBy("service", F.col("a_label").alias("a"), F.col("b_label").alias("b")).agg(F.sum("weight").alias("weight")))
-    return member.select("service", F.col("name").alias("node"), "label")
+    return reduce(DataFrame.unionByName, [*done, member]).select("service", F.col("name").alias("node"), "label")
 
 
-def communities(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS) -> DataFrame:
+def communities(edges: DataFrame, levels: int = 10, rounds: int = ROUNDS, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(service, node, community): communities numbered by their smallest node; a service with fewer than MIN_EDGES links has none."""
     enough = undirected(edges).groupBy("service").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_EDGES)
-    found = distributed_louvain(edges.join(enough, "service", "left_semi"), levels, rounds)
+    # Read by the numbering and by the result; the labels of a level are hashes or places, so they are numbered within the service.
+    found = cut(distributed_louvain(edges.join(enough, "service", "left_semi"), levels, rounds, local_links))
     first = found.groupBy("service", "label").agg(F.min("node").alias("first"))
     # One row a community is put in order, within its service.
     number = F.row_number().over(Window.partitionBy("service").orderBy("first")) - 1
