@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -20,8 +21,8 @@ from quillgraph.workers import workers_import
 
 #: Lists of a vector index and vectors that its centroids are fitted on (those of least hash).
 LISTS, SAMPLE = 64, 4096
-#: Rows of a list that one key of the search's join holds.
-PART_ROWS = 1 << 16
+#: Rows of a list, and queries that ask it, that meet in one cell; queries and pairs that are compared at once there.
+PART_ROWS, QUERY_ROWS, QUERY_STEP, PAIRS = 1 << 14, 1 << 14, 256, 1 << 16
 #: Distances are compared as ``search.vector`` gives them, in six decimals.
 DIGITS = 6
 
@@ -106,6 +107,41 @@ def index_vectors(chunks: DataFrame, lists: int = LISTS, metric: str = "l2") ->
     return VectorIndex(entries, centres, table.select("list", "rows", "parts", "low", "high"), metric)
 
 
+def _near_in_cell(top: int, dims: int, slack: float):
+    """Vectors of a cell and the queries that ask it: a superset of each query's nearest ``top`` not beyond its bound, with squared distances.
+
+    A matrix product only chooses; distances are computed from the differences.
+    Of vectors equally far from a query those with the least ids suffice.
+    """
+
+    def near(entries: pa.Table, asked: pa.Table) -> pa.Table:
+        kept: list[tuple] = []
+        entries, asked = entries.combine_chunks(), asked.combine_chunks()
+        if entries.num_rows and asked.num_rows:
+            entries = entries.take(pc.sort_indices(entries.column("id"))).combine_chunks()
+            have, ask = (_matrix(t.column(c).combine_chunks(), dims) for t, c in ((entries, "embedding"), (asked, "point")))
+            most = asked.column("most").to_numpy()
+            own = (have * have).sum(1)
+            for low in range(0, len(ask), QUERY_STEP):
+                part = ask[low : low + QUERY_STEP]
+                away = (part * part).sum(1)[:, None] + own - 2 * part @ have.T
+                limit = most[low : low + QUERY_STEP]
+                if not np.isfinite(limit).all() and len(have) > top:
+                    limit = np.minimum(limit, np.partition(away, top - 1, axis=1)[:, top - 1])
+                q, e = np.nonzero(away <= (limit + slack * (1 + own.max() + (part * part).sum(1)))[:, None])
+                exact = np.concatenate([np.zeros(0), *(((have[e[k : k + PAIRS]] - part[q[k : k + PAIRS]]) ** 2).sum(1) for k in range(0, len(q), PAIRS))])
+                order = np.lexsort((e, exact, q))
+                q, e, exact = q[order], e[order], exact[order]
+                begins = np.r_[True, (q[1:] != q[:-1]) | (exact[1:] != exact[:-1])][: len(q)]
+                place = np.arange(len(q)) - np.maximum.accumulate(np.where(begins, np.arange(len(q)), 0))
+                few = place < top
+                kept.append((q[few] + low, e[few], exact[few]))
+        q, e, exact = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"query": asked.column("query").take(pa.array(q)), "id": entries.column("id").take(pa.array(e)), "squared": pa.array(exact, pa.float64())})
+
+    return near
+
+
 def search_vectors(index: VectorIndex, queries: DataFrame, top: int) -> DataFrame:
     """(query, id, distance, rank): the nearest ``top`` of each query (query, point) by distance and id, all queries in one plan.
 
@@ -113,43 +149,50 @@ def search_vectors(index: VectorIndex, queries: DataFrame, top: int) -> DataFram
     the triangle inequality none of its vectors is nearer to a query than the
     query's own distance from the centroid is to that range.  The lists that are
     nearest by this bound, enough to hold ``top`` vectors, are read first; then
-    those whose bound doesn't exceed the distance of the last one found.
+    those whose bound doesn't exceed the distance of the last one found.  A part
+    of a list and a block of the queries that ask it meet in a task (a cell), as
+    two matrices; rows are made only for vectors that can be among the nearest.
     """
     workers_import(queries.sparkSession)
     centres, cosine = index.centroids, index.metric == "cosine"
-    dims = centres.shape[1]
+    dims, scale = centres.shape[1], 2 if cosine else 1
     points = queries.select("query", (_unit(F.col("point")) if cosine else F.col("point")).alias("point")).where(F.col("point").isNotNull())
-
-    @F.arrow_udf("array<double>")
-    def from_centroids(vectors: pa.Array) -> pa.Array:
-        away = _distances(_matrix(vectors, dims), centres)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(away) + 1, dtype=np.int32) * len(centres)), pa.array(away.ravel()))
-
-    @F.arrow_udf("double")
-    def compared(vectors: pa.Array, others: pa.Array) -> pa.Array:
-        gap = _matrix(vectors, dims) - _matrix(others, dims)
-        return pa.array((gap * gap).sum(1))
-
-    # At most LISTS rows: what a query is told of the lists.
-    known = points.withColumn("away", from_centroids("point")).select("query", "point", F.posexplode("away").alias("list", "away")).join(F.broadcast(index.lists), "list")
-    bound = F.greatest(F.col("away") - F.col("high"), F.col("low") - F.col("away"), F.lit(0.0))
-    order = Window.partitionBy("query").orderBy("bound", "list")
-    probes = cut(known.withColumn("bound", bound).withColumn("before", F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("query", "point", "list", "parts", "bound", "before"))
-    first = F.col("before") < top
-
-    def nearest(asked: DataFrame, found: DataFrame | None) -> DataFrame:
-        keyed = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("query", "point", "list", "part")
-        distance = compared("embedding", "point")
-        met = index.entries.join(keyed, ["list", "part"]).select("query", "id", F.round(distance / 2 if cosine else distance, DIGITS).alias("distance"))
-        both = met if found is None else met.unionByName(found.drop("rank"))
-        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-        return both.withColumn("rank", rank).where(F.col("rank") <= top)
-
-    near = cut(nearest(probes.where(first), None))
+    # One row a list, at most LISTS.
+    known = sorted(index.lists.select("list", "rows", "low", "high").collect())
+    place, rows, least, greatest = (np.array(x) for x in zip(*known, strict=True))
+
+    @F.arrow_udf("array<struct<list: int, bound: double, before: long>>")
+    def bounds(vectors: pa.Array) -> pa.Array:
+        away = _distances(_matrix(vectors, dims), centres)[:, place]
+        bound = np.maximum(np.maximum(away - greatest, least - away), 0)
+        order = np.argsort(bound, axis=1, kind="stable")
+        held = rows[order]
+        columns = [pa.array(place[order].ravel().astype(np.int32)), pa.array(np.take_along_axis(bound, order, 1).ravel()), pa.array((np.cumsum(held, axis=1) - held).ravel())]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(away) + 1, dtype=np.int32) * len(place)), pa.StructArray.from_arrays(columns, ["list", "bound", "before"]))
+
+    told = cut(points.withColumn("told", bounds("point")))
+    sizes = index.lists.select("list", "parts")
+    kinds = {**dict(index.entries.dtypes), **dict(points.dtypes)}
+    cell = ["list", "part", "block"]
+
+    def nearest(asked: DataFrame) -> DataFrame:
+        """asked: query, point, list, most (greatest squared distance of use)."""
+        blocks = cut(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks")).join(F.broadcast(sizes), "list"))
+        keyed = asked.join(F.broadcast(blocks), "list").select("query", "point", "most", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"))
+        held = index.entries.join(F.broadcast(blocks.select("list", "blocks")), "list").select("id", "embedding", "list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        met = held.groupBy(*cell).cogroup(keyed.groupBy(*cell)).applyInArrow(_near_in_cell(top, dims, 8 * scale * 10.0**-DIGITS), f"query {kinds['query']}, id {kinds['id']}, squared double")
+        return met.select("query", "id", F.round(F.col("squared") / scale, DIGITS).alias("distance"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= top)
+
+    first = told.select("query", "point", F.explode(F.filter("told", lambda t: t["before"] < top)).alias("t"))
+    near = cut(ranked(nearest(first.select("query", "point", "t.list", F.lit(float("inf")).alias("most")))))
     last = near.groupBy("query").agg(F.max("distance").alias("last"))
-    reach = F.sqrt((F.col("last") + 2 * 10.0**-DIGITS) * (2 if cosine else 1)) + 1e-9
-    rest = probes.where(~first).join(last, "query").where(F.col("bound") <= reach)
-    return nearest(rest, near).select("query", "id", "distance", "rank")
+    most = (F.col("last") + 2 * 10.0**-DIGITS) * scale
+    rest = told.join(last, "query").withColumn("most", most).withColumn("reach", F.sqrt("most") + 1e-9)
+    rest = rest.select("query", "point", "most", F.explode(F.filter("told", lambda t: (t["before"] >= top) & (t["bound"] <= F.col("reach")))).alias("t"))
+    return ranked(nearest(rest.select("query", "point", "t.list", "most")).unionByName(near.drop("rank"))).select("query", "id", "distance", "rank")
 
 
 # ---- texts by trigram
