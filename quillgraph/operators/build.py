@@ -77,13 +77,17 @@ def method_edges(classes: DataFrame, functions: DataFrame) -> DataFrame:
 def owned_infra(infra: DataFrame, functions: DataFrame) -> DataFrame:
     """Each pattern with the first function of its file whose lines contain it (null: the file owns it).
 
-    An equi-join on the file with the range as residual, so rows meet within
-    files only; the first is taken by a partial minimum.
+    The owner is looked for once for each line that has a pattern, among one
+    function of each range of lines (equi-join on the file, the range as
+    residual), and then given to the line's patterns.
     """
-    pattern = infra.withColumn("_row", F.struct("kind", "target", "detail", "metadata", "ordinal"))
-    inside = functions.select("service", "file", F.col("name").alias("owner"), "start_line", "end_line")
-    joined = pattern.join(inside, (pattern.service == inside.service) & (pattern.file == inside.file) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
-    return joined.groupBy(pattern.service, pattern.file, "line", pattern.ordinal).agg(F.first("_row").alias("r"), F.min_by("owner", F.struct("start_line", F.negative("end_line"), "owner")).alias("owner")).select("service", "file", "line", "owner", "r.kind", "r.target", "r.detail", "r.metadata")
+    pattern = infra.withColumn("_row", F.struct("kind", "target", "detail", "metadata"))
+    ranges = functions.groupBy("service", "file", "start_line", "end_line").agg(F.min(F.struct(F.col("name").alias("owner"))).alias("first")).select("service", "file", "start_line", "end_line", "first.owner")
+    place = ["service", "file", "line"]
+    inside = infra.select(*place).distinct().join(ranges, ["service", "file"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    owners = inside.groupBy(*place).agg(F.min_by("owner", F.struct("start_line", F.negative("end_line"), "owner")).alias("owner"))
+    once = pattern.groupBy(*place, "ordinal").agg(F.first("_row").alias("r"))
+    return once.join(owners, place, "left").select(*place, "owner", "r.kind", "r.target", "r.detail", "r.metadata")
 
 
 def infra_dimension(spark: SparkSession) -> DataFrame:
