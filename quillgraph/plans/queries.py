@@ -98,7 +98,7 @@ def _(v):
 @query("u02_history_deltas", f"WITH s AS ({_STATES}), n AS (SELECT sequence, label, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT a.sequence AS before, b.sequence AS after, l.label FROM range(5) a(sequence), range(5) b(sequence), (SELECT DISTINCT label FROM s) l) SELECT before::BIGINT AS before, after::BIGINT AS after, p.label, (coalesce(y.n, 0) - coalesce(x.n, 0))::BIGINT AS delta FROM p LEFT JOIN n x ON x.sequence = before AND x.label = p.label LEFT JOIN n y ON y.sequence = after AND y.label = p.label WHERE coalesce(y.n, 0) <> coalesce(x.n, 0)")
 def _(v):
     pairs = v.spark.createDataFrame([("s", a, b) for a in range(5) for b in range(5)], "service string, before long, after long")
-    return changes.count_differences(changes.differences(_history(v), pairs)).select("before", "after", "label", F.col("delta").cast("long").alias("delta"))
+    return changes.history_count_differences(_history(v), pairs).select("before", "after", "label", F.col("delta").cast("long").alias("delta"))
 
 
 @query("u03_history_drift", f"WITH s AS ({_STATES}) SELECT 'removed' AS change, label, id, detail FROM (SELECT label, id, detail FROM s WHERE sequence = 1 EXCEPT SELECT label, id, detail FROM s WHERE sequence = 3) UNION ALL SELECT 'added', label, id, detail FROM (SELECT label, id, detail FROM s WHERE sequence = 3 EXCEPT SELECT label, id, detail FROM s WHERE sequence = 1)")

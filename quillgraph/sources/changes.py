@@ -169,15 +169,26 @@ def as_of(history: DataFrame, sequence: Column) -> DataFrame:
 def differences(history: DataFrame, pairs: DataFrame) -> DataFrame:
     """Facts of which a pair of syncs (service, before, after) has one side only, with ``change`` added or removed.
 
-    One join with the pairs on the service; a fact that was closed and opened
-    again in between is the same on both sides and cancels out.
+    The pairs are few, as they name syncs to compare, and broadcast, so a history
+    isn't dealt by its service.  A fact that was closed and opened again in
+    between is the same on both sides and cancels out.
     """
-    at = lambda c: (F.col("opened") <= F.col(c)) & (F.col("closed").isNull() | (F.col("closed") > F.col(c)))
-    sides = history.join(pairs, "service").withColumn("side", at("after").cast("int") - at("before").cast("int")).where("side <> 0")
-    net = sides.groupBy("before", "after", *FACT).agg(F.sum("side").alias("side")).where("side <> 0")
+    net = _sides(history, pairs).groupBy("before", "after", *FACT).agg(F.sum("side").alias("side")).where("side <> 0")
     return net.withColumn("change", F.when(F.col("side") > 0, "added").otherwise("removed")).drop("side")
 
 
+def _sides(history: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The history's rows that hold on one side of a pair only, with 1 for the later and -1 for the earlier one."""
+    at = lambda c: (F.col("opened") <= F.col(c)) & (F.col("closed").isNull() | (F.col("closed") > F.col(c)))
+    return history.join(F.broadcast(pairs), "service").withColumn("side", at("after").cast("int") - at("before").cast("int")).where("side <> 0")
+
+
+def history_count_differences(history: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``count_differences`` of ``differences``, from the numbers of facts that were opened and closed at the same syncs: what cancels out in a fact does so in its sum."""
+    spans = history.groupBy("service", "kind", "label", "opened", "closed").agg(F.count(F.lit(1)).alias("n"))
+    return _sides(spans, pairs).groupBy("service", "before", "after", "kind", "label").agg(F.sum(F.col("side") * F.col("n")).alias("delta")).where("delta <> 0")
+
+
 def count_differences(found: DataFrame) -> DataFrame:
     """Change of the number of facts of each kind and label between the syncs of each pair."""
     change = F.when(F.col("change") == "added", 1).otherwise(-1)
