@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -159,36 +158,56 @@ def trace_paths(adjacency: dict, entry, fanout: int = 3, depth: int = 10, most:
     return sorted(done, key=lambda t: (-len(t), t))
 
 
-def traces(edges: DataFrame, entries: DataFrame, fanout: int = 3, fetch: int = 10, depth: int = 10) -> DataFrame:
-    """(entry, steps) for each of the entries' traces.
-
-    The neighbourhood that a trace can reach (the ``fetch`` first callees of a
-    node, ``depth`` hops) is gathered by joins, one group an entry, each hop's
-    frontier being cut; only the order-dependent walk runs in Python, on the
-    group of its entry, which fanout and depth bound.
+def _walk(fanout: int, depth: int, most: int):
+    """One level of ``trace_paths`` for an entry: its trails in order, with the callees that no earlier level has seen."""
+
+    def walk(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("pos")
+        done, new, out = rows.column("finished")[0].as_py(), set(), []
+        for trail, nexts in zip(rows.column("trail").to_pylist(), rows.column("nexts").to_pylist(), strict=True):
+            if done >= most:
+                break
+            follow = [n for n in nexts or () if n not in new][:fanout] if len(trail) < depth else []
+            new.update(follow)
+            out += [([*trail, n], False) for n in follow]
+            if not follow and len(trail) > 1:
+                out.append((trail, True))
+                done += 1
+        entry, kind = rows.column("entry"), rows.schema.field("trail").type
+        trails, ended = ([t for t, _ in out], [e for _, e in out])
+        return pa.table({"entry": pa.array([entry[0].as_py()] * len(out), entry.type), "pos": pa.array(range(len(out)), pa.int32()), "trail": pa.array(trails, kind), "finished": pa.array([done] * len(out), pa.int32()), "ended": pa.array(ended, pa.bool_())})
+
+    return walk
+
+
+def traces(edges: DataFrame, entries: DataFrame, fanout: int = 3, fetch: int = 10, depth: int = 10, most: int = 4) -> DataFrame:
+    """(entry, trace, steps) for each of the entries' traces.
+
+    A breadth-first walk goes level by level.  The trails of a level meet the
+    ``fetch`` first callees of their last nodes, less those seen at earlier
+    levels, by joins; only the order-dependent choice among them runs in Python,
+    on the trails of one entry, of which a level has ``fanout`` times as many as
+    the one before at most, however large the graph is.
     """
     place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))  # a hub's callees are cut to the first ones before they are gathered
-    first = edges.where("src <> dst").select("src", "dst").distinct().withColumn("place", place).where(F.col("place") <= fetch)
-    ranked = cut(first.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("callees")))
-    frontier = cut(entries.select(F.col("id").alias("entry"), F.col("id").alias("node")))
-    seen = frontier
-    for _ in range(depth):
-        nexts = frontier.join(ranked, frontier.node == ranked.src).select("entry", F.explode(F.slice("callees", 1, fetch)).alias("node")).distinct()
-        frontier = cut(nexts.join(seen, ["entry", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    near = seen.join(ranked, seen.node == ranked.src).select("entry", "node", "callees")
+    first = cut(edges.where("src <> dst").select("src", "dst").distinct().withColumn("place", place).where(F.col("place") <= fetch))
     kind = dict(entries.dtypes)["id"]
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        entry = group["entry"].iloc[0]
-        adjacency = defaultdict(list, {n: list(c) for n, c in zip(group["node"], group["callees"], strict=True)})
-        found = trace_paths(adjacency, entry, fanout, depth)
-        return pd.DataFrame({"entry": [entry] * len(found), "trace": range(len(found)), "steps": found}, dtype=object)
-
     workers_import(edges.sparkSession)
-    return near.groupBy("entry").applyInPandas(walk, f"entry {kind}, trace int, steps array<{kind}>")
+    level = cut(entries.select(F.col("id").alias("entry")).distinct().select("entry", F.lit(0).alias("pos"), F.array("entry").alias("trail"), F.lit(0).alias("finished")))
+    seen = level.select("entry", F.col("entry").alias("node"))
+    found = []
+    for _ in range(depth):
+        asked = level.select("entry", "pos", F.element_at("trail", -1).alias("src")).join(first, "src").select("entry", "pos", "place", F.col("dst").alias("node"))
+        fresh = asked.join(seen, ["entry", "node"], "left_anti").groupBy("entry", "pos").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("c"))
+        rows = level.join(fresh.select("entry", "pos", F.transform("c", lambda x: x["node"]).alias("nexts")), ["entry", "pos"], "left")
+        walked = cut(rows.select("entry", "pos", "trail", "finished", "nexts").groupBy("entry").applyInArrow(_walk(fanout, depth, most), f"entry {kind}, pos int, trail array<{kind}>, finished int, ended boolean"))
+        found.append(walked.where("ended").select("entry", F.col("trail").alias("steps")))
+        level = walked.where(~F.col("ended") & (F.col("finished") < most)).drop("ended")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level.select("entry", F.element_at("trail", -1).alias("node")))
+    number = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc(F.size("steps")), "steps")) - 1
+    return reduce(DataFrame.unionByName, found).select("entry", number.alias("trace"), "steps")
 
 
 def processes(found: DataFrame) -> DataFrame:
