@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quillgraph.operators.lineage import cut
-from quillgraph.workers import workers_import
+from quillgraph.workers import small_batches, workers_import
 
 #: Lists of a vector index and vectors that its centroids are fitted on (those of least hash).
 LISTS, SAMPLE = 64, 4096
@@ -198,18 +198,21 @@ def search_vectors(index: VectorIndex, queries: DataFrame, top: int) -> DataFram
 # ---- texts by trigram
 
 
-GRAM = 3
+GRAM, TEXTS_EACH = 3, 64
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def grams(texts: pa.Array) -> pa.Array:
-    """Distinct runs of three characters of each text (null: none)."""
-    return pa.array([sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+    """Distinct runs of three characters of each text (null: none); Python objects are held for a few texts at a time."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}) if t else [] for t in texts.slice(low, TEXTS_EACH).to_pylist()], kind) for low in range(0, len(texts), TEXTS_EACH)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def postings(nodes: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
     """(gram, *key) for each trigram of any of the fields; sorted by gram, so a pattern reads the few row groups of its grams."""
     workers_import(nodes.sparkSession)
+    small_batches(nodes.sparkSession)
     found = F.flatten(F.array(*(grams(F.lower(F.col(f))) for f in fields)))
     return nodes.select(F.explode(found).alias("gram"), *key).distinct()
 
