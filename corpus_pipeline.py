@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies: operator 7's SimHash links, checked, then those of least hashes (five-word shingles, similarity 0.8 or more)."""
     return near_copies.keep_one(docs)
 
 

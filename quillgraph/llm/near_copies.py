@@ -1,8 +1,10 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-The SimHash of operator 7 can't serve here: a pair of that similarity differs
-in about ten of 64 bits, and tries that allow so many prune nothing.  Texts
-are dealt to buckets by ``BANDS`` bands of ``BAND_HASHES`` least hashes each;
+The pipeline's near-dedup (``keep_one``) first takes the links of operator 7, texts
+whose SimHash fingerprints differ in four bits at most, and keeps those that pass
+the check on whole shingle sets.  A pair of similarity 0.8 differs in about ten of
+64 bits, and tries that allow so many prune nothing, so this finds the nearer
+copies; what it leaves apart goes on to the bands.  Texts are dealt to buckets by ``BANDS`` bands of ``BAND_HASHES`` least hashes each;
 a pair of similarity s shares a bucket with the probability
 ``1 - (1 - s**BAND_HASHES)**BANDS``, which is 0.9999 at 0.8 and nearer to 1
 above.  Pairs of a bucket are only candidates: each link is checked on the
@@ -35,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm import simhash
 from quillgraph.llm.frames import arrow_map, components, cut, partitions_for, whole_partition
 from quillgraph.llm.scaled_sketch import resemblance, sketches
 
@@ -213,8 +216,18 @@ def _unsettled(members: DataFrame, linked: DataFrame, block_rows: int) -> DataFr
     return each.select("key", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), "node", "root")
 
 
-def links(nodes: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Checked links (a, b) that join exactly the near copies that share a bucket, from (node, sign)."""
+def fingerprint_links(documents: DataFrame) -> DataFrame:
+    """Checked links (a, b) of text hashes from operator 7's: one text of each fingerprint stands for it, others of the fingerprint are held against that one."""
+    prints = cut(simhash.fingerprints(documents).select("text_hash", "fp").distinct())
+    first = cut(prints.groupBy("fp").agg(F.min("text_hash").alias("node")))
+    equal = prints.join(first, "fp").where("text_hash <> node").select(F.col("text_hash").alias("a"), F.col("node").alias("b"))
+    one, other = (first.select(F.col("fp").alias(n), F.col("node").alias(f"{n}_node")) for n in ("a", "b"))
+    near = simhash.links(prints).join(one, "a").join(other, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return _checked(equal.unionByName(near).distinct(), documents)
+
+
+def links(nodes: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS, known: DataFrame | None = None) -> DataFrame:
+    """Checked links (a, b) that join exactly the near copies that share a bucket or are joined by known links, from (node, sign)."""
     placed = arrow_map(nodes.select("node", "sign"), _place_batches, "node long, key long")
     several = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     members = cut(placed.join(several, "key").select("key", "node", "first"))
@@ -224,6 +237,7 @@ def links(nodes: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS)
     stars = led.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     alike = arrow_map(stars.join(one, "a").join(other, "b").select("a", "b", "a_sign", "b_sign"), _alike_batches, "a long, b long, same int")
     linked = _checked(alike.where(F.col("same") >= LEAST_EQUAL).groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), documents)
+    linked = linked if known is None else linked.unionByName(known)
     apart = cut(_unsettled(members, linked, block_rows))
     texts = _texts(documents, apart.select("node"))
     sets = arrow_map(texts, _set_batches, "node long, shingles binary")
@@ -232,18 +246,19 @@ def links(nodes: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS)
     return linked.unionByName(cut(arrow_map(met.select("key", "one", "other", "node", "root", "shingles"), _bucket_batches, "a long, b long").distinct()))
 
 
-def groups(documents: DataFrame, *columns: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """node (hash of the text), root (node that names the group) and the named columns of each document."""
+def groups(documents: DataFrame, *columns: str, block_rows: int = BLOCK_ROWS, by_fingerprint: bool = False) -> DataFrame:
+    """node (hash of the text), root (node that names the group) and the named columns of each document; links of fingerprints first, if asked."""
     rows = documents.select(*columns, F.xxhash64("text").alias("node"), "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
     signed = cut(arrow_map(rows, _sign_batches, kinds + ", sign binary"))
-    root = components(links(cut(signed.groupBy("node").agg(F.first("sign").alias("sign"))), documents, block_rows))
+    known = fingerprint_links(documents) if by_fingerprint else None
+    root = components(links(cut(signed.groupBy("node").agg(F.first("sign").alias("sign"))), documents, block_rows, known))
     return signed.drop("sign").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group (columns of documents): that with the smallest doc_id, and of repeated rows one."""
-    first = groups(documents, "doc_id").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("f"))
+    first = groups(documents, "doc_id", by_fingerprint=True).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("f"))
     chosen = first.select(F.struct("f.doc_id", F.col("f.node").alias("text_hash")).alias("row"))
     keyed = documents.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
     return keyed.join(chosen, "row", "left_semi").dropDuplicates(["row"]).select("doc_id", "text", "lang", "source", "n_chars")
