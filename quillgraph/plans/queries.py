@@ -72,7 +72,9 @@ _LINES = "SELECT l_suppkey AS service, l_partkey AS path, l_orderkey * 10 + l_li
 
 @query("s04_log_replay", f"SELECT service, path, quantity, shipped FROM (SELECT * FROM ({_LINES}) QUALIFY row_number() OVER (PARTITION BY service, path ORDER BY seq DESC) = 1) WHERE NOT gone")
 def _(v):
-    lines = v.table("lineitem").select(F.col("l_suppkey").alias("service"), F.col("l_partkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), (F.col("l_returnflag") == "R").alias("gone"), F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("shipped"))
+    # SQL leaves open which of several lines with one seq counts; here it is the first of the file.
+    at = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (-F.col("_metadata.row_index")).alias("row"), "_metadata.file_name")
+    lines = v.table("lineitem").select(F.col("l_suppkey").alias("service"), F.col("l_partkey").alias("path"), at.alias("at"), (F.col("l_returnflag") == "R").alias("gone"), F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("shipped"))
     return changes.newest(lines, ["service", "path"], "at", "gone")
 
 
